@@ -1,9 +1,11 @@
 """The subpackage's registered queries, and the SQL of those that SQL can express."""
 
-from . import warc
+from . import packing, warc, wavelet
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
+    "op5_concatenate_and_cut": packing.op5_concatenate_and_cut,
+    "op6_wavelet_matrix": wavelet.op6_wavelet_matrix,
 }
 
 ORACLE_SQL = {

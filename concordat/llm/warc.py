@@ -215,7 +215,7 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hx FROM pages),
 d AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
-      array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
         1 + (((('0x' || substr(hx, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31))::INT, 1)), '') AS payload_digest
       FROM p),
 g AS (SELECT payload_digest, max(page_id) AS m FROM d GROUP BY 1)
