@@ -1,13 +1,17 @@
 """The subpackage's registered queries, and the SQL of those that SQL can express."""
 
-from . import packing, warc, wavelet
+from . import decontam, neardup, packing, warc, wavelet
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
     "op5_concatenate_and_cut": packing.op5_concatenate_and_cut,
     "op6_wavelet_matrix": wavelet.op6_wavelet_matrix,
+    "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
+    "op9_winnowing": decontam.op9_winnowing,
 }
 
 ORACLE_SQL = {
     "op1_warc_revisits": warc.ORACLE_SQL,
+    "op8_minhash_near_dedup": neardup.ORACLE_SQL,
+    "op9_winnowing": decontam.ORACLE_SQL,
 }
