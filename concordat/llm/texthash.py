@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-RUN = 1 << 20
+RUN = 1 << 18
 _U = np.uint64
 
 _ODD = 0x9E3779B97F4A7C15
@@ -55,8 +55,8 @@ NOT_SPACE = ~byte_class([(0x20, 0x20), (0x09, 0x0D)])
 #: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing
 ALNUM = byte_class([(0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)])
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
 
 
 @dataclass
@@ -90,8 +90,8 @@ def window_hash(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def words(column: pa.Array, word: np.ndarray) -> Iterator[Words]:
-    """The words of a string column (nulls: none), in runs of texts."""
+def text_runs(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets of texts in them) of runs of a string column; nulls are empty."""
     if pa.types.is_large_string(column.type):
         column = column.cast(pa.string())
     if column.null_count:
@@ -104,12 +104,26 @@ def words(column: pa.Array, word: np.ndarray) -> Iterator[Words]:
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + RUN, side="right")) - 1)
-        yield _words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], at, word)
+        yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
 
+def piece_hashes(b: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte strings from begins to ends."""
+    power, inverse = _power_tables(len(b))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTE[b] * power[: len(b)], out=sums[1:])
+    return mix((sums[ends] - sums[begins]) * inverse[begins])
+
+
+def words(column: pa.Array, word: np.ndarray) -> Iterator[Words]:
+    """The words of a string column (nulls: none), in runs of texts."""
+    for first, raw, offsets in text_runs(column):
+        yield _words(raw, offsets, first, word)
+
+
 def _words(raw: np.ndarray, offsets: np.ndarray, first: int, word: np.ndarray) -> Words:
-    b = _LOWER[raw]
+    b = LOWER[raw]
     inside = np.empty(len(b) + 2, bool)
     inside[0] = inside[-1] = False
     inside[1:-1] = word[b]
@@ -119,12 +133,8 @@ def _words(raw: np.ndarray, offsets: np.ndarray, first: int, word: np.ndarray) -
     begins[seams] = inside[1:-1][seams]
     ends[seams - 1] = inside[1:-1][seams - 1]
     begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power, inverse = _power_tables(len(b))
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * power[: len(b)], out=sums[1:])
-    h = mix((sums[ends] - sums[begins]) * inverse[begins])
     doc = np.searchsorted(offsets, begins, side="right") - 1
-    return Words(first, len(offsets) - 1, doc, h)
+    return Words(first, len(offsets) - 1, doc, piece_hashes(b, begins, ends))
 
 
 def shingle_sets(column: pa.Array, k: int, word: np.ndarray = NOT_SPACE) -> Iterator[tuple[int, list[np.ndarray]]]:
