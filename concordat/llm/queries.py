@@ -1,9 +1,10 @@
 """The subpackage's registered queries, and the SQL of those that SQL can express."""
 
-from . import decontam, neardup, packing, warc, wavelet
+from . import decontam, fingerprint, neardup, packing, warc, wavelet
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
+    "op3_one_permutation_minhash": fingerprint.op3_one_permutation_minhash,
     "op5_concatenate_and_cut": packing.op5_concatenate_and_cut,
     "op6_wavelet_matrix": wavelet.op6_wavelet_matrix,
     "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
