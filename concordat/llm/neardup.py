@@ -39,18 +39,33 @@ _U = np.uint64
 EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 
 
+#: Sets of so few shingles get all their rounds at once.
+SMALL = 32
+
+
+def _place(out: np.ndarray, bins: int, values: np.ndarray, doc: np.ndarray, rounds: np.ndarray) -> None:
+    """Let values fall into their documents' bins in the given rounds."""
+    h = mix(values[:, None] + (_U(2) * rounds.astype(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15))
+    bin_ = np.where(rounds < bins, ((h & _U(0xFFFFFFFF)) * _U(bins) >> _U(32)).astype(np.int64), rounds - bins)
+    np.minimum.at(out, (doc[:, None] * bins + bin_).reshape(-1), (rounds.astype(np.uint64) << _U(54) | h >> _U(10)).reshape(-1))
+
+
 def sketch(sets: list[np.ndarray], bins: int) -> np.ndarray:
     """The sketches of non-empty sets, one row each."""
     out = np.full(len(sets) * bins, EMPTY, np.uint64)
-    values, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    for i in range(2 * bins):
-        h = mix(values + _U((2 * i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        bin_ = ((h & _U(0xFFFFFFFF)) * _U(bins) >> _U(32)).astype(np.int64) if i < bins else i - bins
-        np.minimum.at(out, doc * bins + bin_, _U(i) << _U(54) | h >> _U(10))
-        open_ = (out.reshape(-1, bins) == EMPTY).any(axis=1)
-        if not open_.any():
+    sizes = np.array([len(s) for s in sets])
+    values, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    few = (sizes <= SMALL)[doc]
+    every = np.arange(2 * bins)
+    at = np.flatnonzero(few)
+    for part in np.array_split(at, len(at) // 2048 + 1):
+        _place(out, bins, values[part], doc[part], every)
+    values, doc = values[~few], doc[~few]
+    for i in every:
+        if not len(doc):
             break
-        keep = open_[doc]
+        _place(out, bins, values, doc, every[i : i + 1])
+        keep = (out.reshape(-1, bins) == EMPTY).any(axis=1)[doc]
         values, doc = values[keep], doc[keep]
     return out.reshape(-1, bins)
 
