@@ -1,10 +1,11 @@
 """The subpackage's registered queries, and the SQL of those that SQL can express."""
 
-from . import decontam, fingerprint, linededup, neardup, packing, warc, wavelet
+from . import decontam, fingerprint, langid, linededup, neardup, packing, warc, wavelet
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
     "op3_one_permutation_minhash": fingerprint.op3_one_permutation_minhash,
+    "op4_segmentation_unigrams": langid.op4_segmentation_unigrams,
     "op5_concatenate_and_cut": packing.op5_concatenate_and_cut,
     "op6_wavelet_matrix": wavelet.op6_wavelet_matrix,
     "op7_segment_edit_join": linededup.op7_segment_edit_join,
