@@ -26,11 +26,11 @@ from .tokens import part_offsets, tokenized, unpack
 WINDOW = 2048
 
 
-def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, style: str = "bytes", with_ids: bool = False) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, lower: bool = False, with_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     and with ``with_ids`` the ids; boundary records are the pieces with start > 0
     or start + length < doc_tokens."""
-    stored = materialize(tokenized(documents, tokenizer, style), "packing-tokens")
+    stored = materialize(tokenized(documents, tokenizer, lower), "packing-tokens")
     totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     placed = stored.join(F.broadcast(part_offsets(totals)), "part")  # one row per partition
     placed = placed.select("doc_id", (F.col("part_start") + F.col("local_start")).alias("first"), "n_tokens", "ids")

@@ -1,13 +1,15 @@
 """Token ids of whole texts, and documents in a global order.
 
 A text is cut at points where the tokenizer itself always begins a new
-pre-token, each distinct piece is encoded once by the tokenizers library, and
-the pieces' ids are joined.  The result equals ``encode(text)``.
+pre-token: before a lone space or line feed between two visible characters.
+Each distinct piece is encoded once by the tokenizers library; a worker's table
+maps piece hashes to ids, and whole columns are looked up at once.  The result
+equals ``encode(text)``.
 """
 
 from __future__ import annotations
 
-import re
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,69 +19,164 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import partitions, small_batches
+from .texthash import LOWER, piece_hashes, text_runs
 
 END_ID = 1
-#: Pieces held by a Python worker at most; the table is emptied when it is full.
-CACHE_PIECES = 400_000
+#: Pieces of a worker's table (some 60 MB) after which it is begun anew.
+MOST_PIECES = 2_000_000
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_U = np.uint64
+_encoders: dict[tuple[str, bool], Encoder] = {}
+
+#: Bytes of visible characters, to be sure: no ASCII white space or control, and
+#: none of the lead bytes under which other white space is found.
+VISIBLE = np.ones(256, bool)
+VISIBLE[:0x21] = VISIBLE[0x7F] = False
+_WIDE_SPACE = {0xC2: 2, 0xE1: 3, 0xE2: 3, 0xE3: 3}
 
 
 class Encoder:
-    """ids(text) for one tokenizer file, little-endian and of ``width`` bytes each.
+    """Ids of columns of texts for one tokenizer file.
 
-    ``style`` "bytes": byte-level BPE, whose pre-tokens may begin with one
-    space.  A cut before a space or a line feed is safe if no other white space
-    stands beside it; texts with such runs are cut by the general rule, only
-    where a lone space or line feed stands between two visible characters.
-    ``style`` "words": white space is dropped, so any space or line feed is a cut.
+    ``lower``: the tokenizer lower-cases, so A-Z may be lower-cased before.
     """
 
-    def __init__(self, path: str, style: str):
+    def __init__(self, path: str, lower: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.style = style
-        self.pieces: dict[str, bytes] = {}
-        self.runs = re.compile(r" \s|\n\s|\t|\0|\s\Z")
-        self.cuts = re.compile(r"(?<=\S)(?=[ \n]\S)")
+        self.lower = lower
+        # A piece of its own between others, whose single id marks their ends.
+        (self.mark,) = self.tokenizer.encode("\0", add_special_tokens=False).ids
+        self._begin()
+
+    def _begin(self, bits: int = 18) -> None:
+        self.bits, self.known, self.used = bits, 0, 0
+        self.keys, self.slot = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.first, self.length = np.zeros(1 << bits - 1, np.int32), np.zeros(1 << bits - 1, np.int32)
+        self.pool = np.zeros(1 << 20, self.dtype)
+
+    def _room(self, new: int) -> None:
+        """Keep the table at most half full."""
+        while self.known + new > len(self.keys) // 2:
+            self.bits += 1
+            full = self.keys != 0
+            keys, slot = self.keys[full], self.slot[full]
+            self.keys, self.slot = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self.first, self.length = (np.append(x, np.zeros(len(x), np.int32)) for x in (self.first, self.length))
+            self._insert(keys, slot)
 
     @classmethod
-    def get(cls, path: str, style: str) -> Encoder:
-        if (path, style) not in _encoders:
-            _encoders[path, style] = cls(path, style)
-        return _encoders[path, style]
-
-    def cut(self, text: str) -> list[str]:
-        if self.style == "words":
-            return text.replace("\n", " ").split(" ")
-        if self.runs.search(text):
-            return self.cuts.split(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-
-    def ids(self, text: str) -> bytes:
-        pieces = self.cut(text)
-        known = self.pieces
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if len(known) + len(new) > CACHE_PIECES:
-            known.clear()
-            new = list(dict.fromkeys(pieces))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join(map(known.__getitem__, pieces))
-
-
-def encode_document(encoder: Encoder, text: str | None) -> bytes:
-    """The ids of a text (null: none) and the end id."""
-    return encoder.ids(text or "") + np.array([END_ID], encoder.dtype).tobytes()
+    def get(cls, path: str, lower: bool = False) -> Encoder:
+        if (path, lower) not in _encoders:
+            _encoders[path, lower] = cls(path, lower)
+        return _encoders[path, lower]
+
+    def column(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids per text, all ids) of runs of texts; each ends with the end id."""
+        for _, raw, offsets in text_runs(column):
+            yield self._run(LOWER[raw] if self.lower else raw, offsets)
+
+    def ids(self, text: str | None) -> np.ndarray:
+        return np.concatenate([ids for _, ids in self.column(pa.array([text], pa.string()))])[:-1]
+
+    def _cuts(self, b: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces begin; a text's begin is one."""
+        visible = VISIBLE[b]
+        for lead, n in _WIDE_SPACE.items():
+            at = np.flatnonzero(b == lead)
+            for i in range(n):
+                visible[np.minimum(at + i, len(b) - 1)] = False
+        cut = (b == 0x20) | (b == 0x0A)
+        cut[:1] = cut[-1:] = False
+        cut[1:-1] &= visible[:-2] & visible[2:]
+        seams = offsets[:-1][offsets[:-1] < len(b)]
+        cut[np.maximum(offsets[1:-1] - 1, 0)] = False  # a text's last byte never begins a piece
+        cut[seams] = True
+        return np.flatnonzero(cut)
+
+    def _run(self, b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = len(offsets) - 1
+        if len(b):
+            begins = self._cuts(b, offsets)
+            ends = np.append(begins[1:], len(b))
+            found = self._find(piece_hashes(b, begins, ends) | _U(1), b, begins, ends)
+            per_text = np.searchsorted(begins, offsets)
+            lengths = self.length[found].astype(np.int64)
+        else:
+            found, per_text, lengths = np.zeros(0, np.int64), np.zeros(texts + 1, np.int64), np.zeros(0, np.int64)
+        ends_at = np.concatenate([[0], np.cumsum(lengths)])
+        pieces = self.pool[np.repeat(self.first[found] - ends_at[:-1], lengths) + np.arange(ends_at[-1])]
+        counts = np.diff(ends_at[per_text]) + 1
+        out = np.empty(len(pieces) + texts, self.dtype)
+        last = np.cumsum(counts) - 1
+        inner = np.ones(len(out), bool)
+        inner[last] = False
+        out[inner], out[last] = pieces, END_ID
+        return counts, out
+
+    def _find(self, h: np.ndarray, b: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The piece numbers of hashes; new pieces are encoded first."""
+        if self.known > MOST_PIECES:
+            self._begin()
+        out, todo = np.empty(len(h), np.int32), np.arange(len(h))
+        slots, missing = (h >> _U(64 - self.bits)).astype(np.int64), []
+        while len(todo):
+            at = slots[todo]
+            key = self.keys[at]
+            hit = key == h[todo]
+            out[todo[hit]] = self.slot[at[hit]]
+            missing.append(todo[key == 0])
+            todo = todo[~hit & (key != 0)]
+            slots[todo] = slots[todo] + 1 & len(self.keys) - 1
+        missing = np.concatenate(missing) if missing else todo
+        if len(missing):
+            new, at, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            rows = missing[at]
+            data = b.tobytes()
+            self._room(len(new))
+            numbers = np.arange(self.known, self.known + len(new), dtype=np.int32)
+            self._learn([data[i:j].decode() for i, j in zip(begins[rows].tolist(), ends[rows].tolist(), strict=True)])
+            self._insert(new, numbers)
+            out[missing] = numbers[back]
+        return out
+
+    def _insert(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        slots = (h >> _U(64 - self.bits)).astype(np.int64)
+        todo = np.arange(len(h))
+        while len(todo):
+            at = slots[todo]
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[todo[free]]  # of those that want a slot the last gets it
+            self.slot[at[free]] = numbers[todo[free]]
+            todo = todo[self.keys[at] != h[todo]]
+            slots[todo] = slots[todo] + 1 & len(self.keys) - 1
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode pieces with one call, the mark between them; those that hold a NUL singly."""
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            marked = ["\0"] * (2 * len(part))
+            marked[::2] = ["" if "\0" in p else p for p in part]
+            ids = np.array(self.tokenizer.encode_batch_fast([marked], is_pretokenized=True, add_special_tokens=False)[0].ids, self.dtype)
+            stops = np.flatnonzero(ids == self.mark)
+            counts = np.diff(stops, prepend=-1) - 1
+            ids = ids[ids != self.mark]
+            if any("\0" in p for p in part):
+                pieces = np.split(ids, np.cumsum(counts)[:-1])
+                for i, p in enumerate(part):
+                    if "\0" in p:
+                        pieces[i] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, self.dtype)
+                counts, ids = np.array([len(p) for p in pieces]), np.concatenate(pieces)
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.append(self.pool, np.zeros(len(self.pool), self.dtype))
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.first[self.known : self.known + len(part)] = self.used + np.cumsum(counts) - counts
+            self.length[self.known : self.known + len(part)] = counts
+            self.known, self.used = self.known + len(part), self.used + len(ids)
 
 
 def in_doc_order(documents: DataFrame) -> DataFrame:
@@ -90,24 +187,22 @@ def in_doc_order(documents: DataFrame) -> DataFrame:
     return rows.repartitionByRange(partitions(documents.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
 
-def tokenized(documents: DataFrame, path: str, style: str) -> DataFrame:
+def tokenized(documents: DataFrame, path: str, lower: bool = False) -> DataFrame:
     """part, doc_id, n_tokens, local_start (ids before it in its part), ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = Encoder.get(path, style), TaskContext.get().partitionId(), 0
+        encoder, part, before = Encoder.get(path, lower), TaskContext.get().partitionId(), 0
         for batch in batches:
-            rows, starts, counts = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = encode_document(encoder, text)
-                n = len(ids) // encoder.dtype.itemsize
-                rows.append(ids)
-                starts.append(before)
-                counts.append(n)
-                before += n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(rows), pa.int32()), batch.column(0), pa.array(counts, pa.int64()), pa.array(starts, pa.int64()), pa.array(rows, pa.binary())],
-                names=["part", "doc_id", "n_tokens", "local_start", "ids"],
-            )
+            at = 0
+            for counts, ids in encoder.column(batch.column(1)):
+                ends = np.cumsum(counts)
+                edges = np.append(0, ends * encoder.dtype.itemsize).astype(np.int32)
+                rows = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(edges), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(counts), part, np.int32)), batch.column(0).slice(at, len(counts)), pa.array(counts), pa.array(ends - counts + before), rows],
+                    names=["part", "doc_id", "n_tokens", "local_start", "ids"],
+                )
+                at, before = at + len(counts), before + int(ends[-1])
 
     return in_doc_order(documents).mapInArrow(run, f"part int, doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_tokens long, local_start long, ids binary")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize, open_fs, publish, scratch
-from .tokens import Encoder, encode_document, in_doc_order, part_offsets
+from .tokens import Encoder, in_doc_order, part_offsets
 
 MAGIC = b"WVM1"
 BLOCK = 512
@@ -155,33 +155,34 @@ class Shard:
         return x
 
 
-def write_shards(documents: DataFrame, folder: str, tokenizer: str, style: str = "words", shard_tokens: int = 1 << 21) -> DataFrame:
+def write_shards(documents: DataFrame, folder: str, tokenizer: str, lower: bool = True, shard_tokens: int = 1 << 21) -> DataFrame:
     """Tokenize and write; returns the manifest: part, shard, uri, docs, tokens, bytes.
 
-    A shard ends with the document that brings it to ``shard_tokens``, which
-    bounds a task's memory at any partition size.
+    A shard ends with the run of texts (about 1 MB, or one longer text) that
+    brings it to ``shard_tokens``, which bounds a task's memory at any partition size.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder.get(tokenizer, style), TaskContext.get().partitionId()
+        encoder, part = Encoder.get(tokenizer, lower), TaskContext.get().partitionId()
         bits = max(1, (max(encoder.tokenizer.get_vocab_size(), 2) - 1).bit_length())
-        done, ids, docs, held = [], [], [], 0
+        done, ids, sizes, docs, held = [], [], [], [], 0
 
         def flush():
-            nonlocal ids, docs, held
-            width = encoder.dtype.itemsize
-            tokens = np.frombuffer(b"".join(ids), encoder.dtype)
-            data = build(tokens, np.array(docs, np.int64), np.array([len(x) // width for x in ids], np.int64), bits)
+            nonlocal ids, sizes, docs, held
+            tokens, lengths = np.concatenate(ids), np.concatenate(sizes)
+            data = build(tokens, np.concatenate(docs), lengths, bits)
             uri = f"{folder}/part-{part:06d}-{len(done):05d}.wvm"
             publish(uri, lambda out: out.write(data))
-            done.append((part, len(done), uri, len(docs), len(tokens), len(data)))
-            ids, docs, held = [], [], 0
+            done.append((part, len(done), uri, len(lengths), len(tokens), len(data)))
+            ids, sizes, docs, held = [], [], [], 0
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(encode_document(encoder, text))
-                docs.append(NULL_ID if doc_id is None else doc_id)
-                held += len(ids[-1]) // encoder.dtype.itemsize
+            names, at = batch.column(0).cast(pa.int64()).fill_null(NULL_ID).to_numpy(), 0
+            for counts, run in encoder.column(batch.column(1)):
+                ids.append(run)
+                sizes.append(counts)
+                docs.append(names[at : at + len(counts)])
+                at, held = at + len(counts), held + len(run)
                 if held >= shard_tokens:
                     flush()
         if ids:

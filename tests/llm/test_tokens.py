@@ -2,13 +2,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from fixtures import DOCS, documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from concordat.llm import packing, wavelet
+from concordat.llm import packing, tokens, wavelet
 from concordat.llm.shared import scratch
 from concordat.llm.tokens import Encoder
 
@@ -23,19 +24,33 @@ def plain(path, text):
     return _plain[path].encode(text or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize(("path", "style"), [(BYTES, "bytes"), (WORDS, "words")])
-def test_cut_encoding_equals_plain(path, style):
-    e = Encoder(path, style)
-    for _, text in DOCS:
-        assert np.frombuffer(e.ids(text or ""), e.dtype).tolist() == plain(path, text)
+CASES = [(BYTES, False), (WORDS, True)]
+
+
+@pytest.mark.parametrize(("path", "lower"), CASES)
+def test_cut_encoding_equals_plain(path, lower):
+    e = Encoder(path, lower)
+    for _ in range(2):
+        for _, text in DOCS:
+            assert e.ids(text).tolist() == plain(path, text)
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from("ab1.,!' \n\t\r\x00\x1c\x85　́éΣßA|"), max_size=30))
-def test_cut_encoding_equals_plain_on_any_text(text):
-    for path, style in ((BYTES, "bytes"), (WORDS, "words")):
-        e = Encoder.get(path, style)
-        assert np.frombuffer(e.ids(text), e.dtype).tolist() == plain(path, text)
+@given(st.lists(st.text(st.sampled_from("ab1.,!' \n\t\r\x00\x1c\x85\u3000\u0301éΣßA|É\u2028\xa0"), max_size=20), max_size=4))
+def test_cut_encoding_equals_plain_on_any_texts(texts):
+    for path, lower in CASES:
+        for counts, flat in Encoder.get(path, lower).column(pa.array(texts, pa.string())):
+            for text, ids in zip(texts, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+                assert ids.tolist() == [*plain(path, text), 1]
+
+
+def test_table_grows_and_begins_anew(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_PIECES", 5)
+    e = Encoder(BYTES)
+    e._begin(bits=2)
+    for n in (3, 50, 7, 400):
+        text = " ".join(f"w{i * n}" for i in range(n))
+        assert e.ids(text).tolist() == plain(BYTES, text)
 
 
 def ordered():
