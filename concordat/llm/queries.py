@@ -1,6 +1,6 @@
 """The subpackage's registered queries, and the SQL of those that SQL can express."""
 
-from . import decontam, fingerprint, langid, linededup, neardup, packing, warc, wavelet
+from . import decontam, fingerprint, htmltree, langid, linededup, neardup, packing, warc, wavelet
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_segment_edit_join": linededup.op7_segment_edit_join,
     "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
     "op9_winnowing": decontam.op9_winnowing,
+    "op10_site_style_tree": htmltree.op10_site_style_tree,
 }
 
 ORACLE_SQL = {
