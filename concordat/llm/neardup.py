@@ -132,27 +132,31 @@ def _pairs(x: DataFrame) -> DataFrame:
     return x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _near_sizes(threshold: Fraction, a: str, b: str) -> F.Column:
+def _possible(threshold: Fraction, na: str, ca: str, nb: str, cb: str) -> F.Column:
+    """Whether sets of such sizes, of which so many shingles are not theirs alone,
+    can reach the threshold: an overlap is at most the lesser of the latter."""
     p, q = threshold.numerator, threshold.denominator
-    return F.expr(f"{a} * {q}L >= {b} * {p}L and {b} * {q}L >= {a} * {p}L")
+    return F.expr(f"least({ca}, {cb}) * {p + q}L >= ({na} + {nb}) * {p}L")
 
 
 def links(buckets: DataFrame, sets: DataFrame, threshold: Fraction, pivots: int = 2) -> tuple[DataFrame | None, DataFrame | None]:
     """(links found, roots): links that connect what any link within a bucket connects.
 
-    buckets: key, node, size.  The work is linear in the bucket rows, but for
-    pairs of different components that share a bucket; those are all tried.
+    buckets: key, node, size, common (shingles that another candidate has too).
+    The first pivot of a bucket is the node with the fewest shingles of its own,
+    the middle of a group of edited copies.  The work is linear in the bucket
+    rows, but for pairs of different components that share a bucket and pass the
+    bound on their overlap; those are all tried.
     """
     found, roots, tried, open_ = None, None, None, buckets.withColumn("root", F.col("node"))
     for turn in range(pivots + 1):
         if turn < pivots:
-            order = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
-            pivot = open_.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("size").alias("p_size"))).alias("v")).select("key", "v.*")
-            new = open_.join(pivot, "key").filter(F.expr("root <> p_root") & _near_sizes(threshold, "size", "p_size")).select(F.col("node").alias("a"), F.col("p").alias("b"))
+            order = (F.col("size") - F.col("common") if turn == 0 else F.xxhash64(F.lit(turn), "node")).cast("long")
+            pivot = open_.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("size").alias("p_size"), F.col("common").alias("p_common"))).alias("v")).select("key", "v.*")
+            new = open_.join(pivot, "key").filter(F.expr("root <> p_root") & _possible(threshold, "size", "common", "p_size", "p_common")).select(F.col("node").alias("a"), F.col("p").alias("b"))
         else:
-            x = open_.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"))
-            y = open_.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"))
-            new = x.join(y, (x.key == y.key) & F.expr("a < b and ra <> rb") & _near_sizes(threshold, "na", "nb")).select("a", "b")
+            x, y = (open_.select("key", *(F.col(c).alias(c[0] + s) for c in ("node", "root", "size", "common"))) for s in "ab")
+            new = x.join(y, (x.key == y.key) & F.expr("na < nb and ra <> rb") & _possible(threshold, "sa", "ca", "sb", "cb")).select(F.col("na").alias("a"), F.col("nb").alias("b"))
         new = _pairs(new)
         if tried is not None:
             new = new.join(tried, ["a", "b"], "left_anti")
@@ -191,13 +195,18 @@ def near_duplicates(documents: DataFrame, k: int, threshold: Fraction, bands: in
     each = sets.select("node", F.explode("shingles").alias("s"))
     common = each.groupBy("s").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("s")
     enough = each.join(common, "s", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    enough = enough.join(sets.select("node", F.size("shingles").alias("size")), "node").filter(f"n * {threshold.denominator}L >= size * {threshold.numerator}L").select("node")
-    buckets = materialize(buckets.join(enough, "node", "left_semi"), "neardup-buckets")
+    enough = enough.withColumnRenamed("n", "common")
+    buckets = materialize(buckets.join(enough, "node").filter(f"common * {threshold.denominator}L >= size * {threshold.numerator}L"), "neardup-buckets")
     _, roots = links(buckets, sets, threshold)
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rooted.join(names, "root")
-    return out.select("uid", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    # Names go to nodes first, so that the last join has plain inputs, whose skew is split.
+    heads = members.groupBy("node").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).join(roots, "node", "left").filter("n > 1 or root is not null")
+    heads = materialize(heads.select("node", "head", F.coalesce("root", "node").alias("root")), "neardup-heads")
+    names = heads.groupBy("root").agg(F.min("head").alias("component_id"))
+    named = materialize(heads.join(names, "root").select("node", F.struct("component_id").alias("name")), "neardup-names")
+    out = members.join(named, "node", "left")
+    component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("name.component_id"))
+    out = out.select("uid", "doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
