@@ -1,9 +1,10 @@
 """The subpackage's registered queries, and the SQL of those that SQL can express."""
 
-from . import decontam, fingerprint, htmltree, langid, linededup, neardup, packing, warc, wavelet
+from . import decontam, fingerprint, htmltree, langid, linededup, neardup, packing, quality, warc, wavelet
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
+    "op2_weak_label_quality": quality.op2_weak_label_quality,
     "op3_one_permutation_minhash": fingerprint.op3_one_permutation_minhash,
     "op4_segmentation_unigrams": langid.op4_segmentation_unigrams,
     "op5_concatenate_and_cut": packing.op5_concatenate_and_cut,

@@ -67,6 +67,7 @@ class Words:
     texts: int
     doc: np.ndarray  # the text of each word, from 0
     hash: np.ndarray
+    stem: np.ndarray | None = None  # hashes of the words' first bytes
 
     def bounds(self) -> np.ndarray:
         """Where each text's words begin, and the end."""
@@ -116,13 +117,14 @@ def piece_hashes(b: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[begins]) * inverse[begins])
 
 
-def words(column: pa.Array, word: np.ndarray) -> Iterator[Words]:
-    """The words of a string column (nulls: none), in runs of texts."""
+def words(column: pa.Array, word: np.ndarray, stem: int = 0) -> Iterator[Words]:
+    """The words of a string column (nulls: none), in runs of texts; with stem,
+    also the hashes of their first so many bytes."""
     for first, raw, offsets in text_runs(column):
-        yield _words(raw, offsets, first, word)
+        yield _words(raw, offsets, first, word, stem)
 
 
-def _words(raw: np.ndarray, offsets: np.ndarray, first: int, word: np.ndarray) -> Words:
+def _words(raw: np.ndarray, offsets: np.ndarray, first: int, word: np.ndarray, stem: int) -> Words:
     b = LOWER[raw]
     inside = np.empty(len(b) + 2, bool)
     inside[0] = inside[-1] = False
@@ -134,7 +136,8 @@ def _words(raw: np.ndarray, offsets: np.ndarray, first: int, word: np.ndarray) -
     ends[seams - 1] = inside[1:-1][seams - 1]
     begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     doc = np.searchsorted(offsets, begins, side="right") - 1
-    return Words(first, len(offsets) - 1, doc, piece_hashes(b, begins, ends))
+    stems = mix(piece_hashes(b, begins, np.minimum(ends, begins + stem))) if stem else None
+    return Words(first, len(offsets) - 1, doc, piece_hashes(b, begins, ends), stems)
 
 
 def shingle_sets(column: pa.Array, k: int, word: np.ndarray = NOT_SPACE) -> Iterator[tuple[int, list[np.ndarray]]]:
