@@ -12,9 +12,11 @@ the hash of (length, segment number, substring).  Pairs are then confirmed by
 a banded bit-parallel edit distance: a band of 2 * MOST_EDITS + 1 diagonals is
 kept in the bits of one number, a character of the longer line per step.
 
-Equal lines are one text from the start, so copies never pair.  A segment that
-many different texts of about one length share is a skewed key of an equi-join,
-which adaptive execution splits on both sides.  Nothing is capped.
+Equal lines are one text from the start, so copies never pair.  The join also
+asks that the texts' counts of eight common characters differ by no more than
+so many edits can change; that leaves few pairs of a segment that many edited
+copies share.  Such a segment is a skewed key of an equi-join, which adaptive
+execution splits on both sides.  Nothing is capped.
 
 Defined results for odd input: blank lines and null texts have no lines; white
 space at a line's ends is ignored; repeated rows repeat their lines' results;
@@ -50,11 +52,11 @@ def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> C
     return F.xxhash64(length, F.lit(i), F.substr(line, (start + 1).cast("int"), size.cast("int")))
 
 
-def index_keys(line: Column, length: Column) -> Column:
-    return F.array(*(_key(line, length, i, *_segment(length, i)) for i in range(SEGMENTS)))
+def index_keys(line: Column, length: Column) -> list[Column]:
+    return [_key(line, length, i, *_segment(length, i)) for i in range(SEGMENTS)]
 
 
-def probe_keys(line: Column, length: Column) -> Column:
+def probe_keys(line: Column, length: Column) -> list[Column]:
     """Keys of all substrings that may equal a segment of a line no longer.
 
     For a line shorter by d, segment i (from 0) is tried at shifts that leave at
@@ -67,7 +69,28 @@ def probe_keys(line: Column, length: Column) -> Column:
             start, size = _segment(other, i)
             rest = MOST_EDITS - i
             keys += [_key(line, other, i, start + s, size) for s in range(max(-i, d - rest), min(i, d + rest) + 1)]
-    return F.array(*keys)
+    return keys
+
+
+#: Characters whose counts, modulo 128, a text's bag holds; in texts without them it rules out nothing.
+BAG = " etaniso"
+
+
+def bag(line: Column) -> Column:
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(BAG):
+        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
+        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(127), 7 * i))
+    return out
+
+
+def bags_near(a: Column, b: Column) -> Column:
+    """Whether MOST_EDITS edits can make one bag of the other: each changes two counts by one at most."""
+    total = F.lit(0).cast("long")
+    for i in range(len(BAG)):
+        d = F.abs(F.shiftright(a, 7 * i).bitwiseAND(127) - F.shiftright(b, 7 * i).bitwiseAND(127))
+        total = total + F.least(d, 128 - d)
+    return total <= 2 * MOST_EDITS
 
 
 def bounded_edits(a: Column, b: Column, most: int = MOST_EDITS) -> Column:
@@ -134,17 +157,22 @@ def _most(length: Column) -> Column:
     return F.least(F.lit(MOST_EDITS), F.floor(length / SHARE).cast("int"))
 
 
+#: ASCII white space.
+BLANKS = " \t\n\x0b\x0c\r"
+
+
 def lines_of(documents: DataFrame) -> DataFrame:
-    """doc_id, doc_hash, line_no (from 0), line, h, g: the lines that are not blank, with two hashes."""
+    """doc_id, doc_hash, line_no (from 0), line, h, g, n: the lines that are not
+    blank, with two hashes and their characters."""
     rows = documents.select("doc_id", F.xxhash64("text").alias("doc_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    rows = rows.select("doc_id", "doc_hash", "line_no", F.regexp_replace("raw", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("line")).filter("line <> ''")
-    return rows.select("*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    rows = rows.select("doc_id", "doc_hash", "line_no", F.btrim("raw", F.lit(BLANKS)).alias("line")).filter("line <> ''")
+    return rows.select("*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.char_length("line").alias("n"))
 
 
 def _near(bits: DataFrame) -> bytes:
     """The bitmap of the h column: 2^BITMAP_LOG2 bits, as many bytes / 8 at any input."""
     at = F.col("h").bitwiseAND((1 << BITMAP_LOG2) - 1)
-    cells = bits.groupBy(F.shiftright(at, 3).alias("cell")).agg(F.expr(f"bit_or(shiftleft(1, cast(h & 7 as int)))").alias("v")).toArrow()
+    cells = bits.groupBy(F.shiftright(at, 3).alias("cell")).agg(F.expr("bit_or(shiftleft(1, cast(h & 7 as int)))").alias("v")).toArrow()
     out = bytearray(1 << BITMAP_LOG2 - 3)
     for cell, v in zip(cells.column(0).to_pylist(), cells.column(1).to_pylist(), strict=True):
         out[cell] = v
@@ -160,12 +188,17 @@ def _maybe(bitmap: bytes) -> Column:
 def links(documents: DataFrame) -> DataFrame:
     """ha, ga, hb, gb: the linked pairs of different texts, each once; materialised."""
     lines = lines_of(documents)
-    n = F.char_length("line")
-    keys = F.when(n >= SHARE - MOST_EDITS, F.concat(index_keys(F.col("line"), n), F.when(n >= SHARE, probe_keys(F.col("line"), n)).otherwise(F.array().cast("array<bigint>"))))
-    texts = lines.select("h", keys.alias("keys")).filter("keys is not null").groupBy("h").agg(F.first("keys").alias("keys"))
-    index = texts.select(F.col("h").alias("a"), F.explode(F.slice("keys", 1, SEGMENTS)).alias("key"))
-    probe = texts.select(F.col("h").alias("b"), F.explode(F.slice("keys", SEGMENTS + 1, 1000)).alias("key"))
-    pairs = index.join(probe, (index.key == probe.key) & F.expr("a <> b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    n, line = F.col("n"), F.col("line")
+    # A number per key, not an array, keeps this a hash aggregate.
+    index = index_keys(line, n)
+    probe = [F.when(n >= SHARE, k) for k in probe_keys(line, n)]
+    texts = lines.filter(n >= SHARE - MOST_EDITS).select("h", bag(line).alias("bag"), *(k.alias(f"k{i}") for i, k in enumerate(index + probe)))
+    texts = texts.groupBy("h").agg(*(F.min(c).alias(c) for c in texts.columns[1:]))
+    keys = [F.col(f"k{i}") for i in range(len(index) + len(probe))]
+    index_side = texts.select(F.col("h").alias("a"), F.col("bag").alias("bag_a"), F.explode(F.array(*keys[: len(index)])).alias("key"))
+    probe_side = texts.filter("k3 is not null").select(F.col("h").alias("b"), F.col("bag").alias("bag_b"), F.explode(F.array(*keys[len(index) :])).alias("probe_key"))
+    met = index_side.join(probe_side, (F.col("key") == F.col("probe_key")) & F.expr("a <> b") & bags_near(F.col("bag_a"), F.col("bag_b")))
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs, "lines-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     found = lines.filter(_maybe(_near(wanted))).select("h", "g", "line").join(wanted, "h", "left_semi").groupBy("h", "g").agg(F.first("line").alias("line"))
@@ -188,7 +221,8 @@ def line_classes(documents: DataFrame) -> DataFrame:
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     linked = components(edges, "lines-components").join(degree, "node")
     linked = linked.select("node.h", "node.g", F.col("root.h").alias("rh"), F.col("root.g").alias("rg"), "n_links")
-    lines = lines_of(documents).select("doc_id", "doc_hash", "line_no", "h", "g", F.char_length("line").cast("long").alias("n_chars"))
+    lines = lines_of(documents).select("doc_id", "doc_hash", "line_no", "h", "g", F.col("n").cast("long").alias("n_chars"))
+    lines = materialize(lines, "lines-hashes")
     texts = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
     texts = texts.join(linked, ["h", "g"], "left").filter("n > 1 or n_links is not null")
     texts = texts.withColumn("rh", F.coalesce("rh", "h")).withColumn("rg", F.coalesce("rg", "g"))
