@@ -108,16 +108,26 @@ def _sketched(documents: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"uid long, doc_id {kind}, n_shingles long, digest binary, bands array<long>")
 
 
+#: Numbers of 64 bits that hold the parities of a set's hashed shingles.
+PARITY = 8
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bit i tells whether an odd number of shingles falls on it: two sets differ
+    in at least as many elements as their parities do in bits."""
+    return np.packbits(np.bincount((s >> _U(55)).astype(np.int64), minlength=64 * PARITY) & 1, bitorder="little").view(np.int64)
+
+
 def _full_sets(documents: DataFrame, k: int) -> DataFrame:
-    """digest, shingles of each row."""
+    """digest, shingles, parity of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sets in shingle_sets(batch.column(0), k):
                 ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["digest", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))], names=["digest", "shingles", "parity"])
 
-    return documents.select("text").mapInArrow(run, "digest binary, shingles array<long>")
+    return documents.select("text").mapInArrow(run, "digest binary, shingles array<long>, parity array<long>")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -132,17 +142,20 @@ def _pairs(x: DataFrame) -> DataFrame:
     return x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _possible(threshold: Fraction, na: str, ca: str, nb: str, cb: str) -> F.Column:
-    """Whether sets of such sizes, of which so many shingles are not theirs alone,
-    can reach the threshold: an overlap is at most the lesser of the latter."""
+def _possible(threshold: Fraction, a: str, b: str) -> F.Column:
+    """Whether sets can reach the threshold, by their columns size_, common_ and
+    parity_: an overlap is at most the shingles that are not a set's alone, and
+    a difference at least that of the parities."""
     p, q = threshold.numerator, threshold.denominator
-    return F.expr(f"least({ca}, {cb}) * {p + q}L >= ({na} + {nb}) * {p}L")
+    apart = " + ".join(f"bit_count(parity_{a}[{i}] ^ parity_{b}[{i}])" for i in range(PARITY))
+    both = f"(size_{a} + size_{b})"
+    return F.expr(f"least(common_{a}, common_{b}) * {p + q}L >= {both} * {p}L and ({apart}) * {p + q}L <= {both} * {q - p}L")
 
 
 def links(buckets: DataFrame, sets: DataFrame, threshold: Fraction, pivots: int = 2) -> tuple[DataFrame | None, DataFrame | None]:
     """(links found, roots): links that connect what any link within a bucket connects.
 
-    buckets: key, node, size, common (shingles that another candidate has too).
+    buckets: key, node, size, common (shingles that another candidate has too), parity.
     The first pivot of a bucket is the node with the fewest shingles of its own,
     the middle of a group of edited copies.  The work is linear in the bucket
     rows, but for pairs of different components that share a bucket and pass the
@@ -150,13 +163,16 @@ def links(buckets: DataFrame, sets: DataFrame, threshold: Fraction, pivots: int
     """
     found, roots, tried, open_ = None, None, None, buckets.withColumn("root", F.col("node"))
     for turn in range(pivots + 1):
+        named = lambda s: open_.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "size", "common", "parity")))  # noqa: B023, E731
         if turn < pivots:
-            order = (F.col("size") - F.col("common") if turn == 0 else F.xxhash64(F.lit(turn), "node")).cast("long")
-            pivot = open_.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("size").alias("p_size"), F.col("common").alias("p_common"))).alias("v")).select("key", "v.*")
-            new = open_.join(pivot, "key").filter(F.expr("root <> p_root") & _possible(threshold, "size", "common", "p_size", "p_common")).select(F.col("node").alias("a"), F.col("p").alias("b"))
+            order = (F.col("size_b") - F.col("common_b") if turn == 0 else F.xxhash64(F.lit(turn), "node_b")).cast("long")
+            pivot = named("b").withColumn("order", order)
+            pivot = pivot.groupBy("key").agg(F.min(F.struct("order", *(c for c in pivot.columns if c not in ("key", "order")))).alias("v")).select("key", "v.*")
+            new = named("a").join(pivot, "key").filter(F.expr("root_a <> root_b") & _possible(threshold, "a", "b"))
         else:
-            x, y = (open_.select("key", *(F.col(c).alias(c[0] + s) for c in ("node", "root", "size", "common"))) for s in "ab")
-            new = x.join(y, (x.key == y.key) & F.expr("na < nb and ra <> rb") & _possible(threshold, "sa", "ca", "sb", "cb")).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+            x, y = named("a"), named("b")
+            new = x.join(y, (x.key == y.key) & F.expr("node_a < node_b and root_a <> root_b") & _possible(threshold, "a", "b"))
+        new = new.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         new = _pairs(new)
         if tried is not None:
             new = new.join(tried, ["a", "b"], "left_anti")
@@ -190,12 +206,12 @@ def near_duplicates(documents: DataFrame, k: int, threshold: Fraction, bands: in
     wanted = materialize(wanted, "neardup-wanted")
     ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
     texts = documents.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = materialize(_full_sets(texts, k).join(wanted.select("node", "digest"), "digest").dropDuplicates(["node"]).select("node", "shingles"), "neardup-sets")
+    sets = materialize(_full_sets(texts, k).join(wanted.select("node", "digest"), "digest").dropDuplicates(["node"]).select("node", "shingles", "parity"), "neardup-sets")
     # An upper bound of any overlap: shingles that another candidate has too.
     each = sets.select("node", F.explode("shingles").alias("s"))
     common = each.groupBy("s").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("s")
     enough = each.join(common, "s", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    enough = enough.withColumnRenamed("n", "common")
+    enough = enough.withColumnRenamed("n", "common").join(sets.select("node", "parity"), "node")
     buckets = materialize(buckets.join(enough, "node").filter(f"common * {threshold.denominator}L >= size * {threshold.numerator}L"), "neardup-buckets")
     _, roots = links(buckets, sets, threshold)
     # Names go to nodes first, so that the last join has plain inputs, whose skew is split.

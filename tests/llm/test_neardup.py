@@ -74,7 +74,8 @@ def test_pairs_of_every_turn_are_confirmed(spark):
     """Without pivots all links come from the last, exhaustive turn."""
     sets = [{1, 2, 3, 4}, {1, 2, 3, 5}, {9}, {1, 2, 3, 4, 5}]
     s = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "node long, shingles array<long>")
-    b = spark.createDataFrame([(0, i, len(x), len(x) - (x == {9})) for i, x in enumerate(sets)], "key long, node long, size int, common int")
+    hashed = [texthash.mix(np.array(sorted(x), np.uint64)) for x in sets]
+    b = spark.createDataFrame([(0, i, len(x), len(x) - (x == {9}), neardup.parity(h).tolist()) for i, (x, h) in enumerate(zip(sets, hashed, strict=True))], "key long, node long, size int, common int, parity array<long>")
     for pivots in (0, 1, 2):
         found, roots = neardup.links(b, s, Fraction(3, 5), pivots)
         assert {tuple(r) for r in roots.collect()} == {(0, 0), (1, 0), (3, 0)}
@@ -129,3 +130,14 @@ def test_components(spark, edges):
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
     assert got == root
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 100, 2000):
+        a, b = rng.integers(0, 2**63, (2, n)).astype(np.uint64) << np.uint64(1)
+        for same in (0, n // 2, n):
+            other = np.concatenate([a[:same], b[same:]])
+            apart = int(np.bitwise_count((neardup.parity(a) ^ neardup.parity(other)).view(np.uint64)).sum())
+            assert apart <= 2 * (n - same)
+            assert (apart - 2 * (n - same)) % 2 == 0
