@@ -582,7 +582,7 @@ def node_components(spark, d):
     return a.select("a", paths.location_parts(F.col("a")).alias("p")).select("a", "p.*")
 
 
-@query("SELECT 0 AS node_idx, 'data/alpha' AS label UNION ALL SELECT 1, 'store:beta' UNION ALL SELECT 2, 'far:da…/alpha'", tables=False)
+@query("SELECT 0 AS node_idx, 'data/alpha' AS label UNION ALL SELECT 1, 'store:…/beta' UNION ALL SELECT 2, 'far:data/alpha'", tables=False)
 def node_labels(spark, d):
     return labels.node_labels(derived.nodes(spark)).select("node_idx", "label")
 
@@ -618,11 +618,7 @@ def listing_round_trip(spark, d):
     lines = listing.listing_lines(_inv(spark, d))
     rows = lines.select(F.concat(F.lit("node"), F.col("node_idx").cast("string"), F.lit("/"), "path").alias("file"), F.col("pos").alias("seq"), F.col("line").alias("value"))
     back = listing.parse_listing(rows)
-    # Each path was a listing of its own here, so the node comes back with the pair.
-    node = lines.filter("pos = -1").select("node_idx", "path", F.get_json_object("line", "$.mt").cast("long").alias("mtime"), F.get_json_object("line", "$.mod").cast("long").alias("mode"), F.get_json_object("line", "$.sz").cast("long").alias("size"))
-    rows = back.groupBy("path", "tp", "mode", "mtime", "size", "target", F.size("chunks").alias("n_chunks")).agg(F.count(F.lit(1)).alias("n"))
-    joined = node.join(rows, ["path", "mtime", "mode", "size"])
-    return joined.select(F.concat(F.lit("node"), F.col("node_idx").cast("string")).alias("file"), "path", "tp", "mode", "mtime", "size", "target", F.col("n_chunks").cast("long").alias("n_chunks")).distinct()
+    return back.select(F.split_part("file", F.lit("/"), F.lit(1)).alias("file"), "path", "tp", "mode", "mtime", "size", "target", F.size("chunks").cast("long").alias("n_chunks"))
 
 
 @query("SELECT n_name AS name, regexp_full_match(n_name, '.*[AEIOU]') AS offered, CASE WHEN n_nationkey % 3 = 0 THEN [3, n_nationkey] WHEN n_nationkey % 3 = 1 THEN [n_nationkey] END AS versions FROM nation", tables=False)
@@ -743,7 +739,7 @@ def reassemble(spark, d):
 @query("SELECT path, tp, mode, mtime, size FROM (SELECT o.*, 1700000000 + doc_id * 60 AS mtime FROM prev o)")
 def snapshot_import(spark, d):
     prev = derived.prev_state(spark, d)
-    rows = prev.select(F.to_json(F.create_map("path", F.from_json(codec.state_json(), snapshot._FILE[7:-1]))).alias("value"))
+    rows = prev.select(F.to_json(F.create_map("path", F.from_json(codec.state_json(), snapshot.ENTRY))).alias("value"))
     return snapshot.from_json_text(rows).select("path", "tp", "mode", "mtime", "size")
 
 

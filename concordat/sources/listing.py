@@ -17,7 +17,7 @@ def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_listing(lines: DataFrame) -> DataFrame:
-    """Inventory rows (without node) of lines (file, seq, value).
+    """file and inventory rows (without node) of lines (file, seq, value).
 
     A chunk row belongs to the last entry row before it; rows of unknown type
     or without JSON are skipped; S and L are symlinks; missing numbers are 0.
@@ -31,7 +31,7 @@ def parse_listing(lines: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("r.typ") == "C", F.struct("seq", F.col("r.hsh").alias("hash"), F.col("r.off").alias("offset"), F.col("r.len").alias("size"))))).alias("c"),
     )
     return grouped.filter("e.pth is not null").select(
-        F.col("e.pth").alias("path"), F.when(F.col("e.typ") == "S", "L").otherwise(F.col("e.typ")).alias("tp"), zero("mod").alias("mode"), zero("uid").alias("uid"), zero("gid").alias("gid"),
+        "file", F.col("e.pth").alias("path"), F.when(F.col("e.typ") == "S", "L").otherwise(F.col("e.typ")).alias("tp"), zero("mod").alias("mode"), zero("uid").alias("uid"), zero("gid").alias("gid"),
         zero("ct").alias("ctime"), zero("mt").alias("mtime"), zero("sz").alias("size"), F.transform("c", lambda x: F.struct(x["hash"].alias("hash"), x["offset"].alias("offset"), x["size"].alias("size"))).alias("chunks"), F.col("e.tgt").alias("target"),
     )
 
@@ -44,8 +44,10 @@ def listing_lines(inventory: DataFrame) -> DataFrame:
 
 
 def write_listing(inventory: DataFrame, path: str) -> None:
-    """One or more text files; an entry's lines stay together and in order."""
-    listing_lines(inventory).repartition("node_idx", "path").sortWithinPartitions("node_idx", "path", "pos").select("line").write.text(path)
+    """Text files; an entry's lines come from one row, so they stay together and in order
+    without a shuffle."""
+    lines = F.concat(F.array(entry_json()), F.coalesce(F.transform("chunks", lambda c: chunk_json(c["hash"], c["offset"], c["size"])), F.array().cast("array<string>")))
+    inventory.select(F.explode(lines).alias("line")).write.text(path)
 
 
 def parse_colon_lines(lines: DataFrame, strict: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from ..schemas import PREV_STATE, TYPE_ALIASES
 
 SUFFIX = ".profile.json"
 _CHUNK = "array<struct<h:string,of:long,sz:long>>"
-_FILE = f"struct<tp:string,p:string,md:long,usr:long,grp:long,ct:long,mt:long,sz:long,ch:{_CHUNK},tgt:string>"
+ENTRY = f"struct<tp:string,p:string,md:long,usr:long,grp:long,ct:long,mt:long,sz:long,ch:{_CHUNK},tgt:string>"
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -42,8 +42,8 @@ def clear(spark: SparkSession, path: str) -> bool:
 
 def from_json_text(rows: DataFrame) -> DataFrame:
     """Entries of JSON states (value): a map path -> entry, or {files, timestamp} around it."""
-    wrapped = F.from_json("value", f"struct<files:map<string,{_FILE}>,timestamp:long>")
-    flat = F.from_json("value", f"map<string,{_FILE}>")
+    wrapped = F.from_json("value", f"struct<files:map<string,{ENTRY}>,timestamp:long>")
+    flat = F.from_json("value", f"map<string,{ENTRY}>")
     files = F.when(F.get_json_object("value", "$.files").isNotNull(), wrapped["files"]).otherwise(flat)
     e = rows.select(F.explode(files).alias("key", "e"))
     aliases = F.create_map(*(F.lit(x) for kv in TYPE_ALIASES.items() for x in kv))
