@@ -56,6 +56,10 @@ def index_keys(line: Column, length: Column) -> list[Column]:
     return [_key(line, length, i, *_segment(length, i)) for i in range(SEGMENTS)]
 
 
+#: Places, after the index keys, of the probes that are a text's own segments.
+UNSHIFTED = (SEGMENTS, SEGMENTS + 2, SEGMENTS + 4)
+
+
 def probe_keys(line: Column, length: Column) -> list[Column]:
     """Keys of all substrings that may equal a segment of a line no longer.
 
@@ -72,15 +76,17 @@ def probe_keys(line: Column, length: Column) -> list[Column]:
     return keys
 
 
-#: Characters whose counts, modulo 128, a text's bag holds; in texts without them it rules out nothing.
-BAG = " etaniso"
+#: Characters whose counts, modulo 16, a text's bag holds; in texts without them it rules out nothing.
+BAG = " etanisorhldbgw"
+_BITS = 4
+_MASK = (1 << _BITS) - 1
 
 
 def bag(line: Column) -> Column:
     out = F.lit(0).cast("long")
     for i, c in enumerate(BAG):
         n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
-        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(127), 7 * i))
+        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(_MASK), _BITS * i))
     return out
 
 
@@ -88,8 +94,8 @@ def bags_near(a: Column, b: Column) -> Column:
     """Whether MOST_EDITS edits can make one bag of the other: each changes two counts by one at most."""
     total = F.lit(0).cast("long")
     for i in range(len(BAG)):
-        d = F.abs(F.shiftright(a, 7 * i).bitwiseAND(127) - F.shiftright(b, 7 * i).bitwiseAND(127))
-        total = total + F.least(d, 128 - d)
+        d = F.abs(F.shiftright(a, _BITS * i).bitwiseAND(_MASK) - F.shiftright(b, _BITS * i).bitwiseAND(_MASK))
+        total = total + F.least(d, _MASK + 1 - d)
     return total <= 2 * MOST_EDITS
 
 
@@ -194,10 +200,12 @@ def links(documents: DataFrame) -> DataFrame:
     probe = [F.when(n >= SHARE, k) for k in probe_keys(line, n)]
     texts = lines.filter(n >= SHARE - MOST_EDITS).select("h", bag(line).alias("bag"), *(k.alias(f"k{i}") for i, k in enumerate(index + probe)))
     texts = texts.groupBy("h").agg(*(F.min(c).alias(c) for c in texts.columns[1:]))
-    keys = [F.col(f"k{i}") for i in range(len(index) + len(probe))]
-    index_side = texts.select(F.col("h").alias("a"), F.col("bag").alias("bag_a"), F.explode(F.array(*keys[: len(index)])).alias("key"))
-    probe_side = texts.filter("k3 is not null").select(F.col("h").alias("b"), F.col("bag").alias("bag_b"), F.explode(F.array(*keys[len(index) :])).alias("probe_key"))
-    met = index_side.join(probe_side, (F.col("key") == F.col("probe_key")) & F.expr("a <> b") & bags_near(F.col("bag_a"), F.col("bag_b")))
+    # Both sides read all columns, so that one shuffle of the texts serves both.
+    keyed = texts.select("h", "bag", F.posexplode(F.array(*(F.col(f"k{i}") for i in range(len(index) + len(probe))))).alias("at", "key"))
+    index_side = keyed.filter(F.col("at") < SEGMENTS).select(F.col("h").alias("a"), F.col("bag").alias("bag_a"), "key")
+    probe_side = keyed.filter((F.col("at") >= SEGMENTS) & F.col("key").isNotNull()).select(F.col("h").alias("b"), F.col("bag").alias("bag_b"), F.col("key").alias("probe_key"), F.col("at").isin(*UNSHIFTED).alias("mutual"))
+    # Texts of one length that share an unshifted segment meet either way round; once is enough.
+    met = index_side.join(probe_side, (F.col("key") == F.col("probe_key")) & F.expr("a <> b and (a < b or not mutual)") & bags_near(F.col("bag_a"), F.col("bag_b")))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs, "lines-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
