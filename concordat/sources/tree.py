@@ -35,7 +35,7 @@ class TreeReader(DataSourceReader):
         return [Subtree(name) for name in sorted(os.listdir(self.root))] or [Subtree("")]
 
     def read(self, partition) -> Iterator[tuple]:
-        excluded = re.compile("|".join(self.exclude)).search if self.exclude else lambda _: None
+        excluded = re.compile("|".join(g.removeprefix("(?s)") for g in self.exclude), re.S).search if self.exclude else lambda _: None
         stack = [partition.value] if partition.value else []
         while stack:
             path = stack.pop()

@@ -91,8 +91,11 @@ def throttle(events: DataFrame, gap_seconds: int) -> DataFrame:
 
 
 def resolutions(stream: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """Valid choices of a stream (seq, path, chosen_node), the first of each path, joined with
-    the pending conflicts (static)."""
+    """path, winner_node: of the valid choices (seq, path, chosen_node) the first of each path.
+
+    The pending conflicts are a static table; the choices may be a stream, whose
+    state is one row per resolved path (complete or update mode).
+    """
     joined = stream.join(conflicts.select("path", "versions"), "path").filter((F.col("chosen_node") >= 0) & (F.col("chosen_node") < F.size("versions")))
     picked = joined.select("seq", "path", F.get("versions", F.col("chosen_node"))["node_idx"].alias("winner_node"))
-    return picked.dropDuplicates(["path"]) if stream.isStreaming else picked.groupBy("path").agg(F.min(F.struct("seq", "winner_node")).alias("r")).select("path", "r.winner_node")
+    return picked.groupBy("path").agg(F.min(F.struct("seq", "winner_node")).alias("r")).select("path", "r.winner_node")
