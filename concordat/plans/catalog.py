@@ -717,8 +717,8 @@ def cdc_chunks(spark, d):
 
 
 def _payloads(spark, d):
-    rows = derived.contents(spark, d).select("node_idx", "path", "body", F.posexplode(derived.fixed_chunks(F.col("body"))).alias("pos", "c"))
-    return rows.select("node_idx", "path", "pos", "c.hash", "c.offset", "c.size", F.substr("body", (F.col("c.offset") + 1).cast("int"), F.lit(derived.SLICE)).alias("data"))
+    rows = derived.contents(spark, d).select("node_idx", "path", F.posexplode(derived.slices(F.col("body"))).alias("pos", "data"))
+    return rows.select("node_idx", "path", "pos", F.md5("data").alias("hash"), (F.col("pos") * derived.SLICE).cast("long").alias("offset"), F.length("data").cast("long").alias("size"), "data")
 
 
 @query("SELECT hash, min(node_idx) FILTER (node_idx > 0 OR pos % 2 = 0) AS node_idx FROM chunks GROUP BY hash HAVING count(*) FILTER (node_idx > 0 OR pos % 2 = 0) > 0")

@@ -23,14 +23,14 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def slices(body: Column, size: int = SLICE) -> Column:
+    """The body in pieces of ``size`` characters; one pass, however long it is."""
+    return F.regexp_extract_all(body, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def fixed_chunks(body: Column, size: int = SLICE) -> Column:
     """array of (hash, offset, size) over slices of ``size`` characters."""
-    n = F.length(body)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        starts,
-        lambda i: F.struct(F.md5(F.substr(body, i + 1, F.lit(size))).alias("hash"), i.cast("long").alias("offset"), F.least(F.lit(size), n - i).cast("long").alias("size")),
-    )
+    return F.transform(slices(body, size), lambda x, i: F.struct(F.md5(x).alias("hash"), (i * size).cast("long").alias("offset"), F.length(x).cast("long").alias("size")))
 
 
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
