@@ -97,3 +97,14 @@ def log_line(level: Column, message: Column) -> Column:
     mark = F.when(level == "error", "!").otherwise("#")
     letter = F.upper(F.left(level, F.lit(1)))
     return F.concat(mark, letter, F.lit(":"), message)
+
+
+def commit_response(renamed: Column, failed: Column) -> Column:
+    return F.concat(F.lit("OK:"), renamed.cast("string"), F.lit(":"), failed.cast("string"))
+
+
+def parse_commit_response(message: Column) -> Column:
+    """struct(ok, renamed, failed); a commit with failures is not ok."""
+    number = lambda i: F.regexp_extract(message, r"^OK(?::(\d+):(\d+))?$", i).try_cast("long")
+    failed = F.coalesce(number(2), F.lit(0).cast("long"))
+    return F.struct((message.startswith("OK") & (failed == 0)).alias("ok"), number(1).alias("renamed"), failed.alias("failed"))

@@ -112,3 +112,12 @@ def ratio(part: Column, whole: Column) -> Column:
 def age(mtime: Column, now: Column) -> Column:
     """Seconds since, 0 for the future."""
     return F.greatest(now - mtime, F.lit(0))
+
+
+def is_automatic(strategy: Column) -> Column:
+    """Whether a strategy needs no one to ask."""
+    return strategy != "interactive"
+
+
+def allows_deletion(mode: Column) -> Column:
+    return mode != "no-delete"

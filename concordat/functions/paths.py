@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,3 +68,21 @@ def location_parts(location: Column) -> Column:
     host = F.when(remote, F.when(at, F.regexp_extract(front, "^[^@]*@(.*)$", 1)).otherwise(front)).otherwise("local")
     path = F.when(remote, F.regexp_extract(t, "(?s)^[^:]*:(.*)$", 1)).otherwise(t)
     return F.struct(remote.alias("is_remote"), user.alias("user"), host.alias("host"), path.alias("path"))
+
+
+def expand(path: str) -> str:
+    """A location made absolute on the driver; a leading ~ is the home folder."""
+    if path.startswith("~") and "HOME" in os.environ:
+        return path.replace("~", os.environ["HOME"], 1)
+    return path if os.path.isabs(path) else os.path.join(os.getcwd(), path)
+
+
+def default_trash() -> str:
+    """The desktop trash of the driver's user."""
+    home = os.environ.get("XDG_DATA_HOME") or os.path.join(os.environ.get("HOME", "/tmp"), ".local/share")
+    return os.path.join(home, "Trash/files")
+
+
+def unique_hosts(locations: Column) -> Column:
+    """The distinct remote hosts of an array of locations, sorted; a user stays with its host."""
+    return F.array_sort(F.array_distinct(F.transform(F.filter(locations, is_remote), lambda x: F.substring_index(x, ":", 1))))

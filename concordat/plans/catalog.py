@@ -12,7 +12,9 @@ from ..functions.globs import to_regex
 from ..operators import chunking, dedup, diff, filters, plan, reconcile, resolve, state
 from ..sources import derived, listing, snapshot
 from ..sources.derived import N_NODES, ORACLE_CTES
+from ..storage import scratch
 from ..streaming import events as ev
+from ..streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -706,6 +708,25 @@ def stream_progress(spark, d):
     return ev.run_available(ev.progress(ev.translate(ev.read_stream(spark, d, "events"))), "complete", "stream-progress")
 
 
+@query("SELECT path, status, CASE WHEN status = 'winner' THEN candidate END AS winner_node, n_present FROM diff")
+def stream_diff(spark, d):
+    folder, out = scratch(spark, "watch-drop"), scratch(spark, "watch-out")
+    _inv(spark, d).write.parquet(folder)
+    watch.watch(spark, folder, derived.prev_state(spark, d), N_NODES, out, available_now=True).awaitTermination()
+    return watch.latest(spark, out).select("path", "status", "winner_node", "n_present")
+
+
+@query(
+    "SELECT path, node_idx AS winner_node FROM (SELECT r.path, v.node_idx, row_number() OVER (PARTITION BY r.path ORDER BY r.seq) AS k FROM (SELECT path, doc_id * 10 + j AS seq, (doc_id + j) % 4 AS chosen FROM (SELECT DISTINCT path, doc_id FROM inv WHERE doc_id % 2 = 1), unnest([0, 1, 2]) AS u(j)) r JOIN diff d ON d.path = r.path AND d.status = 'conflict' JOIN (SELECT path, node_idx, row_number() OVER (PARTITION BY path ORDER BY node_idx) - 1 AS pos FROM inv) v ON v.path = r.path AND v.pos = r.chosen) WHERE k = 1"
+)
+def stream_resolutions(spark, d):
+    folder = scratch(spark, "choices")
+    rows = derived.contents(spark, d).filter("doc_id % 2 = 1").select("path", "doc_id").distinct().withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    rows.select((F.col("doc_id") * 10 + F.col("j")).alias("seq"), "path", ((F.col("doc_id") + F.col("j")) % 4).cast("int").alias("chosen_node")).write.parquet(folder)
+    stream = spark.readStream.schema("seq long, path string, chosen_node int").parquet(folder)
+    return ev.run_available(ev.resolutions(stream, _conflicts(spark, d)), "complete", "stream-resolutions")
+
+
 # Bytes
 
 

@@ -210,3 +210,15 @@ def test_locks_cache_and_versions(spark):
     for bad in ({"chunk_bits": 7}, {"cache_size": 0}, {"retries": 101}, {"timeout": 0}):
         with pytest.raises(ValueError):
             state.check_config(**bad)
+
+
+def test_small_helpers(spark, monkeypatch):
+    assert one(spark, literals.is_automatic(F.lit("interactive"))) is False
+    assert one(spark, literals.allows_deletion(F.lit("no-delete"))) is False
+    got = lambda m: tuple(one(spark, codec.parse_commit_response(F.lit(m))))
+    assert [got(m) for m in ("OK:2:0", "OK:1:1", "OK", "ERR")] == [(True, 2, 0), (False, 1, 1), (True, None, 0), (False, None, 0)]
+    assert one(spark, codec.commit_response(F.lit(2), F.lit(0))) == "OK:2:0"
+    monkeypatch.setenv("HOME", "/h")
+    monkeypatch.delenv("XDG_DATA_HOME", raising=False)
+    assert paths.expand("~/x") == "/h/x" and paths.expand("/a") == "/a" and paths.default_trash() == "/h/.local/share/Trash/files"
+    assert one(spark, paths.unique_hosts(F.array(*map(F.lit, ("b:/x", "/a:b", "me@a:/y", "b:/z"))))) == ["b", "me@a"]

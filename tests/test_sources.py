@@ -232,3 +232,16 @@ def test_chunk_targets_serve_every_place(spark):
     plan_rows = spark.createDataFrame([("q", 0, 1, True, True), ("n", 0, 1, True, True)], "path string, src_node int, dst_node int, trans_meta boolean, trans_data boolean")
     got = {(r.path, r.src_node) for r in plan.chunk_targets(a.unionByName(b), plan_rows).collect()}
     assert got == {("q", 1), ("n", 0)}
+
+
+def test_watch_diffs_what_comes(spark, tmp_path):
+    from concordat.streaming import watch
+
+    drop, out = f"{tmp_path}/drop", f"{tmp_path}/out"
+    small(spark, [("p", 1, "x"), ("q", 1, "y")]).write.parquet(f"{drop}/0")
+    watch.watch(spark, drop, None, 2, out, available_now=True).awaitTermination()
+    assert {(r.path, r.status) for r in watch.latest(spark, out).collect()} == {("p", "winner"), ("q", "winner")}
+    small(spark, [("p", 1, "z")]).withColumn("node_idx", F.lit(1)).write.parquet(f"{drop}/1")
+    watch.watch(spark, drop, None, 2, f"{out}2", available_now=True).awaitTermination()
+    assert {(r.path, r.status) for r in watch.latest(spark, f"{out}2").collect()} == {("p", "conflict"), ("q", "winner")}
+    assert watch.stop_all(spark) == 0
