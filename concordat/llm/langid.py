@@ -87,7 +87,7 @@ class Pieces:
         sizes = np.array([len(w) for w in words])
         for m in np.unique(sizes).tolist():
             rows = np.flatnonzero(sizes == m)
-            for rows_ in np.array_split(rows, len(rows) // 20_000 + 1):
+            for rows_ in np.array_split(rows, len(rows) // 2000 + 1):
                 flat = np.frombuffer(b"".join(words[i] for i in rows_), np.uint8)
                 base = np.arange(len(rows_)) * m
                 cells = {}

@@ -36,7 +36,7 @@ MOST_EDITS = 2
 SHARE = 10
 SEGMENTS = MOST_EDITS + 1
 #: Bits of the fixed-size bitmap that spares other lines the second reading's shuffle.
-BITMAP_LOG2 = 21
+BITMAP_LOG2 = 18
 
 
 def _segment(length: Column, i: int) -> tuple[Column, Column]:
@@ -207,7 +207,14 @@ def links(documents: DataFrame) -> DataFrame:
     # Texts of one length that share an unshifted segment meet either way round; once is enough.
     met = index_side.join(probe_side, (F.col("key") == F.col("probe_key")) & F.expr("a <> b and (a < b or not mutual)") & bags_near(F.col("bag_a"), F.col("bag_b")))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialize(pairs, "lines-pairs")
+    # The JVM compiles no method over 8000 bytes; larger ones run outside the fused stage, in parts.
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    conf, old = documents.sparkSession.conf, documents.sparkSession.conf.get(limit, None)
+    conf.set(limit, "8000")
+    try:
+        pairs = materialize(pairs, "lines-pairs")
+    finally:
+        conf.set(limit, old) if old else conf.unset(limit)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     found = lines.filter(_maybe(_near(wanted))).select("h", "g", "line").join(wanted, "h", "left_semi").groupBy("h", "g").agg(F.first("line").alias("line"))
     found = materialize(found, "lines-texts")
