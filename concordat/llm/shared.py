@@ -1,38 +1,19 @@
 """Shared-storage and batching helpers of the training-data operators.
 
 Intermediate tables and files go to the folder that ``spark.checkpoint.dir``
-names, which the driver and every executor can reach.  Only where the setting
-is absent (tests, a laptop) is a local folder used instead.
+names, which the driver and every executor can reach.
 """
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
+from ..storage import scratch
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder as a URI; a throw-away local one if none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="concordat-")
-        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
-    return "file://" + _LOCAL[app]
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["materialize", "open_fs", "partitions", "publish", "scratch", "small_batches"]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
