@@ -48,19 +48,24 @@ def _segment(length: Column, i: int) -> tuple[Column, Column]:
     return start, size + (F.lit(i) >= short).cast("int")
 
 
-def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), F.substr(line, (start + 1).cast("int"), size.cast("int")))
+def encoded(line: Column) -> Column:
+    """Four bytes a character, so that a substring is found without a walk to it."""
+    return F.encode(line, "UTF-32")
 
 
-def index_keys(line: Column, length: Column) -> list[Column]:
-    return [_key(line, length, i, *_segment(length, i)) for i in range(SEGMENTS)]
+def _key(code: Column, length: Column, i: int, start: Column, size: Column) -> Column:
+    return F.xxhash64(length, F.lit(i), F.substr(code, (start * 4 + 1).cast("int"), (size * 4).cast("int")))
+
+
+def index_keys(code: Column, length: Column) -> list[Column]:
+    return [_key(code, length, i, *_segment(length, i)) for i in range(SEGMENTS)]
 
 
 #: Places, after the index keys, of the probes that are a text's own segments.
 UNSHIFTED = (SEGMENTS, SEGMENTS + 2, SEGMENTS + 4)
 
 
-def probe_keys(line: Column, length: Column) -> list[Column]:
+def probe_keys(code: Column, length: Column) -> list[Column]:
     """Keys of all substrings that may equal a segment of a line no longer.
 
     For a line shorter by d, segment i (from 0) is tried at shifts that leave at
@@ -72,13 +77,13 @@ def probe_keys(line: Column, length: Column) -> list[Column]:
         for i in range(SEGMENTS):
             start, size = _segment(other, i)
             rest = MOST_EDITS - i
-            keys += [_key(line, other, i, start + s, size) for s in range(max(-i, d - rest), min(i, d + rest) + 1)]
+            keys += [_key(code, other, i, start + s, size) for s in range(max(-i, d - rest), min(i, d + rest) + 1)]
     return keys
 
 
-#: Characters whose counts, modulo 16, a text's bag holds; in texts without them it rules out nothing.
-BAG = " etanisorhldbgw"
-_BITS = 4
+#: Characters whose counts, modulo 32, a text's bag holds; in texts without them it rules out nothing.
+BAG = " etanisorhld"
+_BITS = 5
 _MASK = (1 << _BITS) - 1
 
 
@@ -196,9 +201,9 @@ def links(documents: DataFrame) -> DataFrame:
     lines = lines_of(documents)
     n, line = F.col("n"), F.col("line")
     # A number per key, not an array, keeps this a hash aggregate.
-    index = index_keys(line, n)
-    probe = [F.when(n >= SHARE, k) for k in probe_keys(line, n)]
-    texts = lines.filter(n >= SHARE - MOST_EDITS).select("h", bag(line).alias("bag"), *(k.alias(f"k{i}") for i, k in enumerate(index + probe)))
+    index = index_keys(F.col("code"), n)
+    probe = [F.when(n >= SHARE, k) for k in probe_keys(F.col("code"), n)]
+    texts = lines.filter(n >= SHARE - MOST_EDITS).withColumn("code", encoded(line)).select("h", bag(line).alias("bag"), *(k.alias(f"k{i}") for i, k in enumerate(index + probe)))
     texts = texts.groupBy("h").agg(*(F.min(c).alias(c) for c in texts.columns[1:]))
     # Both sides read all columns, so that one shuffle of the texts serves both.
     keyed = texts.select("h", "bag", F.posexplode(F.array(*(F.col(f"k{i}") for i in range(len(index) + len(probe))))).alias("at", "key"))

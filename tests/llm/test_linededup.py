@@ -109,7 +109,7 @@ def test_linked_lines_always_share_a_key_and_enough_parts(spark):
             pairs.append((a, b) if len(a) <= len(b) else (b, a))
     pairs = [p for p in pairs if len(p[0]) >= 8 and distance(*p) <= 2]
     df = spark.createDataFrame(pairs, "a string, b string")
-    shared = F.arrays_overlap(F.array(*ld.index_keys(F.col("a"), F.char_length("a"))), F.array(*ld.probe_keys(F.col("b"), F.char_length("b"))))
+    shared = F.arrays_overlap(F.array(*ld.index_keys(ld.encoded(F.col("a")), F.char_length("a"))), F.array(*ld.probe_keys(ld.encoded(F.col("b")), F.char_length("b"))))
     near = ld.bags_near(ld.bag(F.col("a")), ld.bag(F.col("b")))
     assert df.filter(~shared | ~near | ~ld._blocks_intact(F.col("a"), F.col("b"))).count() == 0
 
