@@ -1,7 +1,8 @@
 """N-way alignment and the three-way diff.
 
 Nodes are aligned by one aggregation per path, not by N outer joins; the
-shuffle carries digests of the compared fields, not chunk lists.
+shuffle carries 128-bit signatures of the compared fields, not chunk lists, and
+as numbers they keep the aggregation hashed.
 """
 
 from __future__ import annotations
@@ -19,14 +20,24 @@ COMPAT_FULL_FIELDS = (*FULL_FIELDS, "ctime")
 
 
 def signature(fields: Sequence[str]) -> Column:
-    """A never-null digest of fields; JSON keeps nulls and nesting apart."""
-    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
+    """A never-null struct of two 64-bit hashes; nulls count by their place."""
+    nulls = [F.col(f).isNull() for f in fields]
+    return F.struct(F.xxhash64(*nulls, *fields).alias("a"), F.xxhash64(F.lit(1), *nulls, *fields).alias("b"))
 
 
 def signed(inventory: DataFrame, full_fields: Sequence[str] = FULL_FIELDS) -> DataFrame:
     return inventory.withColumn("sig", signature(SIG_FIELDS)).withColumn("full_sig", signature(full_fields))
 
 
+def _range(column: str) -> list[Column]:
+    return [f(f"{column}.{part}").alias(f"{column}_{name}_{part}") for part in "ab" for name, f in (("lo", F.min), ("hi", F.max))]
+
+
+def _one(column: str) -> Column:
+    """Whether a group has one value of a signature."""
+    return (F.col(f"{column}_lo_a") == F.col(f"{column}_hi_a")) & (F.col(f"{column}_lo_b") == F.col(f"{column}_hi_b"))
+
+
 def diff(inventory: DataFrame, prev: DataFrame | None, n_nodes: int, full_fields: Sequence[str] = FULL_FIELDS) -> DataFrame:
     """path, status (none, winner, conflict), winner_node, n_present, n_versions, versions.
 
@@ -48,16 +59,15 @@ def diff(inventory: DataFrame, prev: DataFrame | None, n_nodes: int, full_fields
         F.count_if("changed").alias("n_changed"),
         F.min(F.when(F.col("changed"), F.col("node_idx"))).alias("changed_node"),
         F.min("node_idx").alias("first_node"),
-        F.min("sig").alias("sig_lo"), F.max("sig").alias("sig_hi"),
-        F.min("full_sig").alias("full_lo"), F.max("full_sig").alias("full_hi"),
+        *_range("sig"), *_range("full_sig"),
         versions.alias("versions"),
     )
     status = (
-        F.when((F.col("n_present") == n_nodes) & (F.col("full_lo") == F.col("full_hi")), "none")
+        F.when((F.col("n_present") == n_nodes) & _one("full_sig"), "none")
         .when(F.col("has_prev") & (F.col("n_changed") == 0), "none")
         .when(F.col("has_prev") & (F.col("n_changed") == 1), "winner")
         .when(F.col("has_prev"), "conflict")
-        .when(F.col("sig_lo") == F.col("sig_hi"), "winner")
+        .when(_one("sig"), "winner")
         .otherwise("conflict")
     )
     slots = F.transform(F.sequence(F.lit(0), F.lit(n_nodes - 1)), lambda i: F.get(F.filter("versions", lambda v: v["node_idx"] == i), F.lit(0))["full_sig"])

@@ -625,7 +625,7 @@ def listing_round_trip(spark, d):
 
 @query("SELECT n_name AS name, regexp_full_match(n_name, '.*[AEIOU]') AS offered, CASE WHEN n_nationkey % 3 = 0 THEN [3, n_nationkey] WHEN n_nationkey % 3 = 1 THEN [n_nationkey] END AS versions FROM nation", tables=False)
 def version_messages(spark, d):
-    k, message = F.col("n_nationkey"), None
+    k = F.col("n_nationkey")
     message = F.when(k % 3 == 0, F.concat(F.lit("SyNcR:3, "), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("SyNcR:"), k.cast("string"))).otherwise(F.concat(F.lit("SyNcR:x"), k.cast("string")))
     return _table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_name").rlike("[AEIOU]$").alias("offered"), codec.parse_versions(message, codec.GREETING).alias("versions"))
 
