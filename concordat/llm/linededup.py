@@ -61,8 +61,8 @@ def index_keys(code: Column, length: Column) -> list[Column]:
     return [_key(code, length, i, *_segment(length, i)) for i in range(SEGMENTS)]
 
 
-#: Places, after the index keys, of the probes that are a text's own segments.
-UNSHIFTED = (SEGMENTS, SEGMENTS + 2, SEGMENTS + 4)
+#: Places of the probes that are a text's own segments.
+UNSHIFTED = (0, 2, 4)
 
 
 def probe_keys(code: Column, length: Column) -> list[Column]:
@@ -175,8 +175,15 @@ BLANKS = " \t\n\x0b\x0c\r"
 def lines_of(documents: DataFrame) -> DataFrame:
     """doc_id, doc_hash, line_no (from 0), line, h, g, n: the lines that are not
     blank, with two hashes and their characters."""
-    rows = documents.select("doc_id", F.xxhash64("text").alias("doc_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    rows = rows.select("doc_id", "doc_hash", "line_no", F.btrim("raw", F.lit(BLANKS)).alias("line")).filter("line <> ''")
+    # Spaces are trimmed fast; only a text with other white space needs the general way.
+    odd = F.lit(False)
+    for c in BLANKS:
+        if c not in " \n":
+            odd = odd | F.contains("text", F.lit(c))
+    # Beside a generator, these would be computed once a line.
+    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("doc_hash"), odd.alias("odd"))
+    rows = rows.select("doc_id", "doc_hash", "odd", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    rows = rows.select("doc_id", "doc_hash", "line_no", F.when(F.col("odd"), F.btrim("raw", F.lit(BLANKS))).otherwise(F.trim("raw")).alias("line")).filter("line <> ''")
     return rows.select("*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.char_length("line").alias("n"))
 
 
@@ -206,9 +213,10 @@ def links(documents: DataFrame) -> DataFrame:
     texts = lines.filter(n >= SHARE - MOST_EDITS).withColumn("code", encoded(line)).select("h", bag(line).alias("bag"), *(k.alias(f"k{i}") for i, k in enumerate(index + probe)))
     texts = texts.groupBy("h").agg(*(F.min(c).alias(c) for c in texts.columns[1:]))
     # Both sides read all columns, so that one shuffle of the texts serves both.
-    keyed = texts.select("h", "bag", F.posexplode(F.array(*(F.col(f"k{i}") for i in range(len(index) + len(probe))))).alias("at", "key"))
-    index_side = keyed.filter(F.col("at") < SEGMENTS).select(F.col("h").alias("a"), F.col("bag").alias("bag_a"), "key")
-    probe_side = keyed.filter((F.col("at") >= SEGMENTS) & F.col("key").isNotNull()).select(F.col("h").alias("b"), F.col("bag").alias("bag_b"), F.col("key").alias("probe_key"), F.col("at").isin(*UNSHIFTED).alias("mutual"))
+    keys = F.array(*(F.col(f"k{i}") for i in range(len(index) + len(probe))))
+    index_side = texts.select(F.col("h").alias("a"), F.col("bag").alias("bag_a"), F.explode(F.slice(keys, 1, SEGMENTS)).alias("key"))
+    probe_side = texts.select(F.col("h").alias("b"), F.col("bag").alias("bag_b"), F.posexplode(F.slice(keys, SEGMENTS + 1, len(probe))).alias("at", "probe_key")).filter("probe_key is not null")
+    probe_side = probe_side.select("b", "bag_b", "probe_key", F.col("at").isin(*UNSHIFTED).alias("mutual"))
     # Texts of one length that share an unshifted segment meet either way round; once is enough.
     met = index_side.join(probe_side, (F.col("key") == F.col("probe_key")) & F.expr("a <> b and (a < b or not mutual)") & bags_near(F.col("bag_a"), F.col("bag_b")))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -220,7 +228,7 @@ def links(documents: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "lines-pairs")
     finally:
         conf.set(limit, old) if old else conf.unset(limit)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    wanted = pairs.select(F.col("a").alias("h")).distinct().union(pairs.select(F.col("b").alias("h")).distinct()).distinct()
     found = lines.filter(_maybe(_near(wanted))).select("h", "g", "line").join(wanted, "h", "left_semi").groupBy("h", "g").agg(F.first("line").alias("line"))
     found = materialize(found, "lines-texts")
     side = lambda s: found.select(*(F.col(c).alias(f"{c}{s}") for c in ("h", "g", "line")))
