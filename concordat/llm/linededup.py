@@ -1,8 +1,11 @@
 """Near-equal lines across documents, from built-in functions only.
 
-Two lines are linked if their edit distance is at most ``MOST_EDITS`` and at
-most a tenth of the longer one's characters; lines under 10 characters are
-linked only with equal ones.
+Two lines are linked if their edit distance is at most a tenth of the longer
+one's characters; lines under 10 characters are linked only with equal ones.
+Pairs within ``MOST_EDITS`` are all found, by segments.  Pairs further apart,
+which lines of 30 characters and more can be, are found by word runs: if they
+have six words in a row in common (three if both have under 20 words).  Without
+``tenth`` the functions stay at MOST_EDITS for lines of any length.
 
 A line is split into MOST_EDITS + 1 segments.  Of two linked lines some segment
 of the shorter stands in the longer at a place that the lengths' difference
@@ -12,6 +15,11 @@ the hash of (length, segment number, substring).  Pairs are then confirmed by
 a banded bit-parallel edit distance: a band of 2 * MOST_EDITS + 1 diagonals is
 kept in the bits of one number, a character of the longer line per step.
 
+Word runs are hashes of three words (of two in lines under 20 words), of which a
+line keeps those that are least within some window of four (two), so that equal
+words in a row keep equal runs.  Lines that share one, and whose lengths and
+character counts allow it, are compared in full.
+
 Equal lines are one text from the start, so copies never pair.  The join also
 asks that the texts' counts of eight common characters differ by no more than
 so many edits can change; that leaves few pairs of a segment that many edited
@@ -95,13 +103,13 @@ def bag(line: Column) -> Column:
     return out
 
 
-def bags_near(a: Column, b: Column) -> Column:
-    """Whether MOST_EDITS edits can make one bag of the other: each changes two counts by one at most."""
+def bags_near(a: Column, b: Column, most: Column | int = MOST_EDITS) -> Column:
+    """Whether ``most`` edits can make one bag of the other: each changes two counts by one at most."""
     total = F.lit(0).cast("long")
     for i in range(len(BAG)):
         d = F.abs(F.shiftright(a, _BITS * i).bitwiseAND(_MASK) - F.shiftright(b, _BITS * i).bitwiseAND(_MASK))
         total = total + F.least(d, _MASK + 1 - d)
-    return total <= 2 * MOST_EDITS
+    return total <= 2 * most
 
 
 def bounded_edits(a: Column, b: Column, most: int = MOST_EDITS) -> Column:
@@ -164,8 +172,59 @@ def _blocks_intact(a: Column, b: Column, parts: int = 8) -> Column:
     return lost <= MOST_EDITS
 
 
-def _most(length: Column) -> Column:
-    return F.least(F.lit(MOST_EDITS), F.floor(length / SHARE).cast("int"))
+def _most(length: Column, tenth: bool = False) -> Column:
+    share = F.floor(length / SHARE).cast("int")
+    return share if tenth else F.least(F.lit(MOST_EDITS), share)
+
+
+#: (words of a run, window, least and most words of a line): lines of near lengths share a row.
+RUNS = ((2, 2, 2, 19), (3, 4, 16, None))
+
+
+def word_runs(line: Column) -> Column:
+    """The distinct hashes of a line's kept word runs."""
+
+    def runs(words: Column, size: int, window: int) -> Column:
+        last = F.size(words) - size
+        at = F.sequence(F.lit(0), last)
+        hashes = F.transform(at, lambda i: F.xxhash64(F.lit(size), *(F.get(words, i + j) for j in range(size))))
+
+        def kept(all_: Column) -> Column:
+            def least(x: Column, i: Column) -> Column:
+                over = lambda j: F.coalesce(F.get(all_, i + j) >= x, F.lit(True))
+                windows = F.lit(False)
+                for first in range(1 - window, 1):
+                    own = F.lit(True)
+                    for j in range(first, first + window):
+                        own = own & over(j) if j else own
+                    windows = windows | own
+                return windows
+
+            return F.filter(all_, least)
+
+        return let(hashes, kept)
+
+    def both(words: Column) -> Column:
+        n, out = F.size(words), []
+        for size, window, fewest, most in RUNS:
+            fits = (n >= fewest) & (n <= most) if most else n >= fewest
+            out.append(F.when(fits, runs(words, size, window)).otherwise(F.array().cast("array<bigint>")))
+        return F.array_distinct(F.concat(*out))
+
+    return let(F.transform(F.split(line, " +"), lambda w: F.xxhash64(w)), both)
+
+
+def _run_pairs(lines: DataFrame) -> DataFrame:
+    """a, b, a < b: texts of lengths at which a tenth may be over MOST_EDITS that share a
+    word run and may be within a tenth; repeated."""
+    texts = lines.filter(F.col("n") >= SHARE * (MOST_EDITS + 1) - 1).groupBy("h").agg(F.first("line").alias("line"), F.first("n").alias("n"))
+    # Beside a generator, the bag would be computed once a run.
+    texts = texts.select("h", "n", bag(F.col("line")).alias("bag"), word_runs(F.col("line")).alias("runs"))
+    texts = texts.select("h", "n", "bag", F.explode("runs").alias("run"))
+    side = lambda s: texts.select(F.col("run").alias(f"run_{s}"), F.col("h").alias(s), F.col("n").alias(f"n_{s}"), F.col("bag").alias(f"bag_{s}"))
+    most = _most(F.greatest("n_a", "n_b"), True)
+    near = (F.col("a") < F.col("b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= most) & bags_near(F.col("bag_a"), F.col("bag_b"), most)
+    return side("a").join(side("b"), (F.col("run_a") == F.col("run_b")) & near).select("a", "b")
 
 
 #: ASCII white space.
@@ -203,7 +262,7 @@ def _maybe(bitmap: bytes) -> Column:
     return F.expr("shiftleft(1, cast(h & 7 as int))").bitwiseAND(byte) != 0
 
 
-def links(documents: DataFrame) -> DataFrame:
+def links(documents: DataFrame, tenth: bool = False) -> DataFrame:
     """ha, ga, hb, gb: the linked pairs of different texts, each once; materialised."""
     lines = lines_of(documents)
     n, line = F.col("n"), F.col("line")
@@ -219,7 +278,8 @@ def links(documents: DataFrame) -> DataFrame:
     probe_side = probe_side.select("b", "bag_b", "probe_key", F.col("at").isin(*UNSHIFTED).alias("mutual"))
     # Texts of one length that share an unshifted segment meet either way round; once is enough.
     met = index_side.join(probe_side, (F.col("key") == F.col("probe_key")) & F.expr("a <> b and (a < b or not mutual)") & bags_near(F.col("bag_a"), F.col("bag_b")))
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = (pairs.union(_run_pairs(lines)) if tenth else pairs).distinct()
     # The JVM compiles no method over 8000 bytes; larger ones run outside the fused stage, in parts.
     limit = "spark.sql.codegen.hugeMethodLimit"
     conf, old = documents.sparkSession.conf, documents.sparkSession.conf.get(limit, None)
@@ -235,15 +295,19 @@ def links(documents: DataFrame) -> DataFrame:
     both = pairs.join(side("a"), F.col("a") == F.col("ha")).join(side("b"), F.col("b") == F.col("hb"))
     shorter = F.char_length("linea") <= F.char_length("lineb")
     both = both.select("ha", "ga", "hb", "gb", F.when(shorter, F.col("linea")).otherwise(F.col("lineb")).alias("x"), F.when(shorter, F.col("lineb")).otherwise(F.col("linea")).alias("y"))
-    most = _most(F.char_length("y"))
-    both = both.filter((F.char_length("y") - F.char_length("x") <= most) & _blocks_intact(F.col("x"), F.col("y")))
-    return materialize(both.filter(bounded_edits(F.col("x"), F.col("y")) <= most).select("ha", "ga", "hb", "gb"), "lines-links")
+    most = _most(F.char_length("y"), tenth)
+    both = both.filter(F.char_length("y") - F.char_length("x") <= most)
+    few = _blocks_intact(F.col("x"), F.col("y")) & (bounded_edits(F.col("x"), F.col("y")) <= most)
+    if tenth:
+        both = both.withColumn("most", most)
+        few = F.when(F.col("most") <= MOST_EDITS, few).otherwise(F.expr("levenshtein(x, y, most) >= 0"))
+    return materialize(both.filter(few).select("ha", "ga", "hb", "gb"), "lines-links")
 
 
-def line_classes(documents: DataFrame) -> DataFrame:
+def line_classes(documents: DataFrame, tenth: bool = False) -> DataFrame:
     """A row per line: doc_id, doc_hash, line_no, n_chars, class_doc_id, class_line_no,
     n_links (other texts linked with its text), kept (it opens its class)."""
-    found = links(documents)
+    found = links(documents, tenth)
     node = lambda h, g: F.struct(F.col(h).alias("h"), F.col(g).alias("g"))
     edges = found.select(node("ha", "ga").alias("a"), node("hb", "gb").alias("b"))
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
@@ -267,7 +331,7 @@ def line_classes(documents: DataFrame) -> DataFrame:
 
 
 def op7_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("doc_hash")
+    return line_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), tenth=True).drop("doc_hash")
 
 
 #: Lines of fewer characters stay: short lines repeat by chance.
@@ -278,7 +342,7 @@ def drop_repeated_lines(documents: DataFrame, shortest: int = SHORTEST_DROPPED)
     """documents without the lines of at least ``shortest`` characters whose class
     an earlier line opens; documents that lose all their lines go, and n_chars,
     if there is one, follows."""
-    gone = line_classes(documents).filter(~F.col("kept") & (F.col("n_chars") >= shortest))
+    gone = line_classes(documents, tenth=True).filter(~F.col("kept") & (F.col("n_chars") >= shortest))
     gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_hash")).agg(F.collect_set("line_no").alias("_gone"))
     out = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_hash")), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("_gone"), i.cast("long"))), "\n")

@@ -131,3 +131,31 @@ def test_no_lines(spark, rows):
 def test_plan_has_no_python(spark):
     plan = ld.line_classes(documents(spark, corpus()[:9]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
+
+
+def test_the_bound_grows_with_the_line(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgé", k=rng.randrange(2, 9))) for _ in range(400)]
+    texts = []
+    for _ in range(40):
+        base = rng.choices(words, k=rng.choice([7, 12, 18, 25, 60, 110]))
+        for changes in (0, 1, 1, 2, 3, 5, 9):
+            copy = list(base)
+            for i in rng.sample(range(len(base)), min(changes, len(base))):
+                copy[i] = rng.choice(words)
+            texts.append(" ".join(copy))
+    texts = sorted(set(texts))
+    runs = {s: [s.split(" ")[i : i + k] for k in ((6,) if len(s.split(" ")) > 19 else (3, 6)) for i in range(len(s.split(" ")) - k + 1)] for s in texts}
+    want, further = dict.fromkeys(texts, 0), 0
+    for a, b in combinations(texts, 2):
+        most = max(len(a), len(b)) // 10
+        if abs(len(a) - len(b)) > most or not any(r in runs[b] for r in runs[a]):
+            continue
+        d = distance(a, b)
+        if d <= most:
+            further += d > 2
+            want[a] += 1
+            want[b] += 1
+    got = ld.line_classes(documents(spark, list(enumerate(texts))), tenth=True).collect()
+    assert {texts[r.doc_id]: r.n_links for r in got} == want
+    assert further > 60
