@@ -7,6 +7,10 @@ to estimate how each labeller errs and how likely each pattern's label is.
 These posterior labels train a linear scorer over hashed words and binned
 statistics, on a bounded sample of documents, and the scorer rates all.
 
+Of a table larger than the sample, the documents that people have called toxic
+come first, up to a third of the sample, shared by the languages, then those
+they have called clean, up to a third too; the rest is drawn from all others.
+
 Human labels of documents with crc32(doc_id) mod 5 = 0 are never used: they
 are left for measurement.
 
@@ -40,8 +44,9 @@ ROUNDS = 60
 #: Bytes of a word that are its stem.
 STEM = 6
 
-#: Documents of the sample that must have a feature before it gets a weight, for
+#: Documents that must have a feature before it gets a weight, for
 #: quality and for toxicity: rare words tell much of the latter, nothing of the former.
+#: Quality counts in the sample; toxicity in all documents that people have labelled, if they are more.
 LEAST_DOCUMENTS = (100, 5)
 
 #: Insults (fixed values: a small public English list).
@@ -163,10 +168,15 @@ def _voted(documents: DataFrame, with_features: bool) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, votes string" + ", features array<int>" * with_features)
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """_id, q, t: human quality and toxicity of each document, but for the measured fifth."""
+    known = labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    return known.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+
+
 def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """rows with two more votes: human quality and toxicity, but for the measured fifth."""
-    known = labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+    known = known_labels(labels)
     vote = lambda c: F.coalesce(F.col(c).cast("int").cast("string"), F.lit("-"))
     return rows.join(known, F.col("doc_id") == F.col("_id"), "left").withColumn("votes", F.concat("votes", vote("q"), vote("t"))).drop("_id", "q", "t")
 
@@ -227,17 +237,19 @@ def estimate(patterns: dict[str, int], rounds: int = ROUNDS) -> Labellers:
     return Labellers(float(prior), outcome, dict(zip(names, p.tolist(), strict=True)))
 
 
-def train(rows: list[np.ndarray], target: np.ndarray, least: int, epochs: int = EPOCHS) -> np.ndarray:
+def train(rows: list[np.ndarray], target: np.ndarray, least: int, epochs: int = EPOCHS, seen: np.ndarray | None = None) -> np.ndarray:
     """Logistic weights of hashed features for soft targets, the bias last.
 
     Follow-the-regularised-leader steps: the absolute penalty holds features
-    that say little, or that few documents have, at zero.
+    that say little, or that few documents have, at zero.  seen: how many
+    documents have each feature in a table of which the rows are a sample.
     """
     size = 1 << FEATURE_BITS
     z, n, weights = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     rate = np.where(target >= 0.5, 0.5 / max(target.sum(), 1e-9), 0.5 / max((1 - target).sum(), 1e-9)) * len(target)
     rate = np.minimum(rate, 5)  # classes weigh more alike
-    common = np.bincount(np.concatenate(rows), minlength=size) >= min(least, len(rows) // 20) if rows else np.zeros(size, bool)
+    counts = np.bincount(np.concatenate(rows), minlength=size) if rows else np.zeros(size, np.int64)
+    common = (counts if seen is None else np.maximum(counts, seen)) >= min(least, len(rows) // 20)
     rows = [np.append(x[common[x]], size) for x in rows]
     order = np.random.default_rng(7)
     for _ in range(epochs):
@@ -279,22 +291,71 @@ def _counts(patterns: list, places: tuple[int, ...]) -> dict[str, int]:
     return out
 
 
+def shares(sizes: dict, room: float) -> dict:
+    """The share of each class that is drawn so that all get alike, and no more than room together."""
+    out = {}
+    for i, (name, n) in enumerate(sorted(sizes.items(), key=lambda x: x[1])):
+        out[name] = min(1.0, room / (len(sizes) - i) / n)
+        room -= out[name] * n
+    return out
+
+
+def draw(documents: DataFrame, labels: DataFrame, total: int, sample: int) -> DataFrame:
+    """doc_id, text of about ``sample`` documents, chosen by a hash of doc_id."""
+    rows = documents.filter(F.col("doc_id").isNotNull())
+    if total <= sample:
+        return rows.select("doc_id", "text")
+    lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in documents.columns else F.lit("")
+    ids = rows.select("doc_id", lang.alias("_lang")).join(known_labels(labels), F.col("doc_id") == F.col("_id"), "left")
+    ids = ids.select("doc_id", "_lang", F.when(F.col("t") >= 1, 1).when(F.col("t") < 1, 0).alias("t"))
+    sizes = {(r["t"], r["_lang"]): r["n"] for r in ids.filter("t is not null").groupBy("t", "_lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows per language
+    share = {}
+    for t in (1, 0):
+        share |= shares({k: n for k, n in sizes.items() if k[0] == t}, sample / 3)
+    drawn, others = sum(share[k] * n for k, n in sizes.items()), total - sum(sizes.values())
+    rest = min(1.0, (sample - drawn) / max(others, 1))
+    names = [F.lit(x) for (t, lang_), s in share.items() for x in (f"{t}{lang_}", s)]
+    of = F.coalesce(F.try_element_at(F.create_map(*names), F.concat(F.col("t").cast("string"), "_lang")), F.lit(rest)) if names else F.lit(rest)
+    ids = ids.filter(F.xxhash64("doc_id").bitwiseAND((1 << 30) - 1) < of * (1 << 30)).select("doc_id").distinct()
+    # At most about ``sample`` ids at any input size, so that the texts stay where they are.
+    return rows.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+
+
+def seen_by_people(documents: DataFrame, labels: DataFrame) -> np.ndarray:
+    """How many of the documents whose toxicity people have labelled have each feature."""
+    ids = known_labels(labels).filter("t is not null").select(F.col("_id").alias("doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << FEATURE_BITS, np.int64)
+        for batch in batches:
+            for _, stats, _, _, plain in _runs(batch.column(0)):
+                counts += np.bincount(np.concatenate(features(stats, plain)), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["feature", "n"])
+
+    # The same join at any size: the labels grow with the documents.
+    rows = documents.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").select("text")
+    table = rows.mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()  # at most 2^FEATURE_BITS rows
+    out = np.zeros(1 << FEATURE_BITS, np.int64)
+    out[table.column("feature").to_numpy()] = table.column("n").to_numpy()
+    return out
+
+
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Scorer, Labellers, Labellers]:
-    """All documents' vote patterns are counted; about ``sample`` documents,
-    chosen by a hash of doc_id, reach the driver as feature numbers."""
+    """All documents' vote patterns are counted; about ``sample`` documents
+    reach the driver as feature numbers."""
     small_batches(documents.sparkSession)
     patterns = with_labels(_voted(documents, False), labels).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ^ labellers
     total = sum(r["n"] for r in patterns)
     quality, toxic = (estimate(_counts(patterns, places)) if patterns else Labellers(0.5, np.zeros((2, 0, 3)), {}) for places in (QUALITY, TOXIC))
-    share = min(1.0, sample / max(total, 1))
-    chosen = documents.filter(F.col("doc_id").isNotNull() & (F.xxhash64("doc_id").bitwiseAND((1 << 30) - 1) < share * (1 << 30)))
-    table = with_labels(_voted(chosen, True), labels).select("votes", "features").toArrow()
+    seen = seen_by_people(documents, labels) if total > sample else None
+    table = with_labels(_voted(draw(documents, labels, total, sample), True), labels).select("votes", "features").toArrow()
     rows = [np.asarray(x.values) for x in table.column("features")]
     weights = []
-    for found, places, least in ((quality, QUALITY, LEAST_DOCUMENTS[0]), (toxic, TOXIC, LEAST_DOCUMENTS[1])):
+    for found, places, least, counts in ((quality, QUALITY, LEAST_DOCUMENTS[0], None), (toxic, TOXIC, LEAST_DOCUMENTS[1], seen)):
         own = [_pick(v, places) for v in table.column("votes").to_pylist()]
         spoken = [i for i, v in enumerate(own) if set(v) != {"-"}]  # the others say nothing of their label
-        weights.append(train([rows[i] for i in spoken], np.array([found.posterior[own[i]] for i in spoken]), least))
+        weights.append(train([rows[i] for i in spoken], np.array([found.posterior[own[i]] for i in spoken]), least, seen=counts))
     return Scorer(*weights), quality, toxic
 
 

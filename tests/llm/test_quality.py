@@ -82,3 +82,30 @@ def test_statistics_of_a_text():
     s = dict(zip(quality.STATISTICS, rows[0][0], strict=True))
     assert rows[0][1] == 5 and rows[1][1] == 0
     assert s["symbols"] == 1 / 14 and s["capitals"] == 2 / 8 and s["bare"] == 1 / 5 and s["loops"] == 1 / 5 and s["shouts"] == 1 / 5
+
+
+def test_labelled_rows_come_first_in_a_small_sample(spark):
+    rng = random.Random(4)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}n" for i in range(300)]
+    docs, labels = [], []
+    for i in range(3000):
+        toxic = i % 50 == 7
+        body = rng.choices(words, k=40) + ["blerga"] * toxic
+        rng.shuffle(body)
+        docs.append((i, " ".join(body) + "."))
+        if toxic or i % 50 == 8:
+            labels.append((i, 1, int(toxic), ""))
+    df, lf = tables(spark, docs, labels)
+    known = {r[0]: r[2] for r in labels if zlib.crc32(str(r[0]).encode()) % 5}
+    drawn = [r.doc_id for r in quality.draw(df, lf, 3000, 300).collect()]
+    assert {d for d, t in known.items()} <= set(drawn) and 240 < len(drawn) < 360
+    scorer = quality.fit(df, lf, sample=300)[0]
+    got = {r.doc_id: r.p_toxic for r in quality.rate(df, scorer).collect()}
+    held = [d for d, _, t, _ in labels if t and d not in known]
+    assert len(held) > 5 and all(got[d] >= 0.5 for d in held)
+    assert quality.seen_by_people(df, lf).max() == len(known)
+
+
+def test_shares_are_alike_and_fill_the_room():
+    assert quality.shares({"a": 10, "b": 1000, "c": 4000}, 500) == {"a": 1.0, "b": 0.245, "c": 0.06125}
+    assert quality.shares({}, 5) == {}
