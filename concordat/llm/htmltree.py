@@ -61,6 +61,9 @@ NOISE_WORDS = frozenset(
 OUTER_WORDS = frozenset("header masthead topbar".split())
 
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: From a tag's name to the ">" that ends it.  Only a quote after "=" opens a quoted
+#: value, which only the same quote or the page's end closes.
+_TAG_REST = re.compile(r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|(?!["'])[^\s>]*+))?+)*+>""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
@@ -135,19 +138,10 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 here.parts.append("<")
                 at = lt + 1
             continue
-        end = page.find(">", m.end())
-        for _ in range(8):  # a quoted value may hold ">"
-            inside = page[m.end() : end]
-            if end < 0 or not (inside.count('"') % 2 or inside.count("'") % 2):
-                break
-            further = page.find(">", end + 1)
-            if further < 0:
-                break
-            end = further
-        else:
-            end = page.find(">", m.end())
-        if end < 0:
+        close = _TAG_REST.match(page, m.end())
+        if close is None:
             break
+        end = close.end() - 1
         tag, at = m[0].lower(), end + 1
         if closing:
             node = here

@@ -37,6 +37,12 @@ def test_article_without_the_rest():
         ("<article>a<div hidden>b</div>  c</article>", "a b c"),
         ("<body><div class=comments>c</div><p>only</p><footer>f</footer>", "only"),
         ("<article>one</article><article>two</article>", "one two"),
+        ("""<article><p>A <a title="Bob's">x</a> tail</p></article>""", "A x tail"),
+        ("""<article><p>A <a title="Bob's">x</a> don't <b>go</b> on</p><p>isn't it</p></article>""", "A x don't go on isn't it"),
+        ("""<article><a title='say "hi>'>x</a> y</article>""", "x y"),
+        ('<article><div data-x="' + "<b>t</b>" * 20 + '">in</div> out</article>', "in out"),
+        ("<article><a title=Bob's>x</a> <a b' c>y</a> z", "x y z"),
+        ("<article>a <b title='x>never closed", "a"),
         ("<article>" + "<div>" * 5000 + "deep", "deep"),
         ("<article>" + "word " * 200_000, ("word " * 200_000).strip()),
     ],
