@@ -1,6 +1,7 @@
 """A training corpus from raw documents, in five stages.
 
-language ID drops documents without a confident language; line dedup removes
+language ID drops documents without letters (with any, the best of the learned
+languages is nearly always confident, so other languages pass); line dedup removes
 lines of 25 characters and more that near-repeat earlier ones; MinHash keeps one document of each
 near-duplicate component; decontamination drops documents that share ten words
 in a row with the benchmark; packing cuts the rest into token windows.
