@@ -732,9 +732,9 @@ def stream_resolutions(spark, d):
 
 @query()
 def cdc_chunks(spark, d):
-    files = derived.contents(spark, d).filter("node_idx = 0 and tp = 'F'").select("node_idx", "path", F.col("body").alias("content"))
+    files = derived.contents(spark, d).filter("tp = 'F'").select("node_idx", "path", F.col("body").alias("content"))
     c = chunking.cdc_chunks(files, chunking.ChunkConfig(bits=8, most=4))
-    return c.select("path", F.size("chunks").alias("n_chunks"), F.coalesce(F.aggregate("chunks", F.lit(0).cast("long"), lambda s, x: s + x["size"]), F.lit(0)).alias("bytes"))
+    return c.select("node_idx", "path", F.size("chunks").alias("n_chunks"), F.coalesce(F.aggregate("chunks", F.lit(0).cast("long"), lambda s, x: s + x["size"]), F.lit(0)).alias("bytes"))
 
 
 def _payloads(spark, d):

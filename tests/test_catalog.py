@@ -45,3 +45,13 @@ def test_entry(spark):
     assert set(catalog.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     if os.path.isdir("/root/testdata/sf0.001"):
         assert e.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
+def test_every_node_is_chunked(spark):
+    from concordat.sources import derived
+
+    got = {(r.node_idx, r.path): r.bytes for r in catalog.cdc_chunks(spark, DATA).collect()}
+    files = derived.contents(spark, DATA).filter("tp = 'F'").selectExpr("node_idx", "path", "octet_length(body) AS n").collect()
+    assert got == {(r.node_idx, r.path): r.n or 0 for r in files}
+    assert {node for node, _ in got} == {0, 1, 2}
