@@ -7,15 +7,18 @@ Every byte is also a piece of low probability, so no word has none.  The
 distributions are fitted by expectation-maximisation (forward-backward) on the
 word counts of a bounded sample of labelled documents.
 
-Words are runs of ASCII letters and non-ASCII characters, lower-cased A-Z; a
-run of over ``MOST_BYTES`` bytes is scored in parts of that size.  A worker's
-table holds the scores of words met, so the recursion runs once for each.
+Words are runs of ASCII letters and non-ASCII characters, lower-cased A-Z, of
+any length: text without spaces is one word, summed over all its segmentations
+in a window of the longest piece.  A worker's table holds the scores of words of
+up to ``TABLED`` bytes, so the recursion runs once for each.  Only the fit cuts
+words: of over ``FIT_BYTES`` bytes, at characters, as its memory needs both passes.
 
 Defined results for odd input: null texts and texts without a letter are
 ``und`` with score 1; a text that has letters is given a learned language even
-if it is one word; if nothing can be learned, all are ``und``; a document
-without doc_id is not learned from and counts as held out; extra columns are
-ignored.
+if it is one word; of equally likely languages the first by name wins; if
+nothing can be learned, all are ``und``; a document without doc_id is not learned
+from and counts as held out; very long texts are read whole; repeated rows repeat
+their results; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +29,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .shared import small_batches
-from .texthash import LOWER, Words, byte_class, mix, piece_hashes, text_runs
+from .texthash import LOWER, PieceTable, Words, byte_class, mix, text_runs
 
 _U = np.uint64
 #: Documents of a language that are learned from, about, at any input size.
 SAMPLE = 1500
-MOST_BYTES = 40
+TABLED = 40
+FIT_BYTES = 4096
 BYTE_FLOOR = 1e-7
 SMOOTHING = 0.02
 ROUNDS = 4
@@ -59,27 +64,20 @@ class Pieces:
     def __init__(self, pieces: list[bytes]):
         self.pieces = [b"", *(bytes([i]) for i in range(256)), *(p for p in pieces if len(p) > 1)]
         self.longest = max(map(len, self.pieces))
-        self.bits = 18
-        while 1 << self.bits < 4 * len(self.pieces):
-            self.bits += 1
-        self.keys, self.number = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-        flat = np.frombuffer(b"".join(self.pieces), np.uint8)
         ends = np.cumsum([len(p) for p in self.pieces])
-        hashes = piece_hashes(flat, np.append(0, ends[:-1]), ends)
-        for i in range(1, len(self.pieces)):
-            at = int(hashes[i] >> _U(64 - self.bits))
-            while self.keys[at]:
-                at = at + 1 & len(self.keys) - 1
-            self.keys[at], self.number[at] = hashes[i], i
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        out, at, todo = np.zeros(len(h), np.int32), (h >> _U(64 - self.bits)).astype(np.int64), np.arange(len(h))
-        while len(todo):
-            k = self.keys[at]
-            hit = k == h[todo]
-            out[todo[hit]] = self.number[at[hit]]
-            go = ~hit & (k != 0)
-            todo, at = todo[go], at[go] + 1 & len(self.keys) - 1
+        self.table = PieceTable(18)
+        self.table.find(np.frombuffer(b"".join(self.pieces), np.uint8), np.append(0, ends[:-1]), ends)
+
+    def find(self, b: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return np.maximum(self.table.lookup(b, begins, ends), 0)
+
+    def ending(self, b: np.ndarray, begins: np.ndarray, sizes: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """[word, j - lo - 1, k - 1]: the piece of size k that ends after j bytes of a word, lo < j <= hi."""
+        j, k = np.arange(lo + 1, hi + 1)[None, :, None], np.arange(1, self.longest + 1)[None, None, :]
+        ok = (j >= k) & (j <= sizes[:, None, None])
+        from_ = (begins[:, None, None] + (j - k))[ok]
+        out = np.zeros(ok.shape, np.int32)
+        out[ok] = self.find(b, from_, from_ + np.broadcast_to(k, ok.shape)[ok])
         return out
 
     def grid(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, int, dict[tuple[int, int], np.ndarray]]]:
@@ -94,11 +92,65 @@ class Pieces:
                 for j in range(1, m + 1):
                     for k in range(1, min(j, self.longest) + 1):
                         cells[j, k] = base + (j - k)
-                hashes = piece_hashes(flat, np.concatenate(list(cells.values())), np.concatenate([c + k for (_, k), c in cells.items()]))
-                found = self.find(hashes).reshape(len(cells), len(rows_))
+                found = self.find(flat, np.concatenate(list(cells.values())), np.concatenate([c + k for (_, k), c in cells.items()])).reshape(len(cells), len(rows_))
                 yield rows_, m, {cell: f for cell, f in zip(cells, found, strict=True) if f.any()}
 
 
+def _log(x: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(x)
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exp(x) over axis 1; -inf where all are."""
+    top = x.max(axis=1, keepdims=True)
+    top[~np.isfinite(top)] = 0
+    return _log(np.exp(x - top).sum(axis=1)) + top[:, 0]
+
+
+def forward_long(pieces: Pieces, words: list[bytes], probability: np.ndarray, block: int = 512) -> np.ndarray:
+    """As forward, for words of any length: only the last ``longest`` sums are held,
+    as logarithms; some words go side by side, a byte of each a step."""
+    out, logs = np.empty((len(words), probability.shape[1])), _log(probability)
+    order = np.argsort([-len(w) for w in words], kind="stable")
+    for rows in np.array_split(order, len(order) // 64 + 1):
+        if not len(rows):
+            continue
+        sizes = np.array([len(words[i]) for i in rows])
+        flat, begins = np.frombuffer(b"".join(words[i] for i in rows), np.uint8), np.cumsum(sizes) - sizes
+        last = np.full((len(rows), pieces.longest, probability.shape[1]), -np.inf)  # of j - 1, j - 2, ...
+        last[:, 0] = 0
+        for lo in range(0, int(sizes[0]), block):
+            live = int((sizes > lo).sum())
+            hi = min(lo + block, int(sizes[0]))
+            found = pieces.ending(flat, begins[:live], sizes[:live], lo, hi)
+            last = last[:live]
+            for j in range(hi - lo):
+                now = _log_sum(last + logs[found[:, j]])
+                last = np.concatenate([now[:, None], last[:, :-1]], axis=1)
+                done = np.flatnonzero(sizes[:live] == lo + j + 1)
+                out[rows[done]] = now[done]
+    return out
+
+
+def expected_long(pieces: Pieces, word: bytes, count: float, probability: np.ndarray) -> np.ndarray:
+    """As expected_counts, for one word of up to FIT_BYTES bytes."""
+    n, longest, logs = len(word), pieces.longest, _log(probability)
+    found = pieces.ending(np.frombuffer(word, np.uint8), np.zeros(1, np.int64), np.array([n]), 0, n)[0]
+    alpha, beta = np.full(n + longest, -np.inf), np.full(n + longest + 1, -np.inf)  # alpha[j + longest - 1], beta[j]
+    alpha[longest - 1], beta[n] = 0, 0
+    sizes = np.arange(1, longest + 1)
+    for j in range(1, n + 1):
+        alpha[j + longest - 1] = _log_sum((alpha[j + longest - 1 - sizes] + logs[found[j - 1]])[None])[0]
+    spans = logs[found]
+    for j in range(n - 1, -1, -1):
+        k = sizes[: n - j]
+        beta[j] = _log_sum((beta[j + k] + spans[j + k - 1, k - 1])[None])[0]
+    before = alpha[np.arange(1, n + 1)[:, None] + longest - 1 - sizes]
+    weight = count * np.exp(before + spans + beta[1 : n + 1, None] - alpha[n + longest - 1])
+    return np.bincount(found.reshape(-1), weight.reshape(-1), len(pieces.pieces))
+
+
 def forward(pieces: Pieces, words: list[bytes], probability: np.ndarray) -> np.ndarray:
     """log probability of each word (with its leading space), a column per language."""
     out = np.empty((len(words), probability.shape[1]))
@@ -126,8 +178,24 @@ def expected_counts(pieces: Pieces, words: list[bytes], counts: np.ndarray, prob
     return out
 
 
+def _parts(word: bytes) -> list[bytes]:
+    """A word in parts of up to FIT_BYTES bytes, cut before characters."""
+    out, at = [], 0
+    while len(word) - at > FIT_BYTES:
+        to = at + FIT_BYTES
+        while to > at + FIT_BYTES - 4 and word[to] & 0xC0 == 0x80:
+            to -= 1
+        out.append(word[at:to])
+        at = to
+    return [*out, word[at:]]
+
+
 def fit(pieces: Pieces, words: list[bytes], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language."""
+    tabled = np.array([len(w) <= TABLED for w in words], bool)
+    short = [w for w in words if len(w) <= TABLED]
+    long = [(p, float(n)) for w, n in zip(words, counts, strict=True) if len(w) > TABLED for p in _parts(w)]
+
     def smoothed(n: np.ndarray) -> np.ndarray:
         n = n + SMOOTHING
         n[0] = 0
@@ -137,7 +205,10 @@ def fit(pieces: Pieces, words: list[bytes], counts: np.ndarray, rounds: int = RO
 
     p = smoothed(np.zeros(len(pieces.pieces)))
     for _ in range(rounds):
-        p = smoothed(expected_counts(pieces, words, counts, p))
+        n = expected_counts(pieces, short, counts[tabled], p) if short else np.zeros(len(pieces.pieces))
+        for part, count in long:
+            n += expected_long(pieces, part, count, p)
+        p = smoothed(n)
     return p
 
 
@@ -149,9 +220,7 @@ class Model:
         self.begin()
 
     def begin(self) -> None:
-        self.known: dict[int, int] = {}
-        self.keys, self.slots = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
-        self.scores, self.n = np.zeros((1 << 15, len(self.languages)), np.float32), 0
+        self.table, self.scores = PieceTable(), np.zeros((1 << 15, len(self.languages)), np.float32)
 
     def __getstate__(self):
         return self.languages, self.pieces.pieces[257:], self.probability
@@ -159,46 +228,23 @@ class Model:
     def __setstate__(self, state):
         self.__init__(state[0], Pieces(state[1]), state[2])
 
-    def _insert(self, h: np.ndarray, slots: np.ndarray) -> None:
-        shift, todo = _U(64 - (len(self.keys).bit_length() - 1)), np.arange(len(h))
-        at = (h >> shift).astype(np.int64)
-        while len(todo):
-            free = self.keys[at] == 0
-            self.keys[at[free]], self.slots[at[free]] = h[todo[free]], slots[todo[free]]
-            go = self.keys[at] != h[todo]
-            todo, at = todo[go], at[go] + 1 & len(self.keys) - 1
-
     def word_scores(self, b: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """log probabilities of words, from the table where they are known."""
-        h = piece_hashes(b, begins, ends) | _U(1)
-        if self.n > MOST_WORDS:
+        out, sizes = np.empty((len(begins), len(self.languages))), ends - begins
+        words = lambda rows: [b" " + b_[i:j] for i, j in zip(begins[rows].tolist(), ends[rows].tolist(), strict=True)]
+        short, long = np.flatnonzero(sizes <= TABLED), np.flatnonzero(sizes > TABLED)
+        if self.table.known > MOST_WORDS:
             self.begin()
-        shift, out, todo = _U(64 - (len(self.keys).bit_length() - 1)), np.zeros(len(h), np.int32), np.arange(len(h))
-        at, missing = (h >> shift).astype(np.int64), [np.zeros(0, np.int64)]
-        while len(todo):
-            k = self.keys[at]
-            hit = k == h[todo]
-            out[todo[hit]] = self.slots[at[hit]]
-            missing.append(todo[k == 0])
-            go = ~hit & (k != 0)
-            todo, at = todo[go], at[go] + 1 & len(self.keys) - 1
-        missing = np.concatenate(missing)
-        if len(missing):
-            new, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
-            data, rows = b.tobytes(), missing[first]
-            words = [b" " + data[i:j] for i, j in zip(begins[rows].tolist(), ends[rows].tolist(), strict=True)]
-            while self.n + len(new) > len(self.scores):
-                full = self.keys != 0
-                keys, slots = self.keys[full], self.slots[full]
-                self.keys, self.slots = np.zeros(2 * len(self.keys), np.uint64), np.zeros(2 * len(self.keys), np.int32)
+        found, new = self.table.find(b, begins[short], ends[short])
+        b_ = b.tobytes() if len(new) or len(long) else b""
+        if len(new):
+            while self.table.known > len(self.scores):
                 self.scores = np.append(self.scores, np.zeros_like(self.scores), axis=0)
-                self._insert(keys, slots)
-            numbers = np.arange(self.n, self.n + len(new), dtype=np.int32)
-            self.scores[numbers] = forward(self.pieces, words, self.probability)
-            self._insert(new, numbers)
-            self.n += len(new)
-            out[missing] = numbers[back]
-        return self.scores[out]
+            self.scores[self.table.known - len(new) : self.table.known] = forward(self.pieces, words(short[new]), self.probability)
+        out[short] = self.scores[found]
+        if len(long):
+            out[long] = forward_long(self.pieces, words(long), self.probability)
+        return out
 
     def totals(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(log probability per text and language, has a letter) of runs of texts."""
@@ -216,7 +262,7 @@ class Model:
 
 
 def letter_runs(raw: np.ndarray, offsets: np.ndarray, first: int):
-    """(bytes, words, begins, ends) of letter runs, long ones in parts."""
+    """(bytes, words, begins, ends) of letter runs."""
     b = LOWER[raw]
     inside = np.zeros(len(b) + 2, bool)
     inside[1:-1] = LETTERS[b]
@@ -225,12 +271,6 @@ def letter_runs(raw: np.ndarray, offsets: np.ndarray, first: int):
     seams = seams[(seams > 0) & (seams < len(b))]
     begins[seams], ends[seams - 1] = inside[1:-1][seams], inside[1:-1][seams - 1]
     begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    parts = (ends - begins + MOST_BYTES - 1) // MOST_BYTES
-    if len(parts) and parts.max() > 1:
-        last = np.cumsum(parts)
-        nth = np.arange(last[-1]) - np.repeat(last - parts, parts)
-        begins, ends = np.repeat(begins, parts) + nth * MOST_BYTES, np.repeat(ends, parts)
-        ends = np.minimum(begins + MOST_BYTES, ends)
     doc = np.searchsorted(offsets, begins, side="right") - 1
     return b, Words(first, len(offsets) - 1, doc, mix(begins.astype(np.uint64))), begins, ends
 
@@ -298,9 +338,15 @@ def predict(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     best += [1.0] * len(has)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(best, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    rows = documents.select(*keep, F.col("text").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    rows = documents.select(*keep, F.col("text"))
+    kinds = StructType([*rows.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(run, kinds)
+
+
+def predicted(documents: DataFrame, model: Model) -> DataFrame:
+    """_d (the row) and _p (lang_pred, score), so that no name of documents clashes."""
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_d"), "text")
+    return predict(rows, model, ["_d"]).select("_d", F.struct("lang_pred", "score").alias("_p"))
 
 
 def vocabulary_path() -> str:
@@ -319,6 +365,4 @@ def op4_segmentation_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def known_languages(documents: DataFrame, least: float = 0.5) -> DataFrame:
     """documents without those that have no language, or none of ``least`` score."""
     model = train(documents.filter(~held_out()), vocabulary_path())
-    texts = documents.withColumn("_keep_text", F.col("text"))
-    out = predict(texts, model, documents.columns)
-    return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(documents.columns)
+    return predicted(documents, model).filter((F.col("_p.lang_pred") != "und") & (F.col("_p.score") >= least)).select("_d.*")

@@ -1,9 +1,11 @@
 """Word and shingle hashes of Arrow string columns, vectorised over bytes.
 
 A text never becomes Python objects: word boundaries come from byte classes,
-and a word's hash is a polynomial over its bytes, taken from prefix sums mod
-2^64 and then mixed.  Texts are worked off in runs of about ``RUN`` bytes, so
-memory is bounded by the run or the longest single text.
+and a word's hash starts from its length and takes in eight bytes a step, mixed
+after each; words of over ``LONG`` bytes are hashed singly by XXH3.  Strings of
+up to eight bytes and of one length never collide.  Texts are worked off in
+runs of about ``RUN`` bytes, so memory is bounded by the run or the longest
+single text.  ``PieceTable`` numbers byte strings and checks every hit on bytes.
 """
 
 from __future__ import annotations
@@ -13,12 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 RUN = 1 << 18
 _U = np.uint64
 
 _ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
+#: Bytes beyond which a string is hashed singly.
+LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,21 +32,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-#: A fixed random value for each byte, so that hashes do not hang on byte order.
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(_ODD))
-
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n + 1:
-        for k, base in enumerate((_ODD, _INVERSE)):
-            x = np.full(max(n, RUN) + 1, _U(base))
-            x[0] = 1
-            _powers[k] = np.cumprod(x)
-    return _powers[0], _powers[1]
-
-
 def byte_class(word_ranges: list[tuple[int, int]]) -> np.ndarray:
     out = np.zeros(256, bool)
     for a, b in word_ranges:
@@ -109,12 +98,137 @@ def text_runs(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = to
 
 
+#: The bytes of a little-endian number that a string of 0 to 8 bytes fills.
+_FILLED = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def _eights(b: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, zeros after the end."""
+    padded = np.zeros(len(b) + 8, np.uint8)
+    padded[: len(b)] = b
+    return np.ndarray((len(b) + 1,), "<u8", padded, strides=(1,))
+
+
 def piece_hashes(b: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the byte strings from begins to ends."""
-    power, inverse = _power_tables(len(b))
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * power[: len(b)], out=sums[1:])
-    return mix((sums[ends] - sums[begins]) * inverse[begins])
+    return _hashes(b, _eights(b), begins, ends - begins)
+
+
+def _hashes(b: np.ndarray, eights: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    h = mix((sizes.astype(np.uint64) + _U(1)) * _U(_ODD) ^ eights[begins] & _FILLED[np.minimum(sizes, 8)])
+    todo, done = np.flatnonzero((sizes > 8) & (sizes <= LONG)), 8
+    while len(todo):
+        left = sizes[todo] - done
+        h[todo] = mix(h[todo] * _U(_ODD) ^ eights[begins[todo] + done] & _FILLED[np.minimum(left, 8)])
+        todo, done = todo[left > 8], done + 8
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(b[begins[i] : begins[i] + sizes[i]], seed=0x5EED)
+    return h
+
+
+class PieceTable:
+    """Numbers byte strings in the order in which they are first met.
+
+    A hash only names the slots to look at: a hit must have the same length and
+    the same bytes, so strings whose hashes collide keep numbers of their own.
+    """
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.known, self.used = bits, 0, 0
+        self.slot, self.keys = np.full(1 << bits, -1, np.int32), np.zeros(1 << bits, np.uint64)
+        room = 1 << bits - 1
+        self.hash, self.head, self.tail = (np.zeros(room, np.uint64) for _ in range(3))
+        self.size, self.place = np.zeros(room, np.int32), np.zeros(room, np.int64)
+        self.pool = np.zeros(1 << 16, np.uint8)  # the bytes of strings of over 16 bytes
+
+    def find(self, b: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the numbers of the strings, the rows of those met first, in the order of their numbers)."""
+        eights, sizes = _eights(b), ends - begins
+        h = _hashes(b, eights, begins, sizes)
+        head, tail = eights[begins] & _FILLED[np.minimum(sizes, 8)], eights[np.maximum(begins, ends - 8)]
+        tail[sizes <= 8] = 0
+        out, fresh, todo = np.empty(len(h), np.int32), [np.zeros(0, np.int64)], np.arange(len(h))
+        while len(todo):
+            todo = self._probe(b, begins, sizes, h, head, tail, todo, out)
+            if len(todo):
+                # Unequal strings of one hash come round again, one at a time.
+                rows = todo[np.sort(np.unique(h[todo], return_index=True)[1])]
+                out[rows] = self._add(b, begins, sizes, h, head, tail, rows)
+                fresh.append(rows)
+                left = np.ones(len(h), bool)
+                left[rows] = False
+                todo = todo[left[todo]]
+        return out, np.concatenate(fresh)
+
+    def lookup(self, b: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The numbers of the strings, -1 for unknown ones."""
+        eights, sizes = _eights(b), ends - begins
+        head, tail = eights[begins] & _FILLED[np.minimum(sizes, 8)], eights[np.maximum(begins, ends - 8)]
+        tail[sizes <= 8] = 0
+        out = np.full(len(sizes), -1, np.int32)
+        self._probe(b, begins, sizes, _hashes(b, eights, begins, sizes), head, tail, np.arange(len(sizes)), out)
+        return out
+
+    def _probe(self, b, begins, sizes, h, head, tail, todo, out) -> np.ndarray:
+        """Fills out for known rows of todo and returns the others."""
+        at, missing = (h[todo] >> _U(64 - self.bits)).astype(np.int64), []
+        while len(todo):
+            slot = self.slot[at]
+            hit = (slot >= 0) & (self.keys[at] == h[todo])
+            n = slot[hit]
+            rows = todo[hit]
+            hit[hit] = same = (self.size[n] == sizes[rows]) & (self.head[n] == head[rows]) & (self.tail[n] == tail[rows])
+            n, rows = n[same], rows[same]
+            long = np.flatnonzero(sizes[rows] > 16)
+            if len(long):
+                wrong = long[~_same_bytes(b, begins[rows[long]], self.pool, self.place[n[long]], sizes[rows[long]])]
+                if len(wrong):
+                    hit[np.flatnonzero(hit)[wrong]] = False
+            out[todo[hit]] = slot[hit]
+            missing.append(todo[slot < 0])
+            go = ~hit & (slot >= 0)
+            todo, at = todo[go], at[go] + 1 & len(self.keys) - 1
+        return np.sort(np.concatenate(missing)) if missing else todo
+
+    def _add(self, b, begins, sizes, h, head, tail, rows) -> np.ndarray:
+        while self.known + len(rows) > len(self.hash):
+            self.bits += 1
+            self.slot, self.keys = np.full(1 << self.bits, -1, np.int32), np.zeros(1 << self.bits, np.uint64)
+            for name in ("hash", "head", "tail", "size", "place"):
+                x = getattr(self, name)
+                setattr(self, name, np.append(x, np.zeros_like(x)))
+            self._insert(np.arange(self.known, dtype=np.int32))
+        numbers = np.arange(self.known, self.known + len(rows), dtype=np.int32)
+        self.hash[numbers], self.head[numbers], self.tail[numbers], self.size[numbers] = h[rows], head[rows], tail[rows], sizes[rows]
+        long = np.flatnonzero(sizes[rows] > 16)
+        if len(long):
+            lengths, firsts = sizes[rows[long]], begins[rows[long]]
+            ends = np.cumsum(lengths)
+            while self.used + ends[-1] > len(self.pool):
+                self.pool = np.append(self.pool, np.zeros(len(self.pool), np.uint8))
+            self.place[numbers[long]] = self.used + ends - lengths
+            self.pool[self.used : self.used + ends[-1]] = b[np.repeat(firsts - (ends - lengths), lengths) + np.arange(ends[-1])]
+            self.used += int(ends[-1])
+        self.known += len(rows)
+        self._insert(numbers)
+        return numbers
+
+    def _insert(self, todo: np.ndarray) -> None:
+        at = (self.hash[todo] >> _U(64 - self.bits)).astype(np.int64)
+        while len(todo):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = todo[free]  # of those that want a slot the last gets it
+            self.keys[at[free]] = self.hash[self.slot[at[free]]]
+            go = self.slot[at] != todo
+            todo, at = todo[go], at[go] + 1 & len(self.keys) - 1
+
+
+def _same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether a's strings from at equal b's from bt, sizes bytes each (1 at least)."""
+    starts = np.cumsum(sizes) - sizes
+    steps = np.arange(int(sizes.sum()))
+    equal = a[np.repeat(at - starts, sizes) + steps] == b[np.repeat(bt - starts, sizes) + steps]
+    return np.logical_and.reduceat(equal, starts)
 
 
 def words(column: pa.Array, word: np.ndarray, stem: int = 0) -> Iterator[Words]:

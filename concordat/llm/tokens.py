@@ -3,8 +3,12 @@
 A text is cut at points where the tokenizer itself always begins a new
 pre-token: before a lone space or line feed between two visible characters.
 Each distinct piece is encoded once by the tokenizers library; a worker's table
-maps piece hashes to ids, and whole columns are looked up at once.  The result
-equals ``encode(text)``.
+maps pieces, compared on their bytes, to ids, and whole columns are looked up at
+once.  The result equals ``encode(text)`` with ``encode_special_tokens``: a text
+that spells a special token holds ordinary text, as the tokenizers' notes have it.
+
+A text's ids are one binary value, which Spark bounds by 2 GB: a single text of
+over half a billion tokens fails.
 """
 
 from __future__ import annotations
@@ -19,13 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import partitions, small_batches
-from .texthash import LOWER, piece_hashes, text_runs
+from .texthash import LOWER, PieceTable, text_runs
 
 END_ID = 1
-#: Pieces of a worker's table (some 60 MB) after which it is begun anew.
-MOST_PIECES = 2_000_000
+#: Pieces of a worker's table (some 100 MB), and bytes of long ones, after which it is begun anew.
+MOST_PIECES, MOST_BYTES = 1_500_000, 64 << 20
 
-_U = np.uint64
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 #: Bytes of visible characters, to be sure: no ASCII white space or control, and
@@ -54,21 +57,10 @@ class Encoder:
         self._begin()
 
     def _begin(self, bits: int = 18) -> None:
-        self.bits, self.known, self.used = bits, 0, 0
-        self.keys, self.slot = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.table, self.learnt, self.used = PieceTable(bits), 0, 0
         self.first, self.length = np.zeros(1 << bits - 1, np.int32), np.zeros(1 << bits - 1, np.int32)
         self.pool = np.zeros(1 << 20, self.dtype)
 
-    def _room(self, new: int) -> None:
-        """Keep the table at most half full."""
-        while self.known + new > len(self.keys) // 2:
-            self.bits += 1
-            full = self.keys != 0
-            keys, slot = self.keys[full], self.slot[full]
-            self.keys, self.slot = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-            self.first, self.length = (np.append(x, np.zeros(len(x), np.int32)) for x in (self.first, self.length))
-            self._insert(keys, slot)
-
     @classmethod
     def get(cls, path: str, lower: bool = False) -> Encoder:
         if (path, lower) not in _encoders:
@@ -103,7 +95,7 @@ class Encoder:
         if len(b):
             begins = self._cuts(b, offsets)
             ends = np.append(begins[1:], len(b))
-            found = self._find(piece_hashes(b, begins, ends) | _U(1), b, begins, ends)
+            found = self._find(b, begins, ends)
             per_text = np.searchsorted(begins, offsets)
             lengths = self.length[found].astype(np.int64)
         else:
@@ -118,42 +110,17 @@ class Encoder:
         out[inner], out[last] = pieces, END_ID
         return counts, out
 
-    def _find(self, h: np.ndarray, b: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The piece numbers of hashes; new pieces are encoded first."""
-        if self.known > MOST_PIECES:
+    def _find(self, b: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The pieces' numbers; new pieces are encoded first."""
+        if self.table.known > MOST_PIECES or self.table.used > MOST_BYTES:
             self._begin()
-        out, todo = np.empty(len(h), np.int32), np.arange(len(h))
-        slots, missing = (h >> _U(64 - self.bits)).astype(np.int64), []
-        while len(todo):
-            at = slots[todo]
-            key = self.keys[at]
-            hit = key == h[todo]
-            out[todo[hit]] = self.slot[at[hit]]
-            missing.append(todo[key == 0])
-            todo = todo[~hit & (key != 0)]
-            slots[todo] = slots[todo] + 1 & len(self.keys) - 1
-        missing = np.concatenate(missing) if missing else todo
-        if len(missing):
-            new, at, back = np.unique(h[missing], return_index=True, return_inverse=True)
-            rows = missing[at]
+        found, new = self.table.find(b, begins, ends)
+        if len(new):
+            while self.table.known > len(self.first):
+                self.first, self.length = (np.append(x, np.zeros(len(x), np.int32)) for x in (self.first, self.length))
             data = b.tobytes()
-            self._room(len(new))
-            numbers = np.arange(self.known, self.known + len(new), dtype=np.int32)
-            self._learn([data[i:j].decode() for i, j in zip(begins[rows].tolist(), ends[rows].tolist(), strict=True)])
-            self._insert(new, numbers)
-            out[missing] = numbers[back]
-        return out
-
-    def _insert(self, h: np.ndarray, numbers: np.ndarray) -> None:
-        slots = (h >> _U(64 - self.bits)).astype(np.int64)
-        todo = np.arange(len(h))
-        while len(todo):
-            at = slots[todo]
-            free = self.keys[at] == 0
-            self.keys[at[free]] = h[todo[free]]  # of those that want a slot the last gets it
-            self.slot[at[free]] = numbers[todo[free]]
-            todo = todo[self.keys[at] != h[todo]]
-            slots[todo] = slots[todo] + 1 & len(self.keys) - 1
+            self._learn([data[i:j].decode() for i, j in zip(begins[new].tolist(), ends[new].tolist(), strict=True)])
+        return found
 
     def _learn(self, new: list[str]) -> None:
         """Encode pieces with one call, the mark between them; those that hold a NUL singly."""
@@ -174,9 +141,9 @@ class Encoder:
             while self.used + len(ids) > len(self.pool):
                 self.pool = np.append(self.pool, np.zeros(len(self.pool), self.dtype))
             self.pool[self.used : self.used + len(ids)] = ids
-            self.first[self.known : self.known + len(part)] = self.used + np.cumsum(counts) - counts
-            self.length[self.known : self.known + len(part)] = counts
-            self.known, self.used = self.known + len(part), self.used + len(ids)
+            self.first[self.learnt : self.learnt + len(part)] = self.used + np.cumsum(counts) - counts
+            self.length[self.learnt : self.learnt + len(part)] = counts
+            self.learnt, self.used = self.learnt + len(part), self.used + len(ids)
 
 
 def in_doc_order(documents: DataFrame) -> DataFrame:

@@ -87,3 +87,12 @@ def test_winnowing_keeps_one_of_each_window():
         if group[i] == group[i + 5]:
             least = min(h[i : i + 6])
             assert max(j for j in range(i, i + 6) if h[j] == least) in kept
+
+
+def test_words_of_one_polynomial_hash_stay_apart(spark):
+    from test_tokens import thue_morse
+
+    a, b = zip(*(thue_morse(n) for n in (512, 1024, 2048, 8192)), strict=True)
+    items = spark.createDataFrame([(i, w) for i, w in enumerate(a)] + [(9, " ".join(a * 3))], "item_id long, text string")
+    got = decontam.contamination(documents(spark, [(i, w) for i, w in enumerate(b)] + [(9, " ".join(b * 3))]), items).collect()
+    assert not any(r.contaminated for r in got)

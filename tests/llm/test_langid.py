@@ -55,7 +55,7 @@ def test_expected_counts_are_posterior_counts():
     assert np.allclose(langid.expected_counts(m.pieces, words, n, p), expected)
 
 
-def test_totals_are_sums_over_words_and_long_runs_are_cut(monkeypatch):
+def test_totals_are_sums_over_whole_words(monkeypatch):
     monkeypatch.setattr(langid, "MOST_WORDS", 3)
     m = model()
     texts = ["the ab", None, "", "12 -- !", "— ·", "The THE thé", "q" * 95, "ab\nab the, q1q", "漢字"]
@@ -64,7 +64,7 @@ def test_totals_are_sums_over_words_and_long_runs_are_cut(monkeypatch):
         for text, (total, has) in zip(texts, rows, strict=True):
             low = (text or "").translate({i: i + 32 for i in range(65, 91)}).encode()
             runs = [bytes(g) for k, g in itertools.groupby(low, lambda b: bool(langid.LETTERS[b])) if k]
-            parts = [b" " + r[i : i + langid.MOST_BYTES] for r in runs for i in range(0, len(r), langid.MOST_BYTES)]
+            parts = [b" " + r for r in runs]
             expected = langid.forward(m.pieces, parts, m.probability).sum(axis=0) if parts else np.zeros(2)
             assert np.allclose(total, expected, rtol=1e-5)
             assert has == any(c.isalpha() for c in text or "")
@@ -119,3 +119,65 @@ def test_filter_keeps_columns_and_clean_rows(spark):
     kept = langid.known_languages(df)
     assert kept.columns == df.columns
     assert {r.doc_id for r in kept.collect()} == set(range(40))
+
+
+def plain_forward(word, number, p):
+    sums = [1.0] + [0.0] * len(word)
+    for j in range(1, len(word) + 1):
+        sums[j] = sum(sums[j - k] * p[number[word[j - k : j]]] for k in range(1, j + 1) if word[j - k : j] in number)
+    return sums
+
+
+def test_long_runs_sum_all_segmentations():
+    m = model()
+    number = {b: i for i, b in enumerate(m.pieces.pieces) if i}
+    rng = random.Random(3)
+    words = [b" " + "".join(rng.choice(["the", "th", "e", "ab", "b", "é"]) for _ in range(n)).encode() for n in (40, 90, 90, 7, 61, 33)]
+    for block in (512, 7):
+        got = langid.forward_long(m.pieces, words, m.probability, block)
+        for word, row in zip(words, got, strict=True):
+            for lang in range(2):
+                assert math.isclose(row[lang], math.log(plain_forward(word, number, m.probability[:, lang])[-1]), rel_tol=1e-9)
+    assert np.allclose(got, langid.forward(m.pieces, words, m.probability))
+    # Past the range of plain numbers the sums stay finite.
+    assert np.isfinite(langid.forward_long(m.pieces, [b" " + b"q" * 5000], m.probability)).all()
+
+
+def test_long_runs_count_as_short_ones_do(monkeypatch):
+    m, p = model(), model().probability[:, 0]
+    word = b" thetheabab" * 5
+    assert np.allclose(langid.expected_long(m.pieces, word, 2.0, p), langid.expected_counts(m.pieces, [word], np.array([2.0]), p))
+    monkeypatch.setattr(langid, "FIT_BYTES", 9)
+    parts = langid._parts("漢字漢字漢字the".encode())
+    assert b"".join(parts) == "漢字漢字漢字the".encode() and all(x.decode() and len(x) <= 9 for x in parts)
+
+
+def test_query_equals_brute_force(spark):
+    """The whole prediction, written plainly for one fitted model."""
+    df = documents(spark)
+    m = langid.Model(["x", "y"], *(lambda q: (q.pieces, q.probability))(model()))
+    number = {b: i for i, b in enumerate(m.pieces.pieces) if i}
+    got = {(r.doc_id, r.text): r for r in langid.predict(df, m, ["doc_id", "text"]).collect()}
+    for doc_id, text in {(r.doc_id, r.text) for r in df.collect()}:
+        if text and len(text) > 5000:
+            continue
+        low = (text or "").translate({i: i + 32 for i in range(65, 91)}).encode()
+        logs = [sum(math.log(plain_forward(b" " + bytes(g), number, m.probability[:, i])[-1]) for k, g in itertools.groupby(low, lambda b: bool(langid.LETTERS[b])) if k) for i in range(2)]
+        odds = [math.exp(x - max(logs)) for x in logs]
+        r = got[doc_id, text]
+        if any(c.isalpha() for c in text or ""):
+            assert r.lang_pred == "xy"[odds.index(max(odds))] and math.isclose(r.score, max(odds) / sum(odds), rel_tol=1e-4)
+        else:
+            assert (r.lang_pred, r.score) == ("und", 1.0)
+
+
+def test_equally_likely_languages_go_by_name(spark):
+    p = model().probability
+    m = langid.Model(["a", "b"], model().pieces, np.stack([p[:, 0], p[:, 0]], axis=1))
+    assert {r.lang_pred for r in langid.predict(documents(spark).filter("doc_id = 1"), m, ["doc_id"]).collect()} == {"a"}
+
+
+def test_extra_columns_never_clash(spark):
+    df = documents(spark).selectExpr("*", "1 as _d", "2 as _p", "3 as _keep_text", "4 as lang_pred", "5 as score", "6 as `a.b`")
+    out = langid.known_languages(df)
+    assert out.columns == df.columns and {(r._d, r.lang_pred, r["a.b"]) for r in out.collect()} == {(1, 4, 6)}

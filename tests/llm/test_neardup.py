@@ -141,3 +141,11 @@ def test_parity_never_exceeds_the_difference():
             apart = int(np.bitwise_count((neardup.parity(a) ^ neardup.parity(other)).view(np.uint64)).sum())
             assert apart <= 2 * (n - same)
             assert (apart - 2 * (n - same)) % 2 == 0
+
+
+def test_words_of_one_polynomial_hash_stay_apart(spark):
+    from test_tokens import thue_morse
+
+    rows = [(2 * i + j, w) for i, n in enumerate((512, 1024, 2048, 8192)) for j, w in enumerate(thue_morse(n))]
+    got = neardup.near_duplicates(documents(spark, rows), 3, Fraction(85, 100), 32, 5).collect()
+    assert all(r.component_id == r.doc_id and r.n_shingles == 1 for r in got)

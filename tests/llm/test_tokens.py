@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from concordat.llm import packing, tokens, wavelet
+from concordat.llm import packing, texthash, tokens, wavelet
 from concordat.llm.shared import scratch
 from concordat.llm.tokens import Encoder
 
@@ -53,6 +53,44 @@ def test_table_grows_and_begins_anew(monkeypatch):
         assert e.ids(text).tolist() == plain(BYTES, text)
 
 
+def thue_morse(n):
+    x = np.zeros(1, np.uint8)
+    while len(x) < n:
+        x = np.concatenate([x, 1 - x])
+    return "".join("ab"[i] for i in x), "".join("ba"[i] for i in x)
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 8192])
+def test_no_structured_collisions(n):
+    a, b = thue_morse(n)
+    for path, lower in CASES:
+        e = Encoder(path, lower)
+        for text in (a, b, f"{b} {a}"):
+            assert e.ids(text).tolist() == plain(path, text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=40), max_size=30), st.lists(st.binary(max_size=3), max_size=30))
+def test_table_tells_strings_of_one_hash_apart(some, more):
+    real = texthash._hashes
+    for hashes in (real, lambda b, eights, begins, sizes: real(b, eights, begins, sizes) & np.uint64(1 << 63 | 1)):
+        texthash._hashes = hashes
+        try:
+            table, numbers = texthash.PieceTable(2), {}
+            for strings in (some, more, some + more):
+                ends = np.cumsum([len(x) for x in strings], dtype=np.int64)
+                begins = ends - np.array([len(x) for x in strings], np.int64)
+                raw = np.frombuffer(b"".join(strings), np.uint8)
+                got, new = table.find(raw, begins, ends)
+                for i in new:
+                    assert strings[i] not in numbers
+                    numbers[strings[i]] = len(numbers)
+                assert got.tolist() == [numbers[x] for x in strings]
+                assert table.lookup(raw, begins, ends).tolist() == got.tolist()
+        finally:
+            texthash._hashes = real
+
+
 def ordered():
     return sorted(DOCS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
 
