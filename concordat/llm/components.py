@@ -2,8 +2,8 @@
 
 Every pass replaces edges by edges to smaller neighbours; passes needed grow
 with the logarithm of a component's size.  A pass aggregates minima (partial
-sums first) and joins them back on the node, so a hub is a skewed probe key
-that adaptive execution splits; no neighbour list is ever gathered, and nothing
+sums first), writes them and joins them back on the node: a hub is then a skewed
+key of a join of plain inputs, which adaptive execution splits; no neighbour list is ever gathered, and nothing
 but two numbers for the stop test goes to the driver.
 """
 
@@ -31,10 +31,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = materialize(large.select(*up), name)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
         now = materialize(small.select("e.*").select(*up).filter("a <> b").distinct(), name)
         was, state = state, _state(now)

@@ -13,7 +13,10 @@ equi-join, whose side Spark broadcasts only below its own threshold.
 Defined results for odd input: a null text has no words; an item without words
 has no window; an item of fewer words than the window is one window of its
 own; repeated item ids count as one item; repeated document rows each give a
-row; extra columns are ignored.
+row; very long texts are read whole; an empty table gives none, an empty benchmark
+no hit; extra columns are ignored.  Windows are compared by the hashes of their
+fingerprint and of all their words (64 bits each, words in order); an item of one
+common word is as many hits as there are documents with it, which its contract asks.
 """
 
 from __future__ import annotations
@@ -190,8 +193,9 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents of whose id no row holds a benchmark window."""
-    bad = contamination(documents, benchmark).filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    bad = contamination(documents, benchmark).filter("contaminated").select(F.struct("doc_id").alias("id")).distinct()
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("d"))
+    return rows.join(bad, F.struct("d.doc_id").eqNullSafe(F.col("id")), "left_anti").select("d.*")
 
 
 ORACLE_SQL = r"""

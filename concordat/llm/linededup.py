@@ -1,34 +1,39 @@
 """Near-equal lines across documents, from built-in functions only.
 
-Two lines are linked if their edit distance is at most a tenth of the longer
-one's characters; lines under 10 characters are linked only with equal ones.
-Pairs within ``MOST_EDITS`` are all found, by segments.  Pairs further apart,
-which lines of 30 characters and more can be, are found by word runs: if they
-have six words in a row in common (three if both have under 20 words).  Without
-``tenth`` the functions stay at MOST_EDITS for lines of any length.
-
-A line is split into MOST_EDITS + 1 segments.  Of two linked lines some segment
-of the shorter stands in the longer at a place that the lengths' difference
-bounds, so each line is indexed by its segments and probes with the substrings
-that may equal a segment of lines up to MOST_EDITS shorter.  A match is an equi-join on
-the hash of (length, segment number, substring).  Pairs are then confirmed by
-a banded bit-parallel edit distance: a band of 2 * MOST_EDITS + 1 diagonals is
-kept in the bits of one number, a character of the longer line per step.
-
-Word runs are hashes of three words (of two in lines under 20 words), of which a
-line keeps those that are least within some window of four (two), so that equal
-words in a row keep equal runs.  Lines that share one, and whose lengths and
-character counts allow it, are compared in full.
-
-Equal lines are one text from the start, so copies never pair.  The join also
-asks that the texts' counts of eight common characters differ by no more than
+Two different lines are linked if one of two rules holds; ``n`` are the longer
+one's characters, ``w`` its words (parts between spaces):
+
+* both have under ``FEW_WORDS`` words and at most min(MOST_EDITS, n / 10) edits of
+  characters make one of the other;
+* at most w / 10 edits of words (insert, drop, replace) do; empty parts are words.
+
+All such pairs are found; nothing is capped.
+
+Characters: a line is split into MOST_EDITS + 1 segments.  Of two linked lines some
+segment of the shorter stands in the longer at a place that the lengths'
+difference bounds, so each line is indexed by its segments and probes with the
+substrings that may equal a segment of lines up to MOST_EDITS shorter.  A match is
+an equi-join on the hash of (length, segment number, substring).  Pairs are then
+confirmed by a banded bit-parallel edit distance: a band of 2 * MOST_EDITS + 1
+diagonals is kept in the bits of one number, a character of the longer line per step.
+
+Words: w / 10 edits leave w / 10 + 1 segments of which one has at least (w - w / 10)
+/ (w / 10 + 1) words.  As the threshold grows with the line, segments at all their
+shifts would be too many keys; instead each line keeps the least hash of each
+window of word runs, so that lines with so many words in a row in common share one
+(``RUNS``).  Pairs that share one must pass bounds on their words' counts and on the
+parities of their words' hashes, and are confirmed by a banded distance over words.
+
+Equal lines are one text from the start, so copies never pair.  The character join
+also asks that the texts' counts of eight common characters differ by no more than
 so many edits can change; that leaves few pairs of a segment that many edited
-copies share.  Such a segment is a skewed key of an equi-join, which adaptive
-execution splits on both sides.  Nothing is capped.
+copies share.  A key that many texts share is a skewed key of an equi-join of
+plain inputs, which adaptive execution splits.
 
 Defined results for odd input: blank lines and null texts have no lines; white
-space at a line's ends is ignored; repeated rows repeat their lines' results;
-extra columns are ignored.
+space at a line's ends is ignored; of lines that could open a class the least
+(doc_id, line number) does; lines and texts of any length are read whole; repeated
+rows repeat their lines' results; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,8 +48,8 @@ from .shared import materialize
 MOST_EDITS = 2
 SHARE = 10
 SEGMENTS = MOST_EDITS + 1
-#: Bits of the fixed-size bitmap that spares other lines the second reading's shuffle.
-BITMAP_LOG2 = 18
+#: Lines of fewer words are compared by characters.
+FEW_WORDS = 20
 
 
 def _segment(length: Column, i: int) -> tuple[Column, Column]:
@@ -172,59 +177,90 @@ def _blocks_intact(a: Column, b: Column, parts: int = 8) -> Column:
     return lost <= MOST_EDITS
 
 
-def _most(length: Column, tenth: bool = False) -> Column:
-    share = F.floor(length / SHARE).cast("int")
-    return share if tenth else F.least(F.lit(MOST_EDITS), share)
+#: (words of a run, runs of a window, least and most words of a line): lines that can
+#: be linked share a row, and there have size + window - 1 words in a row in common.
+RUNS = ((3, 3, 9, 19), (3, 4, 18, 39), (4, 5, 36, None))
 
 
-#: (words of a run, window, least and most words of a line): lines of near lengths share a row.
-RUNS = ((2, 2, 2, 19), (3, 4, 16, None))
+def word_hashes(line: Column) -> Column:
+    return F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
 
 
-def word_runs(line: Column) -> Column:
-    """The distinct hashes of a line's kept word runs."""
+def word_parity(words: Column) -> Column:
+    """Bit i tells whether an odd number of words falls on it; an edit of a word changes two at most."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda all_, w: all_.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))))
 
-    def runs(words: Column, size: int, window: int) -> Column:
-        last = F.size(words) - size
-        at = F.sequence(F.lit(0), last)
-        hashes = F.transform(at, lambda i: F.xxhash64(F.lit(size), *(F.get(words, i + j) for j in range(size))))
 
-        def kept(all_: Column) -> Column:
-            def least(x: Column, i: Column) -> Column:
-                over = lambda j: F.coalesce(F.get(all_, i + j) >= x, F.lit(True))
-                windows = F.lit(False)
-                for first in range(1 - window, 1):
-                    own = F.lit(True)
-                    for j in range(first, first + window):
-                        own = own & over(j) if j else own
-                    windows = windows | own
-                return windows
+def word_runs(words: Column) -> Column:
+    """The distinct least hashes of the windows of a line's word runs."""
 
-            return F.filter(all_, least)
+    def kept(size: int, window: int) -> Column:
+        run = lambda i: F.xxhash64(*(F.get(words, i + j if j else i) for j in range(size)))
+        runs = F.transform(F.sequence(F.lit(0), F.size(words) - size), run)
+        least = lambda all_: F.transform(F.sequence(F.lit(0), F.size(all_) - window), lambda i: F.least(*(F.get(all_, i + j if j else i) for j in range(window))))
+        return let(runs, lambda all_: F.array_distinct(least(all_)))
 
-        return let(hashes, kept)
+    out, n = [], F.size(words)
+    for size, window, fewest, most in RUNS:
+        fits = (n >= fewest) & (n <= most) if most else n >= fewest
+        out.append(F.when(fits, kept(size, window)).otherwise(F.array().cast("array<bigint>")))
+    return F.concat(*out)
 
-    def both(words: Column) -> Column:
-        n, out = F.size(words), []
-        for size, window, fewest, most in RUNS:
-            fits = (n >= fewest) & (n <= most) if most else n >= fewest
-            out.append(F.when(fits, runs(words, size, window)).otherwise(F.array().cast("array<bigint>")))
-        return F.array_distinct(F.concat(*out))
 
-    return let(F.transform(F.split(line, " +"), lambda w: F.xxhash64(w)), both)
+def _run_pairs(texts: DataFrame) -> DataFrame:
+    """a, b, a < b: texts that share a word run and may be within a tenth of their words; repeated."""
+    rows = texts.filter(F.col("w") >= min(r[2] for r in RUNS))
+    # Bound by let, the hashes are computed once a line, not once a run.
+    both = let(word_hashes(F.col("line")), lambda words: F.struct(word_parity(words).alias("parity"), word_runs(words).alias("runs")))
+    rows = rows.select("t", "w", both.alias("of")).select("t", "w", F.col("of.parity").alias("parity"), F.explode("of.runs").alias("run"))
+    side = lambda s: rows.select(F.col("run").alias(f"run_{s}"), F.col("t").alias(s), F.col("w").alias(f"w_{s}"), F.col("parity").alias(f"parity_{s}"))
+    most = "(greatest(w_a, w_b) div 10)"
+    near = F.expr(f"a < b and abs(w_a - w_b) <= {most} and bit_count(parity_a ^ parity_b) <= 2 * {most}")
+    return side("a").join(side("b"), (F.col("run_a") == F.col("run_b")) & near).select("a", "b")
 
 
-def _run_pairs(lines: DataFrame) -> DataFrame:
-    """a, b, a < b: texts of lengths at which a tenth may be over MOST_EDITS that share a
-    word run and may be within a tenth; repeated."""
-    texts = lines.filter(F.col("n") >= SHARE * (MOST_EDITS + 1) - 1).groupBy("h").agg(F.first("line").alias("line"), F.first("n").alias("n"))
-    # Beside a generator, the bag would be computed once a run.
-    texts = texts.select("h", "n", bag(F.col("line")).alias("bag"), word_runs(F.col("line")).alias("runs"))
-    texts = texts.select("h", "n", "bag", F.explode("runs").alias("run"))
-    side = lambda s: texts.select(F.col("run").alias(f"run_{s}"), F.col("h").alias(s), F.col("n").alias(f"n_{s}"), F.col("bag").alias(f"bag_{s}"))
-    most = _most(F.greatest("n_a", "n_b"), True)
-    near = (F.col("a") < F.col("b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= most) & bags_near(F.col("bag_a"), F.col("bag_b"), most)
-    return side("a").join(side("b"), (F.col("run_a") == F.col("run_b")) & near).select("a", "b")
+def _segment_pairs(texts: DataFrame) -> DataFrame:
+    """a, b, a < b: texts of few words that share a segment and may be within MOST_EDITS; repeated."""
+    n, code = F.col("n"), F.col("code")
+    texts = texts.filter(F.col("w") < FEW_WORDS).select("t", "n", bag(F.col("line")).alias("bag"), encoded(F.col("line")).alias("code"))
+    probes = [F.when(n >= SHARE, k) for k in probe_keys(code, n)]
+    texts = texts.select("t", "bag", F.array(*index_keys(code, n), *probes).alias("keys"))
+    index_side = texts.select(F.col("t").alias("a"), F.col("bag").alias("bag_a"), F.explode(F.slice("keys", 1, SEGMENTS)).alias("key"))
+    probe_side = texts.select(F.col("t").alias("b"), F.col("bag").alias("bag_b"), F.posexplode(F.slice("keys", SEGMENTS + 1, len(probes))).alias("at", "probe_key")).filter("probe_key is not null")
+    probe_side = probe_side.select("b", "bag_b", "probe_key", F.col("at").isin(*UNSHIFTED).alias("mutual"))
+    # Texts of one length that share an unshifted segment meet either way round; once is enough.
+    met = index_side.join(probe_side, (F.col("key") == F.col("probe_key")) & F.expr("a <> b and (a < b or not mutual)") & bags_near(F.col("bag_a"), F.col("bag_b")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _coded(codes: Column) -> Column:
+    """A string of a character per number below 2^20, all beyond the first plane."""
+    return F.decode(F.unhex(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c + 0x10000), 8, "0")), "")), "UTF-32")
+
+
+def hashed_words(line: Column) -> Column:
+    return F.transform(F.split(line, " "), lambda w: F.xxhash64(w).bitwiseAND((1 << 20) - 1))
+
+
+def _levenshtein(x: Column, y: Column, most: Column) -> Column:
+    return F.call_function("levenshtein", x, y, most) >= 0
+
+
+def words_within(x: Column, y: Column, coded_x: Column, coded_y: Column, most: Column) -> Column:
+    """Whether lines x and y are within ``most`` edits of words.
+
+    The codes of hashed words decide if they can only make the distance less; where two
+    words of the pair have one code, the words' places among the pair's decide.
+    """
+
+    def exactly(pair: Column) -> Column:
+        places = lambda words: F.transform(words, lambda w: F.array_position(pair["all"], w))
+        one_code = F.size(F.array_distinct(F.transform(pair["all"], lambda w: F.xxhash64(w).bitwiseAND((1 << 20) - 1)))) < F.size(pair["all"])
+        return ~one_code | _levenshtein(_coded(places(pair["x"])), _coded(places(pair["y"])), most)
+
+    parts = lambda c: F.split(c, " ")
+    pair = F.struct(parts(x).alias("x"), parts(y).alias("y"), F.array_distinct(F.concat(parts(x), parts(y))).alias("all"))
+    return F.when(_levenshtein(coded_x, coded_y, most), let(pair, exactly)).otherwise(False)
 
 
 #: ASCII white space.
@@ -246,81 +282,55 @@ def lines_of(documents: DataFrame) -> DataFrame:
     return rows.select("*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.char_length("line").alias("n"))
 
 
-def _near(bits: DataFrame) -> bytes:
-    """The bitmap of the h column: 2^BITMAP_LOG2 bits, as many bytes / 8 at any input."""
-    at = F.col("h").bitwiseAND((1 << BITMAP_LOG2) - 1)
-    cells = bits.groupBy(F.shiftright(at, 3).alias("cell")).agg(F.expr("bit_or(shiftleft(1, cast(h & 7 as int)))").alias("v")).toArrow()
-    out = bytearray(1 << BITMAP_LOG2 - 3)
-    for cell, v in zip(cells.column(0).to_pylist(), cells.column(1).to_pylist(), strict=True):
-        out[cell] = v
-    return bytes(out)
-
-
-def _maybe(bitmap: bytes) -> Column:
-    at = F.col("h").bitwiseAND((1 << BITMAP_LOG2) - 1)
-    byte = F.conv(F.hex(F.substr(F.lit(bitmap), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.expr("shiftleft(1, cast(h & 7 as int))").bitwiseAND(byte) != 0
-
-
-def links(documents: DataFrame, tenth: bool = False) -> DataFrame:
-    """ha, ga, hb, gb: the linked pairs of different texts, each once; materialised."""
-    lines = lines_of(documents)
-    n, line = F.col("n"), F.col("line")
-    # A number per key, not an array, keeps this a hash aggregate.
-    index = index_keys(F.col("code"), n)
-    probe = [F.when(n >= SHARE, k) for k in probe_keys(F.col("code"), n)]
-    texts = lines.filter(n >= SHARE - MOST_EDITS).withColumn("code", encoded(line)).select("h", bag(line).alias("bag"), *(k.alias(f"k{i}") for i, k in enumerate(index + probe)))
-    texts = texts.groupBy("h").agg(*(F.min(c).alias(c) for c in texts.columns[1:]))
-    # Both sides read all columns, so that one shuffle of the texts serves both.
-    keys = F.array(*(F.col(f"k{i}") for i in range(len(index) + len(probe))))
-    index_side = texts.select(F.col("h").alias("a"), F.col("bag").alias("bag_a"), F.explode(F.slice(keys, 1, SEGMENTS)).alias("key"))
-    probe_side = texts.select(F.col("h").alias("b"), F.col("bag").alias("bag_b"), F.posexplode(F.slice(keys, SEGMENTS + 1, len(probe))).alias("at", "probe_key")).filter("probe_key is not null")
-    probe_side = probe_side.select("b", "bag_b", "probe_key", F.col("at").isin(*UNSHIFTED).alias("mutual"))
-    # Texts of one length that share an unshifted segment meet either way round; once is enough.
-    met = index_side.join(probe_side, (F.col("key") == F.col("probe_key")) & F.expr("a <> b and (a < b or not mutual)") & bags_near(F.col("bag_a"), F.col("bag_b")))
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = (pairs.union(_run_pairs(lines)) if tenth else pairs).distinct()
+def texts_of(lines: DataFrame) -> DataFrame:
+    """t, h, g, line, n, w (words): the different texts long enough to be linked; materialised."""
+    texts = lines.filter(F.col("n") >= SHARE - MOST_EDITS).groupBy("h", "g").agg(F.first("line").alias("line"))
+    words = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    texts = texts.select(F.monotonically_increasing_id().alias("t"), "h", "g", "line", F.char_length("line").alias("n"), words.alias("w"))
+    return materialize(texts, "lines-texts")
+
+
+def _with_lines(pairs: DataFrame, texts: DataFrame, *more: Column) -> DataFrame:
+    """a, b and the columns of both with endings a and b: line, n, w and more."""
+    wanted = pairs.select(F.col("a").alias("t")).union(pairs.select(F.col("b").alias("t"))).distinct()
+    found = materialize(texts.join(wanted, "t", "left_semi").select("t", "line", "n", "w", *more), "lines-wanted")
+    side = lambda s: found.select(F.col("t").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in found.columns[1:]))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def links(texts: DataFrame) -> DataFrame:
+    """a, b (a < b): the linked pairs of texts (of texts_of), each once; materialised."""
     # The JVM compiles no method over 8000 bytes; larger ones run outside the fused stage, in parts.
-    limit = "spark.sql.codegen.hugeMethodLimit"
-    conf, old = documents.sparkSession.conf, documents.sparkSession.conf.get(limit, None)
-    conf.set(limit, "8000")
-    try:
-        pairs = materialize(pairs, "lines-pairs")
-    finally:
-        conf.set(limit, old) if old else conf.unset(limit)
-    wanted = pairs.select(F.col("a").alias("h")).distinct().union(pairs.select(F.col("b").alias("h")).distinct()).distinct()
-    found = lines.filter(_maybe(_near(wanted))).select("h", "g", "line").join(wanted, "h", "left_semi").groupBy("h", "g").agg(F.first("line").alias("line"))
-    found = materialize(found, "lines-texts")
-    side = lambda s: found.select(*(F.col(c).alias(f"{c}{s}") for c in ("h", "g", "line")))
-    both = pairs.join(side("a"), F.col("a") == F.col("ha")).join(side("b"), F.col("b") == F.col("hb"))
-    shorter = F.char_length("linea") <= F.char_length("lineb")
-    both = both.select("ha", "ga", "hb", "gb", F.when(shorter, F.col("linea")).otherwise(F.col("lineb")).alias("x"), F.when(shorter, F.col("lineb")).otherwise(F.col("linea")).alias("y"))
-    most = _most(F.char_length("y"), tenth)
-    both = both.filter(F.char_length("y") - F.char_length("x") <= most)
-    few = _blocks_intact(F.col("x"), F.col("y")) & (bounded_edits(F.col("x"), F.col("y")) <= most)
-    if tenth:
-        both = both.withColumn("most", most)
-        few = F.when(F.col("most") <= MOST_EDITS, few).otherwise(F.expr("levenshtein(x, y, most) >= 0"))
-    return materialize(both.filter(few).select("ha", "ga", "hb", "gb"), "lines-links")
-
-
-def line_classes(documents: DataFrame, tenth: bool = False) -> DataFrame:
+    limit = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+    few = materialize(_segment_pairs(texts).distinct(), "lines-pairs", limit)
+    both = _with_lines(few, texts)
+    shorter = F.col("n_a") <= F.col("n_b")
+    both = both.select("a", "b", F.when(shorter, F.col("line_a")).otherwise(F.col("line_b")).alias("x"), F.when(shorter, F.col("line_b")).otherwise(F.col("line_a")).alias("y"), F.greatest("n_a", "n_b").alias("n"))
+    most = F.least(F.lit(MOST_EDITS), F.floor(F.col("n") / SHARE).cast("int"))
+    few = materialize(both.filter(_blocks_intact(F.col("x"), F.col("y")) & (bounded_edits(F.col("x"), F.col("y")) <= most)).select("a", "b"), "lines-links")
+    many = materialize(_run_pairs(texts).distinct(), "lines-pairs")
+    both = _with_lines(many, texts, _coded(hashed_words(F.col("line"))).alias("code"))
+    most = F.floor(F.greatest("w_a", "w_b") / SHARE).cast("int")
+    many = both.filter(words_within(F.col("line_a"), F.col("line_b"), F.col("code_a"), F.col("code_b"), most)).select("a", "b")
+    return materialize(few.union(many).distinct(), "lines-links")
+
+
+def line_classes(documents: DataFrame) -> DataFrame:
     """A row per line: doc_id, doc_hash, line_no, n_chars, class_doc_id, class_line_no,
     n_links (other texts linked with its text), kept (it opens its class)."""
-    found = links(documents, tenth)
-    node = lambda h, g: F.struct(F.col(h).alias("h"), F.col(g).alias("g"))
-    edges = found.select(node("ha", "ga").alias("a"), node("hb", "gb").alias("b"))
+    texts = texts_of(lines_of(documents))
+    edges = links(texts)
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     linked = components(edges, "lines-components").join(degree, "node")
-    linked = linked.select("node.h", "node.g", F.col("root.h").alias("rh"), F.col("root.g").alias("rg"), "n_links")
+    linked = materialize(linked.join(texts.select(F.col("t").alias("node"), "h", "g"), "node").select("h", "g", "root", "n_links"), "lines-linked")
     lines = lines_of(documents).select("doc_id", "doc_hash", "line_no", "h", "g", F.col("n").cast("long").alias("n_chars"))
     lines = materialize(lines, "lines-hashes")
     texts = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
     texts = texts.join(linked, ["h", "g"], "left").filter("n > 1 or n_links is not null")
-    texts = texts.withColumn("rh", F.coalesce("rh", "h")).withColumn("rg", F.coalesce("rg", "g"))
     texts = materialize(texts, "lines-repeated")
-    opens = texts.filter("n_links is not null").groupBy("rh", "rg").agg(F.min("first").alias("opens"))
-    texts = texts.join(opens, ["rh", "rg"], "left").select("h", "g", F.coalesce("opens", "first").alias("opens"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    opens = materialize(texts.filter("n_links is not null").groupBy("root").agg(F.min("first").alias("opens")), "lines-opens")
+    texts = texts.join(opens, "root", "left").select("h", "g", F.coalesce("opens", "first").alias("opens"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    texts = materialize(texts, "lines-classes")  # plain inputs: the join's skew can be split
     own = F.struct("doc_id", "line_no")
     out = lines.join(texts, ["h", "g"], "left").withColumn("opens", F.coalesce("opens", own))
     return out.select(
@@ -331,23 +341,28 @@ def line_classes(documents: DataFrame, tenth: bool = False) -> DataFrame:
 
 
 def op7_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), tenth=True).drop("doc_hash")
+    return line_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("doc_hash")
 
 
-#: Lines of fewer characters stay: short lines repeat by chance.
+#: Lines of fewer characters stay: short lines repeat by chance; 0 lets all go.
 SHORTEST_DROPPED = 25
 
 
 def drop_repeated_lines(documents: DataFrame, shortest: int = SHORTEST_DROPPED) -> DataFrame:
     """documents without the lines of at least ``shortest`` characters whose class
     an earlier line opens; documents that lose all their lines go, and n_chars,
-    if there is one, follows."""
-    gone = line_classes(documents, tenth=True).filter(~F.col("kept") & (F.col("n_chars") >= shortest))
-    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_hash")).agg(F.collect_set("line_no").alias("_gone"))
-    out = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_hash")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("_gone"), i.cast("long"))), "\n")
-    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
-    out = out.filter(F.col("_gone").isNull() | (F.trim("text") != ""))
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(documents.schema["n_chars"].dataType)))
-    return out.select(documents.columns)
+    if there is one, follows.  The work is linear in a text's lines."""
+    gone = line_classes(documents).filter(~F.col("kept") & (F.col("n_chars") >= shortest))
+    gone = materialize(gone.groupBy("doc_id", "doc_hash").agg(F.collect_set("line_no").alias("gone")), "lines-gone")
+    gone = gone.select(F.struct("doc_id").alias("id"), "doc_hash", "gone")
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("d"))
+    out = rows.join(gone, F.struct("d.doc_id").eqNullSafe(F.col("id")) & F.xxhash64("d.text").eqNullSafe(F.col("doc_hash")), "left")
+    lines = F.split("d.text", "\n")
+    left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), "gone")
+    left = let(lines, lambda all_: F.array_join(F.transform(left, lambda i: F.get(all_, i.cast("int"))), "\n"))
+    out = out.select("d", F.col("gone").isNull().alias("whole"), F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(left).alias("text"))
+    out = out.filter(F.col("whole") | (F.trim("text") != ""))
+    own = {c: F.col(f"d.`{c}`") for c in documents.columns} | {"text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("whole"), own["n_chars"]).otherwise(F.char_length("text").cast(documents.schema["n_chars"].dataType))
+    return out.select(*(v.alias(c) for c, v in own.items()))

@@ -9,14 +9,17 @@ Texts with equal shingle sets are one node from the start.  Nodes that share a
 band are candidates; a node of which too few shingles occur in any other
 candidate can have no link and is dropped (an exact bound).  Links are then
 confirmed on full sets: first each bucket's members against one member, which
-joins large groups in linear work, and finally every remaining pair of a bucket
-whose members are in different components.  No cap is set anywhere.
+joins large groups in linear work.  Of the nodes whose buckets still hold several
+components, every pair is tried that shares one of the rarest shingles which a pair
+at the threshold must share (prefix filter): a band that many unlike documents have
+in common costs nothing there.  No cap is set anywhere.
 
 Defined results for odd input: null, empty or word-less texts have an empty
 set and no link; fewer words than a shingle are one shingle; repeated rows and
 equal texts are linked; a doc_id that stands for several texts keeps one row
 for each; where all ids of a component are null, so is its component_id, and
-kept holds for its rows; extra columns are ignored.
+kept holds for its rows; very long texts are read whole; an empty table gives none;
+extra columns are ignored.  Sets are of 64-bit hashes of words in order.
 """
 
 from __future__ import annotations
@@ -152,14 +155,33 @@ def _possible(threshold: Fraction, a: str, b: str) -> F.Column:
     return F.expr(f"least(common_{a}, common_{b}) * {p + q}L >= {both} * {p}L and ({apart}) * {p + q}L <= {both} * {q - p}L")
 
 
+def rare_shingles(nodes: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """nodes with a row per shingle (key) of which two sets at the threshold share one at least.
+
+    With t the threshold, such sets share t of the larger one's shingles, so some of the
+    size - ceil(t * size) + 1 that come first in any common order; here the rarest among nodes do.
+    Shingles of one node alone come first of all and are left out; a key whose nodes are
+    all of one component goes.
+    """
+    p, q = threshold.numerator, threshold.denominator
+    each = sets.join(nodes.select("node", "root"), "node").select("node", "root", F.explode("shingles").alias("s"))
+    counts = each.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 1")
+    counts = materialize(counts.select("s", "n", (F.col("lo") < F.col("hi")).alias("mixed")), "neardup-counts")
+    # One document's shingles at a time, as in sets.
+    ranked = each.join(counts, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "s", "mixed"))).alias("all"))
+    ranked = ranked.join(nodes, "node").withColumn("most", F.expr(f"size(all) - (size * {p}L + {q - 1}) div {q} + 1").cast("int"))
+    ranked = ranked.filter("most > 0").withColumn("of", F.explode(F.expr("slice(all, 1, most)"))).filter("of.mixed")
+    return materialize(ranked.select(F.col("of.s").alias("key"), *nodes.columns), "neardup-rare")
+
+
 def links(buckets: DataFrame, sets: DataFrame, threshold: Fraction, pivots: int = 2) -> tuple[DataFrame | None, DataFrame | None]:
     """(links found, roots): links that connect what any link within a bucket connects.
 
     buckets: key, node, size, common (shingles that another candidate has too), parity.
     The first pivot of a bucket is the node with the fewest shingles of its own,
     the middle of a group of edited copies.  The work is linear in the bucket
-    rows, but for pairs of different components that share a bucket and pass the
-    bound on their overlap; those are all tried.
+    rows, but for pairs of different components that share a rare shingle and pass
+    the bounds on sizes and overlap; those are all tried.
     """
     found, roots, tried, open_ = None, None, None, buckets.withColumn("root", F.col("node"))
     for turn in range(pivots + 1):
@@ -168,9 +190,11 @@ def links(buckets: DataFrame, sets: DataFrame, threshold: Fraction, pivots: int
             order = (F.col("size_b") - F.col("common_b") if turn == 0 else F.xxhash64(F.lit(turn), "node_b")).cast("long")
             pivot = named("b").withColumn("order", order)
             pivot = pivot.groupBy("key").agg(F.min(F.struct("order", *(c for c in pivot.columns if c not in ("key", "order")))).alias("v")).select("key", "v.*")
+            pivot = materialize(pivot, "neardup-pivots")
             new = named("a").join(pivot, "key").filter(F.expr("root_a <> root_b") & _possible(threshold, "a", "b"))
         else:
-            x, y = named("a"), named("b")
+            rare = rare_shingles(open_.drop("key").distinct(), sets, threshold)
+            x, y = (rare.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "size", "common", "parity"))) for s in "ab")
             new = x.join(y, (x.key == y.key) & F.expr("node_a < node_b and root_a <> root_b") & _possible(threshold, "a", "b"))
         new = new.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         new = _pairs(new)
@@ -197,7 +221,7 @@ def near_duplicates(documents: DataFrame, k: int, threshold: Fraction, bands: in
     small_batches(spark)
     all_ = materialize(_sketched(documents, k, bands, rows), "neardup-sketches")
     full = all_.filter("n_shingles > 0")
-    nodes = full.groupBy("digest").agg(F.min("uid").alias("node"))
+    nodes = materialize(full.groupBy("digest").agg(F.min("uid").alias("node")), "neardup-nodes")  # a plain input: its join's skew can be split
     members = materialize(all_.select("uid", "doc_id", "n_shingles", "digest").join(nodes, "digest", "left").select("uid", "doc_id", "n_shingles", F.coalesce("node", "uid").alias("node")), "neardup-members")
     banded = full.join(members.filter("uid = node").select("uid"), "uid", "left_semi").select(F.col("uid").alias("node"), F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
@@ -232,8 +256,9 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(documents: DataFrame, k: int = 5, threshold: Fraction = Fraction(8, 10), bands: int = 40, rows: int = 4) -> DataFrame:
     """The rows of documents that a component keeps: those with its least doc_id."""
-    keep = near_duplicates(documents, k, threshold, bands, rows).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return documents.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    keep = near_duplicates(documents, k, threshold, bands, rows).filter("kept").select(F.struct("doc_id").alias("id")).distinct()
+    rows_ = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("d"))
+    return rows_.join(keep, F.struct("d.doc_id").eqNullSafe(F.col("id")), "left_semi").select("d.*")
 
 
 ORACLE_SQL = r"""

@@ -8,22 +8,43 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import scratch
 
-__all__ = ["materialize", "open_fs", "partitions", "publish", "scratch", "small_batches"]
+__all__ = ["materialize", "open_fs", "partitions", "publish", "scratch", "settings", "small_batches"]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to shared storage and read it back.
+#: Deletes a finished query's shuffle files at once, rather than when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    Cuts the lineage: a lost executor costs a re-read, never a recomputation.
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings changed for a while."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialize(df: DataFrame, name: str, values: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` once to shared storage and read it back; values: settings for that query.
+
+    Cuts the lineage: a lost executor costs a re-read, never a recomputation.  The
+    query's shuffle files go as soon as it has been written.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with settings(spark, {CLEANUP: "true"} | (values or {})):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,15 +4,18 @@
 one gzip member per record; ``read_archives`` streams the records back;
 ``resolve_revisits`` gives each revisit record the facts of its response.
 
-Only headers are grouped by digest.  The group table (one row per digest that
-occurs more than once) joins the pages on the digest; a digest that a third of
-the pages share is a skewed inner key of a plain equi-join, which adaptive
-execution splits, and its group is pre-aggregated map-side.
+Only headers are shuffled by digest: groups are counted with partial sums and
+written, so that a digest which a third of the pages share is a skewed key of a
+join of plain inputs, which adaptive execution splits.  Payloads are shuffled once,
+by (page id, digest), where such a group is spread over its pages; only those of
+response records pass that join.
 
 Defined results for odd input: a null payload is an empty one; rows that
 repeat the largest page id of a payload are all responses; a row without page
 id revisits the group's largest id, and is a response if no row of the group
-has one; extra columns are ignored.
+has one; a payload of any length is one record, held whole by one task; repeated
+rows are records of their own; an empty table writes no record; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -47,25 +50,25 @@ def base32_sha1(payload: F.Column) -> F.Column:
     return F.concat(*out)
 
 
+def _headers(pages: DataFrame) -> DataFrame:
+    payload = F.coalesce(F.col("html"), F.lit(""))
+    return pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload.cast("binary")).alias("payload_digest"))
+
+
 def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to."""
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary")))
-    groups = (
-        rows.filter(F.col("payload_bytes") >= min_bytes)
-        .groupBy("payload_digest")
-        .agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1 and first_id is not null")
-        .select("payload_digest", "first_id")
-    )
-    out = rows.join(groups, "payload_digest", "left")
+    """page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to."""
+    rows = _headers(pages)
+    heads = materialize(rows.drop("payload"), "warc-heads")
+    groups = heads.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    groups = materialize(groups.filter("n > 1 and first_id is not null").select("payload_digest", "first_id"), "warc-groups")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return out.select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("first_id")).alias("refers_to"),
-    )
+    heads = materialize(heads.join(groups, "payload_digest", "left").withColumn("again", again), "warc-roles")
+    # A page id and a digest have one role, so responses are found by them.
+    first = materialize(heads.filter("not again").select(F.col("page_id").alias("id"), F.col("payload_digest").alias("digest")).distinct(), "warc-first")
+    responses = rows.join(first, rows.page_id.eqNullSafe(first.id) & (rows.payload_digest == first.digest), "left_semi")
+    responses = responses.withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast(pages.schema["page_id"].dataType))
+    revisits = heads.filter("again").select("page_id", "url", F.lit(None).cast("string").alias("payload"), "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), F.col("first_id").alias("refers_to"))
+    return responses.union(revisits)
 
 
 def _urn(page_id) -> str:
@@ -193,14 +196,15 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payload: bool = Fals
 def resolve_revisits(headers: DataFrame) -> DataFrame:
     """Each record with the full payload's size: revisits take it from their response.
 
-    The join key is the response's page id *and* digest, one row per key, so a
-    payload that many records revisit is a skewed probe side of an equi-join.
+    The join key is the response's page id *and* digest, one row per key and written
+    first, so a payload that many records revisit is a skewed side that can be split.
     """
     originals = (
         headers.filter("record_type = 'response'")
         .groupBy(F.col("page_id").alias("refers_to"), "payload_digest")
         .agg(F.max("block_bytes").alias("original_bytes"), F.min("archive").alias("original_archive"))
     )
+    originals = materialize(originals, "warc-originals")
     out = headers.join(originals, ["refers_to", "payload_digest"], "left")
     return out.withColumn("payload_bytes", F.when(F.col("record_type") == "revisit", F.col("original_bytes")).otherwise(F.col("block_bytes")))
 

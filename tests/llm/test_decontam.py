@@ -96,3 +96,9 @@ def test_words_of_one_polynomial_hash_stay_apart(spark):
     items = spark.createDataFrame([(i, w) for i, w in enumerate(a)] + [(9, " ".join(a * 3))], "item_id long, text string")
     got = decontam.contamination(documents(spark, [(i, w) for i, w in enumerate(b)] + [(9, " ".join(b * 3))]), items).collect()
     assert not any(r.contaminated for r in got)
+
+
+def test_extra_columns_never_clash(spark):
+    df = documents(spark, [(1, "one two three"), (2, "four five"), (None, None)]).selectExpr("*", "1 as id", "2 as d", "4 as _id", "8 as `a.b`")
+    out = decontam.drop_contaminated(df, spark.createDataFrame([(1, "four five")], "item_id long, text string"))
+    assert out.columns == df.columns and sorted((r.doc_id or 0, r.d, r["a.b"]) for r in out.collect()) == [(0, 2, 8), (1, 2, 8)]

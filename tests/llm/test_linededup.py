@@ -21,6 +21,15 @@ def lines(rows):
     return [(d, i, s) for d, t in rows for i, raw in enumerate((t or "").split("\n")) if t is not None and (s := raw.strip(" \t\n\x0b\x0c\r"))]
 
 
+def near(a, b):
+    """The two rules, plainly."""
+    x, y = a.split(" "), b.split(" ")
+    chars, words = min(2, max(len(a), len(b)) // 10), max(len(x), len(y)) // 10
+    if max(len(x), len(y)) < 20 and chars and abs(len(a) - len(b)) <= chars and distance(a, b) <= chars:
+        return True
+    return words > 0 and abs(len(x) - len(y)) <= words and distance(x, y) <= words
+
+
 def brute(rows):
     all_ = lines(rows)
     texts = sorted({s for _, _, s in all_})
@@ -32,9 +41,7 @@ def brute(rows):
         return s
 
     for a, b in combinations(texts, 2):
-        longer = max(len(a), len(b))
-        most = min(2, longer // 10)
-        if abs(len(a) - len(b)) <= most and most and distance(a, b) <= most:
+        if near(a, b):
             root[find(a)] = find(b)
             n[a] += 1
             n[b] += 1
@@ -133,29 +140,51 @@ def test_plan_has_no_python(spark):
     assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
 
 
-def test_the_bound_grows_with_the_line(spark):
+def test_word_edits_against_brute_force(spark):
     rng = random.Random(9)
-    words = ["".join(rng.choices("abcdefgé", k=rng.randrange(2, 9))) for _ in range(400)]
+    words = ["".join(rng.choices("abcdefgé", k=rng.randrange(2, 9))) for _ in range(300)] + [""]
     texts = []
-    for _ in range(40):
-        base = rng.choices(words, k=rng.choice([7, 12, 18, 25, 60, 110]))
-        for changes in (0, 1, 1, 2, 3, 5, 9):
+    for g in range(60):
+        base = rng.choices(words, k=[9, 10, 11, 18, 19, 20, 21, 29, 35, 36, 39, 40, 41, 60, 110][g % 15])
+        for changes in (0, 1, 1, 2, 3, 4, 6, 11):
             copy = list(base)
-            for i in rng.sample(range(len(base)), min(changes, len(base))):
-                copy[i] = rng.choice(words)
-            texts.append(" ".join(copy))
-    texts = sorted(set(texts))
-    runs = {s: [s.split(" ")[i : i + k] for k in ((6,) if len(s.split(" ")) > 19 else (3, 6)) for i in range(len(s.split(" ")) - k + 1)] for s in texts}
-    want, further = dict.fromkeys(texts, 0), 0
-    for a, b in combinations(texts, 2):
-        most = max(len(a), len(b)) // 10
-        if abs(len(a) - len(b)) > most or not any(r in runs[b] for r in runs[a]):
-            continue
-        d = distance(a, b)
-        if d <= most:
-            further += d > 2
-            want[a] += 1
-            want[b] += 1
-    got = ld.line_classes(documents(spark, list(enumerate(texts))), tenth=True).collect()
-    assert {texts[r.doc_id]: r.n_links for r in got} == want
-    assert further > 60
+            for _ in range(changes):
+                i = rng.randrange(len(copy))
+                copy[i : i + 1] = rng.choice([[], [rng.choice(words)], [copy[i], rng.choice(words)]])
+            texts.append(" ".join(copy).strip())
+    rows = list(enumerate(t for t in dict.fromkeys(texts) if t))
+    got = ld.line_classes(documents(spark, rows)).drop("doc_hash").collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+    further = sum(near(a, b) and distance(a, b) > 2 for (_, a), (_, b) in combinations(rows, 2) if abs(len(a) - len(b)) < 60)
+    assert further > 100
+
+
+def test_words_of_one_code_are_told_apart(spark, monkeypatch):
+    base = [f"w{i}" for i in range(30)]
+    other = [f"x{i}" for i in range(30)]
+    df = spark.createDataFrame([(" ".join(base), " ".join(other), " ".join([*base[:27], "q", "r", "s"]), " ".join([*base[:26], "q", "r", "s", "t"]))], "a string, b string, c string, d string")
+    same = lambda line: F.transform(F.split(line, " "), lambda w: F.lit(7).cast("long"))
+    most, one = F.lit(3), F.xxhash64
+    monkeypatch.setattr(ld.F, "xxhash64", lambda *c: F.lit(7).cast("long") if len(c) == 1 else one(*c))
+    code = lambda c: ld._coded(same(F.col(c)))
+    got = df.select(*(ld.words_within(F.col("a"), F.col(c), code("a"), code(c), most).alias(c) for c in "abcd")).first()
+    assert list(got) == [True, False, True, False]
+
+
+def test_short_repeats_go_if_asked(spark):
+    rows = [(1, "short\nother text of one"), (2, "short\nand more of two"), (3, "short")]
+    got = {r.doc_id: r.text for r in ld.drop_repeated_lines(documents(spark, rows), shortest=0).collect()}
+    assert got == {1: rows[0][1], 2: "and more of two"}
+
+
+def test_a_long_text_that_loses_many_lines(spark):
+    long = "\n".join(f"again {i * 7919:b} and {i * 104729:b}" if i % 2 else f"#{i * 977:x}" for i in range(8_000))
+    again = "\n".join(x for x in long.split("\n") if not x.startswith("#")) + "\nthe end"
+    got = {r.doc_id: r.text for r in ld.drop_repeated_lines(documents(spark, [(1, long), (2, again)])).collect()}
+    assert got[2].split("\n")[-1] == "the end" and len(got[2]) < len(again) // 100
+
+
+def test_extra_columns_never_clash(spark):
+    df = documents(spark, [(1, "one two three"), (2, None)]).selectExpr("*", "1 as id", "2 as d", "3 as gone", "4 as _id", "5 as _hash", "6 as doc_hash", "7 as whole", "8 as `a.b`")
+    out = ld.drop_repeated_lines(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)

@@ -149,3 +149,9 @@ def test_words_of_one_polynomial_hash_stay_apart(spark):
     rows = [(2 * i + j, w) for i, n in enumerate((512, 1024, 2048, 8192)) for j, w in enumerate(thue_morse(n))]
     got = neardup.near_duplicates(documents(spark, rows), 3, Fraction(85, 100), 32, 5).collect()
     assert all(r.component_id == r.doc_id and r.n_shingles == 1 for r in got)
+
+
+def test_extra_columns_never_clash(spark):
+    df = documents(spark, [(1, "one two three"), (2, "one two three"), (None, None)]).selectExpr("*", "1 as id", "2 as d", "4 as _id", "8 as `a.b`")
+    out = neardup.keep_one(df)
+    assert out.columns == df.columns and sorted((r.doc_id or 0, r.d, r["a.b"]) for r in out.collect()) == [(0, 2, 8), (1, 2, 8)]
