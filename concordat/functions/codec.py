@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIGEST_BYTES = 32
-#: First words of the version messages (fixed values of the wire format).
-GREETING, OFFER, CHOICE, ACCEPTED = "SyNcR:", "CAPS:", "USE:", "READY"
+#: First words of the version messages; callers may pass a prefix of their own.
+GREETING, OFFER, CHOICE, ACCEPTED = "INVENTORY:", "CAPS:", "USE:", "READY"
 VERSIONS = (3,)
 
 
@@ -16,6 +16,11 @@ def digest(content: Column) -> Column:
     return F.unhex(F.sha2(content, 256))
 
 
+def hex_digest(content: Column) -> Column:
+    """The digest as the chunker writes it."""
+    return F.sha2(content, 256)
+
+
 def to_base64url(binary: Column) -> Column:
     """URL-safe base64 with padding."""
     return F.translate(F.base64(binary), "+/\r\n", "-_")

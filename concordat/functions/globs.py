@@ -13,10 +13,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Always excluded (fixed values).
+#: Always excluded: the package's own state and staged files, then fixed values.
 ALWAYS_EXCLUDED = (
-    ".syncr/**",
-    "**/*.SyNcR-TmP",
+    ".concordat/**",
+    "**/*.concordat-tmp",
     ".Trash-*/**",
     "lost+found/**",
     "**/.DS_Store",

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codec import hex_digest
+
 
 def presence(local: DataFrame, remote: DataFrame) -> DataFrame:
     """hash, is_local, is_remote: one pass over both sides."""
@@ -47,13 +51,14 @@ def tracker_stats(states: DataFrame) -> DataFrame:
     return states.agg(F.count(F.lit(1)).alias("n_chunks"), count("Pending").alias("n_pending"), count("InProgress").alias("n_in_progress"), count("Completed").alias("n_completed"), count("Failed").alias("n_failed"))
 
 
-def verified_read(requested: DataFrame, replicas: DataFrame) -> DataFrame:
+def verified_read(requested: DataFrame, replicas: DataFrame, digest: Callable[[Column], Column] = hex_digest) -> DataFrame:
     """hash, node_idx, data: the first replica (by position) whose bytes have the digest.
 
-    replicas: hash, position, node_idx, data; the digest is taken before any
-    shuffle, and a hash with many replicas is reduced map-side.
+    replicas: hash, position, node_idx, data; the digest (the chunker's, unless the
+    hashes are of another kind) is taken before any shuffle, and a hash with many
+    replicas is reduced map-side.
     """
-    good = replicas.filter(F.md5("data") == F.col("hash")).join(requested.select("hash").distinct(), "hash", "left_semi")
+    good = replicas.filter(digest(F.col("data")) == F.col("hash")).join(requested.select("hash").distinct(), "hash", "left_semi")
     return good.groupBy("hash").agg(F.min(F.struct("position", "node_idx", "data")).alias("r")).select("hash", "r.node_idx", "r.data")
 
 
@@ -62,7 +67,7 @@ def unreadable(requested: DataFrame, read: DataFrame) -> DataFrame:
 
 
 def reassemble(chunks: DataFrame, payloads: DataFrame) -> DataFrame:
-    """node_idx, path, content: chunk payloads in offset order; a file is one row by nature."""
-    rows = chunks.join(payloads.select("hash", "data"), "hash")
+    """node_idx, path, content (binary): chunk payloads in offset order; a file is one row by nature."""
+    rows = chunks.select("node_idx", "path", "hash", "offset").join(payloads.select("hash", "data"), "hash")
     parts = F.array_sort(F.collect_list(F.struct("offset", "data")))
-    return rows.groupBy("node_idx", "path").agg(parts.alias("parts")).select("node_idx", "path", F.array_join(F.transform("parts", lambda p: p["data"]), "").alias("content"))
+    return rows.groupBy("node_idx", "path").agg(parts.alias("parts")).select("node_idx", "path", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["data"].cast("binary"))), "")).alias("content"))

@@ -116,11 +116,19 @@ def node_chunks(inventory: DataFrame) -> DataFrame:
 
 
 def inverted_index(chunks: DataFrame) -> DataFrame:
-    """hash, n_locations, locations(node_idx, path, offset): the first place in each file."""
+    """hash, n_locations (files that hold it), first (node_idx, path, offset): a row per chunk."""
     places = chunks.groupBy("hash", "node_idx", "path").agg(F.min("offset").alias("offset"))
     return places.groupBy("hash").agg(F.count(F.lit(1)).alias("n_locations"), F.min(F.struct("node_idx", "path", "offset")).alias("first"))
 
 
+def locations(chunks: DataFrame) -> DataFrame:
+    """hash, node_idx, path, offset, n_in_file: every file that holds a chunk, with its first place there.
+
+    A row per place rather than a list per hash: a chunk that all files share is many rows.
+    """
+    return chunks.groupBy("hash", "node_idx", "path").agg(F.min("offset").alias("offset"), F.count(F.lit(1)).alias("n_in_file"))
+
+
 def contiguity_violations(chunks: DataFrame) -> DataFrame:
     """Chunks that do not begin where the one before ends."""
     w = Window.partitionBy("node_idx", "path").orderBy("pos")

@@ -126,7 +126,7 @@ def actions(plan: DataFrame, deletes: DataFrame, inventory: DataFrame, n_nodes:
     return put.unionByName(deletes.select(nodes.alias("node_idx"), F.lit("delete").alias("op"), "path", none.cast("string").alias("tp"), none.cast("string").alias("target"), none.cast("long").alias("mode"), none.cast("long").alias("mtime")))
 
 
-def orphan_temporaries(inventory: DataFrame, suffix: str = ".SyNcR-TmP") -> DataFrame:
+def orphan_temporaries(inventory: DataFrame, suffix: str = ".concordat-tmp") -> DataFrame:
     """Left-over temporary entries, to be deleted (suffix: a fixed value of the staging format)."""
     return inventory.filter(F.col("path").endswith(suffix)).select("node_idx", F.lit("delete").alias("op"), "path")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.globs import to_regex
+from ..storage import stored
 
 
 def winner_position(versions: Column, strategy: str, index: int | None = None, locations: Column | None = None, name: str | None = None) -> Column:
@@ -88,7 +89,23 @@ def manual(conflicts: DataFrame, resolutions: DataFrame) -> DataFrame:
 
 
 def next_unresolved(conflicts: DataFrame) -> DataFrame:
-    """Each conflict's next unresolved one in path order, within its folder; null at the end."""
-    folder = F.regexp_extract("path", "^(.*/)?", 1)
-    w = Window.partitionBy("folder").orderBy("path").rowsBetween(1, Window.unboundedFollowing)
-    return conflicts.withColumn("folder", folder).select("path", F.first(F.when(~F.col("resolved"), F.col("path")), ignorenulls=True).over(w).alias("next_path"))
+    """Each conflict's next unresolved one in path order; null at the end.
+
+    Paths are dealt to ranges; within one a window looks ahead, and the first
+    unresolved path of each later range (a row per range) carries on.
+    """
+    parts = int(conflicts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = conflicts.select("path", "resolved").repartitionByRange(parts, "path").select(F.spark_partition_id().alias("part"), "path", "resolved")
+    rows = stored(rows, "conflicts-in-order")
+    open_ = F.when(~F.col("resolved"), F.col("path"))
+    later = Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = rows.groupBy("part").agg(F.min(open_).alias("first")).select("part", F.min("first").over(later).alias("beyond"))
+    ahead = Window.partitionBy("part").orderBy("path").rowsBetween(1, Window.unboundedFollowing)
+    out = rows.select("part", "path", F.first(open_, ignorenulls=True).over(ahead).alias("next"))
+    return out.join(F.broadcast(firsts), "part").select("path", F.coalesce("next", "beyond").alias("next_path"))
+
+
+def resolution_counts(conflicts: DataFrame) -> DataFrame:
+    """One row: n_conflicts, n_resolved, n_unresolved, and ready (nothing is left to choose)."""
+    left = F.count_if(~F.col("resolved"))
+    return conflicts.agg(F.count(F.lit(1)).alias("n_conflicts"), F.count_if(F.col("resolved")).alias("n_resolved"), left.alias("n_unresolved"), (left == 0).alias("ready"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import diff, filters, plan, resolve, state
 from ..schemas import INVENTORY, PREV_STATE
 from ..sources import snapshot
+from ..storage import stored
 
 OnEvent = Callable[[str, dict], None]
 
@@ -40,6 +41,7 @@ class Reconciliation:
         self._dry_run = False
         self._delete_mode, self._limits = "sync", {}
         self._locks: DataFrame | None = None
+        self._held: dict[str, DataFrame] | None = None
 
     # Inputs
 
@@ -138,7 +140,18 @@ class Reconciliation:
     def conflicts(self) -> DataFrame:
         return self.diff().filter("status = 'conflict'").select("path", "versions")
 
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """While a run lasts, a table is derived once and read back; else it stays a plan."""
+        if self._held is None:
+            return make()
+        if name not in self._held:
+            self._held[name] = stored(make(), name)
+        return self._held[name]
+
     def decided(self) -> DataFrame:
+        return self._once("decided", self._decide)
+
+    def _decide(self) -> DataFrame:
         """path, status, winner_node: manual choices, then the callback, then rules or the strategy."""
         d = self.diff()
         open_ = d.filter("status = 'conflict'").select("path", "versions")
@@ -158,6 +171,9 @@ class Reconciliation:
         return plan.with_resolution(d, picked)
 
     def transfers(self) -> DataFrame:
+        return self._once("transfers", self._transfer)
+
+    def _transfer(self) -> DataFrame:
         fields = diff.COMPAT_FULL_FIELDS if self._compat else diff.FULL_FIELDS
         return plan.transfers(self.inventory(), self.decided(), self.n_nodes, fields)
 
@@ -169,7 +185,7 @@ class Reconciliation:
         return needed.select("dst_node", F.explode("chunks.hash").alias("hash")).distinct().join(owned, ["dst_node", "hash"], "left_anti")
 
     def moves(self) -> DataFrame:
-        return plan.chunk_moves(self.raw_inventory(), self.missing())
+        return self._once("moves", lambda: plan.chunk_moves(self.raw_inventory(), self.missing()))
 
     def matrix(self) -> DataFrame:
         return plan.transfer_matrix(self.moves())
@@ -209,6 +225,13 @@ class Reconciliation:
 
     def run(self, snapshot_path: str | None = None) -> dict:
         """Check locks and gates, then save the next snapshot last; the counters."""
+        self._held = {}
+        try:
+            return self._run(snapshot_path)
+        finally:
+            self._held = None
+
+    def _run(self, snapshot_path: str | None) -> dict:
         self._emit("started", nodes=self._names)
         if self._locks is not None:
             held = state.lock_conflicts(self.inventory().select("path").distinct(), self._locks).limit(1).collect()

@@ -12,7 +12,7 @@ from ..functions.globs import to_regex
 from ..operators import chunking, dedup, diff, filters, plan, reconcile, resolve, state
 from ..sources import derived, listing, snapshot
 from ..sources.derived import N_NODES, ORACLE_CTES
-from ..storage import scratch
+from ..storage import scratch, stored
 from ..streaming import events as ev
 from ..streaming import watch
 
@@ -104,6 +104,11 @@ def chunk_inverted_index(spark, d):
     return diff.inverted_index(diff.chunk_rows(_inv(spark, d))).select("hash", "n_locations", F.col("first.node_idx").alias("first_node"))
 
 
+@query('SELECT hash, node_idx, path, min("offset") AS "offset", count(*) AS n_in_file FROM chunks GROUP BY hash, node_idx, path')
+def chunk_locations(spark, d):
+    return diff.locations(diff.chunk_rows(_inv(spark, d)))
+
+
 @query("SELECT DISTINCT node_idx, hash FROM chunks")
 def distinct_chunks_per_node(spark, d):
     return diff.node_chunks(_inv(spark, d))
@@ -137,7 +142,7 @@ def exclude_globs(spark, d):
     return _inv(spark, d).filter(~filters.is_excluded(F.col("path"), EXCLUDE)).select("node_idx", "path")
 
 
-_TRICKY = "CASE doc_id % 8 WHEN 0 THEN '.syncr/' || path WHEN 1 THEN path || '.SyNcR-TmP' WHEN 2 THEN path || '~' WHEN 3 THEN 'a/.DS_Store' WHEN 4 THEN path || '.swp' WHEN 5 THEN 'lost+found' ELSE path END"
+_TRICKY = "CASE doc_id % 8 WHEN 0 THEN '.concordat/' || path WHEN 1 THEN path || '.concordat-tmp' WHEN 2 THEN path || '~' WHEN 3 THEN 'a/.DS_Store' WHEN 4 THEN path || '.swp' WHEN 5 THEN 'lost+found' ELSE path END"
 
 
 @query(f"SELECT path, {_ALWAYS} AS excluded FROM (SELECT {_TRICKY} AS path FROM inv)")
@@ -320,7 +325,15 @@ def version_letters(spark, d):
     return diff.version_letters(_inv(spark, d))
 
 
-@query("SELECT path, (SELECT min(n.path) FROM (SELECT path FROM diff WHERE status = 'conflict' AND n_present < 3) n WHERE n.path > c.path AND split_part(n.path, '/', 1) || split_part(n.path, '/', 2) = split_part(c.path, '/', 1) || split_part(c.path, '/', 2)) AS next_path FROM diff c WHERE status = 'conflict'")
+_OPEN = "SELECT path, n_present = 3 AS resolved FROM diff WHERE status = 'conflict'"
+
+
+@query(f"SELECT count(*) AS n_conflicts, count(*) FILTER (resolved) AS n_resolved, count(*) FILTER (NOT resolved) AS n_unresolved, count(*) FILTER (NOT resolved) = 0 AS ready FROM ({_OPEN})")
+def resolution_counts(spark, d):
+    return resolve.resolution_counts(_diff(spark, d).filter("status = 'conflict'").select("path", (F.col("n_present") == 3).alias("resolved")))
+
+
+@query(f"SELECT path, min(CASE WHEN NOT resolved THEN path END) OVER (ORDER BY path ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_path FROM ({_OPEN})")
 def next_unresolved(spark, d):
     return resolve.next_unresolved(_diff(spark, d).filter("status = 'conflict'").select("path", (F.col("n_present") == 3).alias("resolved")))
 
@@ -397,8 +410,13 @@ def backup_paths(spark, d):
 
 @query("SELECT (SELECT count(*) FROM won) AS files_synced, (SELECT count(*) FROM diff WHERE status = 'conflict') AS conflicts_encountered, (SELECT count(*) FROM diff WHERE status = 'conflict') AS conflicts_resolved, (SELECT coalesce(sum(size), 0) FROM moves)::BIGINT AS bytes_transferred, (SELECT count(*) FROM moves) AS chunks_transferred, (SELECT count(*) FROM prev WHERE path NOT IN (SELECT path FROM inv)) AS files_deleted, (SELECT count(*) FROM transfers t JOIN winners w ON w.path = t.path WHERE w.tp = 'D') AS dirs_created")
 def sync_result(spark, d):
-    inv = _inv(spark, d)
-    return plan.sync_result(_decided(spark, d), _transfers(spark, d), _moves(spark, d), diff.deleted_paths(inv, derived.prev_state(spark, d)), inv)
+    # The inventory and the decision are derived once; the counters read them back.
+    inv, prev = stored(_inv(spark, d), "inventory"), derived.prev_state(spark, d)
+    x = diff.diff(inv, prev, N_NODES)
+    decided = stored(plan.with_resolution(x, resolve.resolve(x.filter("status = 'conflict'"), "prefer-newest")), "decided")
+    transfers = stored(plan.transfers(inv, decided, N_NODES), "transfers")
+    moves = stored(plan.chunk_moves(inv, plan.missing_chunks(inv, transfers)), "moves")
+    return plan.sync_result(decided, transfers, moves, diff.deleted_paths(inv, prev), inv)
 
 
 @query("SELECT path, mtime, size FROM winners UNION ALL SELECT path, mtime, size FROM (SELECT i.path, i.mtime, i.size, row_number() OVER (PARTITION BY i.path ORDER BY i.node_idx) AS k FROM inv i JOIN diff d ON d.path = i.path WHERE d.status = 'none') WHERE k = 1")
@@ -417,9 +435,9 @@ def actions(spark, d):
     return plan.actions(_transfers(spark, d), diff.deleted_paths(inv, derived.prev_state(spark, d)), inv, N_NODES).select("node_idx", "op", "path")
 
 
-@query("SELECT node_idx, 'delete' AS op, path || '.SyNcR-TmP' AS path FROM inv WHERE doc_id % 10 = 0")
+@query("SELECT node_idx, 'delete' AS op, path || '.concordat-tmp' AS path FROM inv WHERE doc_id % 10 = 0")
 def orphan_temporaries(spark, d):
-    rows = derived.contents(spark, d).withColumn("path", F.when(F.col("doc_id") % 10 == 0, F.concat("path", F.lit(".SyNcR-TmP"))).otherwise(F.col("path")))
+    rows = derived.contents(spark, d).withColumn("path", F.when(F.col("doc_id") % 10 == 0, F.concat("path", F.lit(".concordat-tmp"))).otherwise(F.col("path")))
     return plan.orphan_temporaries(rows)
 
 
@@ -626,7 +644,7 @@ def listing_round_trip(spark, d):
 @query("SELECT n_name AS name, regexp_full_match(n_name, '.*[AEIOU]') AS offered, CASE WHEN n_nationkey % 3 = 0 THEN [3, n_nationkey] WHEN n_nationkey % 3 = 1 THEN [n_nationkey] END AS versions FROM nation", tables=False)
 def version_messages(spark, d):
     k = F.col("n_nationkey")
-    message = F.when(k % 3 == 0, F.concat(F.lit("SyNcR:3, "), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("SyNcR:"), k.cast("string"))).otherwise(F.concat(F.lit("SyNcR:x"), k.cast("string")))
+    message = F.when(k % 3 == 0, F.concat(F.lit("INVENTORY:3, "), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("INVENTORY:"), k.cast("string"))).otherwise(F.concat(F.lit("INVENTORY:x"), k.cast("string")))
     return _table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_name").rlike("[AEIOU]$").alias("offered"), codec.parse_versions(message, codec.GREETING).alias("versions"))
 
 
@@ -737,6 +755,19 @@ def cdc_chunks(spark, d):
     return c.select("node_idx", "path", F.size("chunks").alias("n_chunks"), F.coalesce(F.aggregate("chunks", F.lit(0).cast("long"), lambda s, x: s + x["size"]), F.lit(0)).alias("bytes"))
 
 
+@query("SELECT node_idx, path, sha256(body) AS digest FROM content WHERE body <> ''")
+def cdc_verified_reassembly(spark, d):
+    """Chunk, damage a replica, read the first whole one, and put the files together again."""
+    files = derived.contents(spark, d).filter("tp = 'F'").select("node_idx", "path", F.col("body").cast("binary").alias("content"))
+    c = chunking.cdc_chunks(files, chunking.ChunkConfig(bits=8, most=4)).select("node_idx", "path", F.explode("chunks").alias("c"))
+    cut = F.expr("substring(content, cast(c.offset + 1 as int), cast(c.size as int))")
+    places = stored(files.join(c, ["node_idx", "path"]).select("node_idx", "path", F.col("c.hash").alias("hash"), F.col("c.offset").alias("offset"), cut.alias("data")), "cdc-payloads")
+    torn = places.select("hash", F.lit(-1).alias("position"), F.lit(-1).alias("node_idx"), F.concat("data", F.lit("?").cast("binary")).alias("data"))
+    replicas = places.select("hash", F.col("node_idx").alias("position"), "node_idx", "data").union(torn)
+    read = dedup.verified_read(places.select("hash"), replicas)
+    return dedup.reassemble(places, read).select("node_idx", "path", F.sha2("content", 256).alias("digest"))
+
+
 def _payloads(spark, d):
     rows = derived.contents(spark, d).select("node_idx", "path", F.posexplode(derived.slices(F.col("body"))).alias("pos", "data"))
     return rows.select("node_idx", "path", "pos", F.md5("data").alias("hash"), (F.col("pos") * derived.SLICE).cast("long").alias("offset"), F.length("data").cast("long").alias("size"), "data")
@@ -747,7 +778,7 @@ def verified_replica_read(spark, d):
     p = _payloads(spark, d)
     damaged = p.withColumn("data", F.when((F.col("node_idx") == 0) & (F.col("pos") % 2 == 1), F.concat("data", F.lit("?"))).otherwise(F.col("data")))
     replicas = damaged.select("hash", F.col("node_idx").alias("position"), "node_idx", "data")
-    return dedup.verified_read(p.select("hash"), replicas).select("hash", "node_idx")
+    return dedup.verified_read(p.select("hash"), replicas, F.md5).select("hash", "node_idx")
 
 
 @query("SELECT node_idx, path, md5(body) AS digest FROM content WHERE body <> ''")

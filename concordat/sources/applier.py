@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Suffix of staged files (a fixed value of the staging format).
-STAGED = ".SyNcR-TmP"
+#: Suffix of staged files.
+STAGED = ".concordat-tmp"
 RESULT = "op string, path string, ok boolean, error string"
 
 

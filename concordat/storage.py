@@ -1,4 +1,8 @@
-"""Shared storage: the folder that spark.checkpoint.dir names, else a local one."""
+"""Shared storage: the folder that spark.checkpoint.dir names, else (on a local master) a local one.
+
+What is written under ``scratch`` lives as long as the application: the file
+system is told to delete it when the driver ends.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +20,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="concordat-")
@@ -23,8 +29,26 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + _LOCAL[app]
 
 
+_FOLDERS: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path of the application's own folder, which goes with the application."""
+    folder = f"{shared_root(spark)}/concordat-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to shared storage and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -40,8 +64,3 @@ def delete(spark: SparkSession, path: str) -> bool:
 def rename(spark: SparkSession, source: str, target: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path
     return path(source).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(source), path(target))
-
-
-def fits_broadcast(df: DataFrame, limit: int = 8 << 20) -> bool:
-    """Whether the optimizer's own size estimate of a plan is within ``limit`` bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit

@@ -43,7 +43,7 @@ def test_glob_separators_and_errors():
             globs.to_regex(bad)
 
 
-@pytest.mark.parametrize(("path", "excluded"), [(".syncr/x", True), ("a/b.SyNcR-TmP", True), (".Trash-1/x", True), ("lost+found/x", True), ("d/.DS_Store", True), (".DS_Store", True), ("a~", True), ("x/.nfs1", True), ("a.swp", True), ("a.txt", False), ("syncr/x", False)])
+@pytest.mark.parametrize(("path", "excluded"), [(".concordat/x", True), ("a/b.concordat-tmp", True), (".Trash-1/x", True), ("lost+found/x", True), ("d/.DS_Store", True), (".DS_Store", True), ("a~", True), ("x/.nfs1", True), ("a.swp", True), ("a.txt", False), ("syncr/x", False)])
 def test_always_excluded(spark, path, excluded):
     assert one(spark, filters.is_excluded(F.lit(path))) is excluded
 
@@ -130,8 +130,8 @@ def test_colon_lines(spark, line, error, fields):
 
 
 def test_version_messages(spark):
-    assert one(spark, codec.parse_versions(F.lit("SyNcR:2, 3"), codec.GREETING)) == [2, 3]
-    assert one(spark, codec.parse_versions(F.lit("SyNcR:"), codec.GREETING)) is None
+    assert one(spark, codec.parse_versions(F.lit("INVENTORY:2, 3"), codec.GREETING)) == [2, 3]
+    assert one(spark, codec.parse_versions(F.lit("INVENTORY:"), codec.GREETING)) is None
     assert one(spark, codec.parse_versions(F.lit("CAPS:x"), codec.OFFER)) is None
     assert one(spark, codec.format_versions(F.array(F.lit(2), F.lit(3)), codec.OFFER)) == "CAPS:2,3"
     assert [tuple(one(spark, codec.parse_ready(F.lit(m)))) for m in ("READY", "READY:3", "READY:x", "NO")] == [(True, None), (True, 3), (False, None), (False, None)]

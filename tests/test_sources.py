@@ -90,7 +90,7 @@ def test_verified_replicas(spark):
     rows = [(h, 0, 0, "damaged"), (h, 1, 1, good), (h, 2, 2, good), ("none", 0, 0, "x")]
     replicas = spark.createDataFrame(rows, "hash string, position int, node_idx int, data string")
     wanted = spark.createDataFrame([(h,), ("none",)], "hash string")
-    read = dedup.verified_read(wanted, replicas)
+    read = dedup.verified_read(wanted, replicas, F.md5)
     assert [(r.hash, r.node_idx) for r in read.collect()] == [(h, 1)]
     assert [r.hash for r in dedup.unreadable(wanted, read).collect()] == ["none"]
 
@@ -171,7 +171,7 @@ def test_applier_is_safe_and_idempotent(spark, tmp_path):
     rows = [("delete", "absent", None, None, None), ("mkdir", "d", None, None, None), ("mkdir", "d", None, None, None), ("delete", "../x", None, None, None), ("symlink", "s", "d", None, None)]
     got = applier.apply(spark.createDataFrame(rows, kind), str(tmp_path)).collect()
     assert {(r.path, r.ok) for r in got} == {("absent", True), ("d", True), ("../x", False), ("s", True)}
-    build(tmp_path, {"left.SyNcR-TmP": b""})
+    build(tmp_path, {"left.concordat-tmp": b""})
     assert applier.clean(str(tmp_path)) == 1
 
 
@@ -245,3 +245,16 @@ def test_watch_diffs_what_comes(spark, tmp_path):
     watch.watch(spark, drop, None, 2, f"{out}2", available_now=True).awaitTermination()
     assert {(r.path, r.status) for r in watch.latest(spark, f"{out}2").collect()} == {("p", "conflict"), ("q", "winner")}
     assert watch.stop_all(spark) == 0
+
+
+def test_all_byte_values_survive_reassembly(spark):
+    from concordat.operators import chunking
+
+    content = bytes(range(256)) * 40 + b"\xff\xfe\x00"
+    files = spark.createDataFrame([(0, "a", content), (1, "b", content[::-1])], "node_idx int, path string, content binary")
+    c = chunking.cdc_chunks(files, chunking.ChunkConfig(bits=8, most=4)).select("node_idx", "path", F.explode("chunks").alias("c"))
+    places = files.join(c, ["node_idx", "path"]).select("node_idx", "path", "c.hash", "c.offset", F.expr("substring(content, cast(c.offset + 1 as int), cast(c.size as int))").alias("data"))
+    replicas = places.select("hash", F.col("node_idx").alias("position"), "node_idx", "data")
+    read = dedup.verified_read(places.select("hash"), replicas)
+    assert dedup.unreadable(places, read).count() == 0
+    assert {r.path: bytes(r.content) for r in dedup.reassemble(places, read).collect()} == {"a": content, "b": content[::-1]}
