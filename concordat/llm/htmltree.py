@@ -1,28 +1,32 @@
-"""Main text of web pages: markup semantics and a site style tree.
+"""Main text of web pages by a site style tree.
 
-Pages are parsed by a forgiving scanner into element trees.  What the markup
-itself declares (menus, headers, footers, sidebars, notices, adverts, forms,
-comments) goes, and a declared ``article`` or ``main`` element bounds the text.
-
-What the markup leaves open the host's style tree decides.  The trees of a
+Pages are parsed by a forgiving scanner into element trees, and the trees of a
 host are merged: two elements are one node of the style tree if all their
-ancestors' child sequences agree.  An inner node's importance is the entropy
-of its presentation styles over the m pages that have it, to base m; a leaf's
-is 1 less the mean entropy of its contents.  Nodes on fewer than
-``LEAST_PAGES`` pages have importance 1.  In each page, a branch's composite
-importance weighs its node against its children (GAMMA per child); branches
-under ``LEAST`` without an important child go.  Within a declared article only
-blocks that carry a class or id can go so: paragraphs, headings, quotes, lists
-and tables there are text, however often syndicated copies repeat them.
+ancestors' child sequences agree.  Over the host's stories, an inner node's
+importance is the entropy of its presentation styles, to the base of their number;
+a leaf's is 1 less the mean entropy of its contents.  A story is all pages of a
+host with one headline, so that copies of an article do not make it look like a
+template; a node of fewer than ``LEAST_STORIES`` has importance 1.  A branch's
+composite importance weighs its node against its children (GAMMA per child).
+
+What the markup says of an element is a prior: the chance that it is text.  A
+branch stays if its importance is at least 1 less the prior, or if a branch below
+it stays.  So an unmarked block of menus, adverts or notices goes if the host repeats
+it, within an article as well; an article's paragraph goes only if nearly all
+stories have the same one there; a block of which a class word doubtfully speaks of noise
+("share-price") stays only if the host varies it.  Where the prior is 0 the tree cannot
+keep a branch: in declared menus, footers, sidebars, forms and adverts, whose texts vary
+as much as articles do, and outside of a declared article or main part.
 
 The host tables are sums by (host, node): partial sums come first, and a host
-of a third of all pages is many nodes, each a few numbers wide.  The join that
-brings low importances back to pages has plain inputs, whose skew is split.
+of a third of all pages is many nodes, each a few numbers wide.  They are written
+before they are joined back, so that the skew of a host's common nodes can be split.
 
 Defined results for odd input: a null or empty page has the empty text; a page
 without url belongs to the nameless host; unclosed tags, comments and quotes
-end where the page does; repeated rows give equal rows; an empty table gives
-none; extra columns are ignored.
+end where the page does; a quoted value of any length and content is no text; an
+importance equal to the bound keeps its branch; pages of any length are read whole;
+repeated rows give equal rows; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,9 +43,11 @@ from pyspark.sql import functions as F
 from .shared import materialize, small_batches
 
 GAMMA = 0.9
-LEAST = 0.3
-#: Pages of a host that must have a node before it can be of low importance.
-LEAST_PAGES = 3
+#: Stories of a host that must have a node before it can be of low importance.
+LEAST_STORIES = 3
+#: The chance that an element is text: of an article's or main part's text elements, of any
+#: other, and of one of which a class word doubtfully speaks of noise.
+ARTICLE_TEXT, PLAIN, DOUBTFUL = 0.95, 0.7, 0.3
 
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,6 +63,9 @@ NOISE_WORDS = frozenset(
     "newsletter subscribe subscription signup sidebar widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer copyright comment comments disqus respond reply replies "
     "discussion share sharing social related recommended recommendations teaser teasers toolbar pagination pager login search searchbox form skiplink skip".split()
 )
+#: Words that say nothing beside a noise word: "site-footer" is a footer, "share-price" perhaps no share button.
+FILLER_WORDS = frozenset("a area bar block body bottom box btn button buttons center col column container content desktop fixed global group header heading holder inner item items left "
+    "line link links list main mobile module nav page panel post primary right row section secondary site slot sticky sub text title top unit wrap wrapper zone".split())
 #: Only outside of an article: within it a header holds the headline.
 OUTER_WORDS = frozenset("header masthead topbar".split())
 
@@ -70,17 +79,19 @@ _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Node:
-    __slots__ = ("children", "label", "noise", "parent", "parts", "tag")
+    __slots__ = ("children", "doubt", "label", "noise", "parent", "parts", "tag")
 
-    def __init__(self, tag: str, label: str, noise: int, parent: Node | None):
-        self.tag, self.label, self.noise, self.parent = tag, label, noise, parent
+    def __init__(self, tag: str, label: str, noise: int, doubt: bool, parent: Node | None):
+        self.tag, self.label, self.noise, self.doubt, self.parent = tag, label, noise, doubt, parent
         self.children: list[Node] = []
         self.parts: list[Node | str] = []  # children and texts in order
 
 
-def _declared(tag: str, attributes: str) -> tuple[str, int]:
-    """(label of an element, 0 for text, 1 for noise, 2 for noise outside articles, 3 for the main part)."""
+def _declared(tag: str, attributes: str) -> tuple[str, int, bool]:
+    """(label of an element, 0 for text, 1 for noise, 2 for noise outside articles, 3 for the main part,
+    whether a class word casts doubt)."""
     noise = 1 if tag in NOISE_TAGS else 2 if tag == "header" else 3 if tag in ("article", "main") else 0
+    doubt = False
     label = tag
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
@@ -89,11 +100,13 @@ def _declared(tag: str, attributes: str) -> tuple[str, int]:
                 label += f" {name}={value}"
                 if tag in ("html", "body"):
                     continue
-                words = {w.lower() for w in _WORDS.findall(value)}
-                if words & NOISE_WORDS:
-                    noise = 1
-                elif noise == 0 and words & OUTER_WORDS:
-                    noise = 2
+                for name_ in value.split():
+                    words = {w.lower() for w in _WORDS.findall(name_)}
+                    if words & NOISE_WORDS and words <= NOISE_WORDS | FILLER_WORDS | OUTER_WORDS:
+                        noise = 1
+                    elif noise == 0 and words & OUTER_WORDS and words <= OUTER_WORDS | FILLER_WORDS:
+                        noise = 2
+                    doubt |= bool(words & (NOISE_WORDS | OUTER_WORDS))
             elif name == "role" and value:
                 role = value.lower().strip()
                 if role in NOISE_ROLES:
@@ -102,14 +115,14 @@ def _declared(tag: str, attributes: str) -> tuple[str, int]:
                     noise = 3
             elif name == "itemprop" and value.lower() == "articlebody" and noise != 1:
                 noise = 3
-    return label, noise
+    return label, noise, doubt
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
     """(root, elements in order) of a page."""
-    root = Node("", "", 0, None)
+    root = Node("", "", 0, False, None)
     here, nodes, at, n = root, [], 0, len(page)
-    known: dict[tuple[str, str], tuple[str, int]] = {}
+    known: dict[tuple[str, str], tuple[str, int, bool]] = {}
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -235,17 +248,41 @@ def main_text(page: str | None, low: dict[int, float] | None = None) -> str:
     if not page:
         return ""
     root, nodes = parse(page)
-    parts, out, gone = _main_parts(nodes), [], _low_branches(nodes, low or {})
+    parts, out = _main_parts(nodes), []
+    gone = _low_branches(nodes, low or {}, parts)
     for part in parts or [root]:
         _collect(part, not parts, gone, out)
         out.append(" ")
     return " ".join("".join(out).split())
 
 
-def _low_branches(nodes: list[Node], low: dict[int, float]) -> set[int]:
-    """Elements whose composite importance is under LEAST and that hold no important one."""
+#: Elements that hold an article's text.
+TEXT_TAGS = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption br hr hgroup header address details summary".split())
+
+
+def _within(nodes: list[Node], parts: list[Node]) -> set[int]:
+    """The elements of the main parts, themselves included."""
+    out = {id(x) for x in parts}
+    for node in nodes:  # parents come first
+        if id(node.parent) in out:
+            out.add(id(node))
+    return out
+
+
+def prior(node: Node, within: bool) -> float:
+    """The chance that an element is text, as far as its markup tells."""
+    if node.noise == 1:
+        return 0.0
+    if node.doubt:
+        return DOUBTFUL
+    return ARTICLE_TEXT if within and node.tag in TEXT_TAGS else PLAIN
+
+
+def _low_branches(nodes: list[Node], low: dict[int, float], parts: list[Node] = ()) -> set[int]:
+    """Elements whose composite importance is under 1 - prior and that hold none that stays."""
     if not low:
         return set()
+    within = _within(nodes, parts)
     composite: dict[int, float] = {}
     gone: set[int] = set()
     for i in range(len(nodes) - 1, -1, -1):  # children come after their parents
@@ -255,19 +292,26 @@ def _low_branches(nodes: list[Node], low: dict[int, float]) -> set[int]:
             weight = GAMMA ** len(below)
             c = (1 - weight) * c + weight * sum(composite[id(x)] for x in below) / len(below)
         composite[id(node)] = c
-        if c < LEAST and all(id(x) in gone for x in below):
+        if c < 1 - prior(node, id(node) in within) and all(id(x) in gone for x in below):
             gone.add(id(node))
     return gone
 
 
-#: Elements of a declared article that are text whatever their class.
-TEXT_TAGS = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption br hr hgroup header address details summary".split())
+def story_of(nodes: list[Node]) -> str:
+    """The page's headline: the first h1, else h2, else title, with text; else nothing."""
+    for tag in ("h1", "h2", "title"):
+        for node in nodes:
+            if node.tag == tag:
+                out: list[str] = []
+                _collect(node, False, set(), out)
+                if text := " ".join("".join(out).split()):
+                    return text
+    return ""
 
 
-def style_nodes(page: str | None) -> list[tuple[int, int, int, int]]:
-    """(element number, node key, feature, 1 for content) of the elements that
-    the style tree may judge: none below declared noise, and in declared main
-    parts only blocks with a class or id.
+def style_nodes(page: str | None) -> list[tuple[int, str, str, int, str]]:
+    """(element number, path, feature, 1 for content, story) of the elements that are
+    not below declared noise.
 
     The feature is the sequence of child labels, or for an element with text of
     its own that text and its label.
@@ -275,28 +319,24 @@ def style_nodes(page: str | None) -> list[tuple[int, int, int, int]]:
     if not page:
         return []
     root, nodes = parse(page)
-    main = {id(x) for x in _main_parts(nodes)}
+    story = story_of(nodes) or page
     style = lambda node: "|".join(x.label for x in node.children)
-    # key, style, whether within declared noise, whether within a main part
-    known = {id(root): ("", style(root), False, False)}
+    known = {id(root): ("", style(root), False)}  # path, style, whether within declared noise
     seen: dict[int, int] = {}
     out = []
     for i, node in enumerate(nodes):
         up = id(node.parent)
-        key, styles, hidden, within = known[up]
+        key, styles, hidden = known[up]
         place = seen[up] = seen.get(up, -1) + 1
-        if hidden:
-            known[id(node)] = ("", "", True, False)
+        if hidden or node.noise == 1:
+            known[id(node)] = ("", "", True)
             continue
         key = xxhash.xxh3_128_hexdigest(f"{key}\0{styles}\0{place}")
         styles = style(node)
-        known[id(node)] = (key, styles, node.noise == 1, within or id(node) in main)
-        if within and (" " not in node.label or node.tag in TEXT_TAGS):
-            continue
-        own = "" if node.noise == 1 else " ".join("".join(p for p in node.parts if isinstance(p, str)).split())
-        content = bool(own) or (not node.children and node.noise != 1)
-        feature = f"{node.label}\0{own}" if content else styles
-        out.append((i, xxhash.xxh3_64_intdigest(key) - (1 << 63), xxhash.xxh3_64_intdigest(feature) - (1 << 63), int(content)))
+        known[id(node)] = (key, styles, False)
+        own = " ".join("".join(p for p in node.parts if isinstance(p, str)).split())
+        content = bool(own) or not node.children
+        out.append((i, key, f"{node.label}\0{own}" if content else styles, int(content), story))
     return out
 
 
@@ -305,31 +345,41 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _hash(x: str) -> int:
+    return xxhash.xxh3_64_intdigest(x) - (1 << 63)
+
+
 def _parsed(pages: DataFrame) -> DataFrame:
-    """page key and host with element number, node, feature, leaf."""
+    """page and id (of a page), number, node (of its host), feature, leaf, story."""
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         for batch in batches:
-            rows = []
-            for key, url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            at, rows = [], []
+            for i, (url, page) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)):
                 host = host_of(url)
-                rows += [(key, host, *x) for x in style_nodes(page)]
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page", "host", "number", "node", "feature", "leaf"])
+                own = [(number, _hash(f"{host}\0{key}"), _hash(feature), leaf, _hash(story) >> 32) for number, key, feature, leaf, story in style_nodes(page)]
+                at += [i] * len(own)
+                rows += own
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page", "id", "number", "node", "feature", "leaf", "story"])
 
-    return pages.select("_page", "url", "html").mapInArrow(run, "page long, host string, number int, node long, feature long, leaf int")
+    rows = pages.select("_page", F.col("page_id").cast("string"), "url", "html")
+    return rows.mapInArrow(run, "page long, id string, number int, node long, feature long, leaf int, story int")
 
 
 def importances(parsed: DataFrame) -> DataFrame:
-    """host, node, importance (under 1) of the merged trees.
+    """node, importance (under 1) of the merged trees.
 
-    With m pages and c of them alike in a feature, presentation entropy is the
-    mean of -log_m(c / m) over pages, and a content's entropy is log_m(c).
+    With m stories that have a node and c of them alike in a feature, presentation
+    entropy is the mean of -log_m(c / m) over them, and a content's entropy is log_m(c).
+    A story of several features counts once for each.
     """
-    alike = parsed.groupBy("host", "node", "leaf", "feature").agg(F.count(F.lit(1)).alias("c"))
-    sums = alike.groupBy("host", "node").agg(
+    once = parsed.groupBy("node", "leaf", "feature", "story").agg(F.lit(1).alias("_"))
+    alike = once.groupBy("node", "leaf", "feature").agg(F.count(F.lit(1)).alias("c"))
+    sums = alike.groupBy("node").agg(
         F.sum("c").alias("m"),
         F.sum(F.col("c") * F.log("c")).alias("c_log_c"),
         F.sum(F.log("c")).alias("log_c"),
@@ -339,20 +389,20 @@ def importances(parsed: DataFrame) -> DataFrame:
     m = F.log("m")
     inner = (m - F.col("c_log_c") / F.col("m")) / m
     leaf = 1 - F.col("log_c") / F.col("features") / m
-    out = sums.filter(F.col("m") >= LEAST_PAGES).select("host", "node", F.when(F.col("leaf") == 1, leaf).otherwise(inner).alias("importance"))
+    out = sums.filter(F.col("m") >= LEAST_STORIES).select("node", F.when(F.col("leaf") == 1, leaf).otherwise(inner).alias("importance"))
     return out.filter(F.col("importance") < 1)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
     keyed = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("_page"))
-    parsed = materialize(_parsed(keyed).distinct(), "html-nodes")
-    low = parsed.join(importances(parsed), ["host", "node"])
-    # A page's own elements; only a page with content of low importance can lose a branch.
-    low = low.groupBy("page").agg(F.collect_list(F.struct("number", "importance")).alias("low"), F.min(F.when(F.col("leaf") == 1, F.col("importance"))).alias("least")).filter(F.col("least") < LEAST).drop("least")
-    low = materialize(low, "html-low")
-    rows = keyed.join(low, F.col("_page") == F.col("page"), "left").select("page_id", "url", "html", F.col("low.number").alias("number"), F.col("low.importance").alias("importance"))
-    return text_of(rows)
+    parsed = materialize(_parsed(keyed), "html-nodes")
+    found = materialize(importances(parsed), "html-importances")
+    # A page's own elements, as often as its row comes; only one with content of low importance can lose a branch.
+    low = parsed.join(found, "node").groupBy("page", "id").agg(F.collect_set(F.struct("number", "importance")).alias("low"), F.min(F.when(F.col("leaf") == 1, F.col("importance"))).alias("least"))
+    low = materialize(low.filter(F.col("least") < 1 - DOUBTFUL).select("page", "id", "low"), "html-low")
+    rows = keyed.join(low, (F.col("_page") == F.col("page")) & F.col("page_id").cast("string").eqNullSafe(F.col("id")), "left")
+    return text_of(rows.select("page_id", "url", "html", F.col("low.number").alias("number"), F.col("low.importance").alias("importance")))
 
 
 def text_of(rows: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -70,7 +71,7 @@ def test_style_tree_removes_the_frame_and_keeps_the_texts(spark):
     words = [f"w{i}" for i in range(300)]
     rows = [(i, f"http://host.example/{i}", site(rng, i, words)) for i in range(12)]
     rows += [(100, "http://lone.example/1", site(rng, 0, words)), (101, None, None), (102, "not a url", ""), (3, rows[3][1], rows[3][2])]
-    rows += [(200 + i, f"http://copies.example/{i}", "<article><p>The same syndicated text</p><div class=x1>Share it</div><p>again</p></article>" if i else "<article><p>The same syndicated text</p></article>") for i in range(9)]
+    rows += [(200 + i, f"http://copies.example/{i}", f"<article><h1>The same syndicated text</h1><div class=x1>Share it</div><p>again{'.' * (i % 2)}</p></article>") for i in range(9)]
     df = spark.createDataFrame([(*r, "c", 1) for r in rows], "page_id long, url string, html string, text string, number int")
     got = sorted((tuple(r) for r in htmltree.extract(df).collect()), key=repr)
     assert len(got) == len(rows)
@@ -80,7 +81,7 @@ def test_style_tree_removes_the_frame_and_keeps_the_texts(spark):
         assert by_id[i] == " ".join(paragraphs)
     assert by_id[100].startswith("HomeNews") and by_id[100].endswith("All rights of this house")  # one page shows no frame
     assert by_id[101] == by_id[102] == ""
-    assert by_id[200] == "The same syndicated text" and by_id[201] == "The same syndicated text again"
+    assert by_id[200] == "The same syndicated text Share it again"  # one story shows no frame
     assert all(r[3] == len(r[2]) for r in got)
 
 
@@ -90,7 +91,109 @@ def test_empty_table(spark):
 
 
 def test_importance_formulas(spark):
-    rows = [(i, "h", 0, 7, 1, 1) for i in range(4)] + [(i, "h", 1, 8, i, 1) for i in range(4)] + [(i, "h", 2, 9, i % 2, 0) for i in range(4)] + [(9, "h", 3, 10, 1, 1)]
-    df = spark.createDataFrame(rows, "page long, host string, number int, node long, feature long, leaf int")
+    rows = [(7, 1, 1, i) for i in range(4)] + [(8, i, 1, i) for i in range(4)] + [(9, i % 2, 0, i) for i in range(4)] + [(10, 1, 1, 1)] + [(11, 1, 1, 5)] * 4
+    df = spark.createDataFrame(rows, "node long, feature long, leaf int, story int")
     got = {r.node: round(r.importance, 6) for r in htmltree.importances(df).collect()}
     assert got == {7: 0.0, 9: 0.5}
+
+
+def plain_tree(rows):
+    """The whole method, written plainly: texts by row, and how many branches the tree removes."""
+    stories = {}
+    parsed = {}
+    for k, (_, url, page) in enumerate(rows):
+        root, nodes = htmltree.parse(page or "")
+        parsed[k] = root, nodes
+        heads = [t for tag in ("h1", "h2", "title") for n in nodes if n.tag == tag and (t := htmltree.main_text(page) and "".join(x for x in n.parts if isinstance(x, str)).strip())]
+        story = heads[0] if heads else page
+        host = (url or "").split("/")[2] if "//" in (url or "") else ""
+
+        def walk(node, path, host=host, story=story):
+            for place, child in enumerate(node.children):
+                if child.noise == 1:
+                    continue
+                own = (*path, tuple(x.label for x in node.children), place)
+                text = " ".join("".join(x for x in child.parts if isinstance(x, str)).split())
+                leaf = bool(text) or not child.children
+                feature = (child.label, text) if leaf else tuple(x.label for x in child.children)
+                stories.setdefault((host, own), {}).setdefault((leaf, feature), set()).add(story)
+                child.path = own
+                walk(child, own)
+
+        walk(root, ())
+
+    def importance(host, path):
+        features = stories[host, path]
+        counts = [len(x) for x in features.values()]
+        m = sum(counts)
+        if m < htmltree.LEAST_STORIES:
+            return 1.0
+        if any(leaf for leaf, _ in features):
+            return 1 - sum(math.log(c, m) for c in counts) / len(counts)
+        return sum(-c / m * math.log(c / m, m) for c in counts)
+
+    out, removed = [], 0
+    for k, (_, url, page) in enumerate(rows):
+        root, nodes = parsed[k]
+        host = (url or "").split("/")[2] if "//" in (url or "") else ""
+        main = htmltree._main_parts(nodes)
+        gone = set()
+
+        def composite(node, host=host, main=main, gone=gone):
+            inside, up = False, node
+            while up is not None:
+                inside, up = inside or any(up is x for x in main), up.parent
+            below = [c for c in node.children if c.noise != 1]
+            parts = [composite(c) for c in below]
+            c = importance(host, node.path)
+            if below:
+                w = htmltree.GAMMA ** len(below)
+                c = (1 - w) * c + w * sum(parts) / len(below)
+            if c < 1 - htmltree.prior(node, inside) - 1e-9 and all(id(x) in gone for x in below):
+                gone.add(id(node))
+            return c
+
+        for child in root.children:
+            if child.noise != 1:
+                composite(child)
+        text = []
+        for part in main or [root]:
+            htmltree._collect(part, not main, gone, text)
+            text.append(" ")
+        out.append(" ".join("".join(text).split()))
+        removed += len(gone)
+    return out, removed
+
+
+def test_whole_method_against_a_plain_tree(spark, monkeypatch):
+    plain = type("Plain", (htmltree.Node,), {})  # takes further attributes
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    rows, wanted = [], []
+    for i in range(60):
+        head, paragraphs = f"Story {i // 2 if i % 5 == 0 else i} {prose(3)}", [prose(15) for _ in range(2 + i % 2)]
+        frame = ["<div><a href=/>Home</a><a href=/n>News</a></div>", "<div>Edition of today</div>"]
+        inside = ["<div><a>Back</a><a>On</a></div>", "<p>Do subscribe to our letter</p>", "<div class='share-price'>" + prose(4) + "</div>"]
+        body = f"<h1>{head}</h1><p>{paragraphs[0]}</p>{inside[0]}" + "".join(f"<p>{p}</p>" for p in paragraphs[1:]) + inside[1] + (inside[2] if i % 3 == 0 else "")
+        page = f"<html><body>{frame[0]}<article>{body}</article>{frame[1]}</body></html>" if i % 2 else f"<html><body>{frame[0]}<div>{body}</div>{frame[1]}</body></html>"
+        rows.append((i, f"http://h{i % 2}.example/{i}", page))
+        wanted.append(" ".join([head, *paragraphs]))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltree.extract(df).collect()}
+    alone = {i: htmltree.main_text(page) for i, _, page in rows}
+    monkeypatch.setattr(htmltree, "Node", plain)
+    expected, removed = plain_tree(rows)
+    assert [got[i] for i in range(60)] == expected and removed > 60
+    assert sum(got[i] != alone[i] for i in range(60)) == 60  # the tree changes each of these pages
+    # Whole texts are kept; of the noise only what the tree cannot know stays.
+    for i in range(60):
+        assert all(part in got[i] for part in wanted[i].split(" Story "))
+        assert "Home" not in got[i] and "Edition" not in got[i] and "Back" not in got[i]
+
+
+def test_doubtful_words_do_not_decide_alone():
+    for name in ("share-price", "related-work", "form-of-address"):
+        assert htmltree.main_text(f"<article><p>a</p><div class={name}>kept</div></article>") == "a kept"
+    for name in ("share-bar", "site-footer", "comment-list", "ad", "cookie-notice", "mainNav"):
+        assert htmltree.main_text(f"<article><p>a</p><div class={name}>gone</div></article>") == "a"
