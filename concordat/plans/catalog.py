@@ -104,7 +104,7 @@ def chunk_inverted_index(spark, d):
     return diff.inverted_index(diff.chunk_rows(_inv(spark, d))).select("hash", "n_locations", F.col("first.node_idx").alias("first_node"))
 
 
-@query('SELECT hash, node_idx, path, min("offset") AS "offset", count(*) AS n_in_file FROM chunks GROUP BY hash, node_idx, path')
+@query('SELECT hash, node_idx, path, min(start) AS "offset", count(*) AS n_in_file FROM chunks GROUP BY hash, node_idx, path')
 def chunk_locations(spark, d):
     return diff.locations(diff.chunk_rows(_inv(spark, d)))
 
