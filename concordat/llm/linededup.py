@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .fingerprint import let
-from .shared import materialize
+from .shared import discard, materialize
 
 MOST_EDITS = 2
 SHARE = 10
@@ -290,29 +290,32 @@ def texts_of(lines: DataFrame) -> DataFrame:
     return materialize(texts, "lines-texts")
 
 
-def _with_lines(pairs: DataFrame, texts: DataFrame, *more: Column) -> DataFrame:
-    """a, b and the columns of both with endings a and b: line, n, w and more."""
+def _with_lines(pairs: DataFrame, texts: DataFrame, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """(a, b and the columns of both with endings a and b: line, n, w and more; the table of them)."""
     wanted = pairs.select(F.col("a").alias("t")).union(pairs.select(F.col("b").alias("t"))).distinct()
     found = materialize(texts.join(wanted, "t", "left_semi").select("t", "line", "n", "w", *more), "lines-wanted")
     side = lambda s: found.select(F.col("t").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in found.columns[1:]))
-    return pairs.join(side("a"), "a").join(side("b"), "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b"), found
 
 
 def links(texts: DataFrame) -> DataFrame:
     """a, b (a < b): the linked pairs of texts (of texts_of), each once; materialised."""
     # The JVM compiles no method over 8000 bytes; larger ones run outside the fused stage, in parts.
     limit = {"spark.sql.codegen.hugeMethodLimit": "8000"}
-    few = materialize(_segment_pairs(texts).distinct(), "lines-pairs", limit)
-    both = _with_lines(few, texts)
+    pairs = materialize(_segment_pairs(texts).distinct(), "lines-pairs", limit)
+    both, found = _with_lines(pairs, texts)
     shorter = F.col("n_a") <= F.col("n_b")
     both = both.select("a", "b", F.when(shorter, F.col("line_a")).otherwise(F.col("line_b")).alias("x"), F.when(shorter, F.col("line_b")).otherwise(F.col("line_a")).alias("y"), F.greatest("n_a", "n_b").alias("n"))
     most = F.least(F.lit(MOST_EDITS), F.floor(F.col("n") / SHARE).cast("int"))
     few = materialize(both.filter(_blocks_intact(F.col("x"), F.col("y")) & (bounded_edits(F.col("x"), F.col("y")) <= most)).select("a", "b"), "lines-links")
-    many = materialize(_run_pairs(texts).distinct(), "lines-pairs")
-    both = _with_lines(many, texts, _coded(hashed_words(F.col("line"))).alias("code"))
+    discard(pairs, found)
+    pairs = materialize(_run_pairs(texts).distinct(), "lines-pairs")
+    both, found = _with_lines(pairs, texts, _coded(hashed_words(F.col("line"))).alias("code"))
     most = F.floor(F.greatest("w_a", "w_b") / SHARE).cast("int")
     many = both.filter(words_within(F.col("line_a"), F.col("line_b"), F.col("code_a"), F.col("code_b"), most)).select("a", "b")
-    return materialize(few.union(many).distinct(), "lines-links")
+    out = materialize(few.union(many).distinct(), "lines-links")
+    discard(pairs, found, few)
+    return out
 
 
 def line_classes(documents: DataFrame) -> DataFrame:
@@ -323,6 +326,7 @@ def line_classes(documents: DataFrame) -> DataFrame:
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     linked = components(edges, "lines-components").join(degree, "node")
     linked = materialize(linked.join(texts.select(F.col("t").alias("node"), "h", "g"), "node").select("h", "g", "root", "n_links"), "lines-linked")
+    discard(texts, edges)
     lines = lines_of(documents).select("doc_id", "doc_hash", "line_no", "h", "g", F.col("n").cast("long").alias("n_chars"))
     lines = materialize(lines, "lines-hashes")
     texts = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))

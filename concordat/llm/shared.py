@@ -13,9 +13,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import scratch
+from ..storage import delete, scratch
 
-__all__ = ["materialize", "open_fs", "partitions", "publish", "scratch", "settings", "small_batches"]
+__all__ = ["discard", "materialize", "open_fs", "partitions", "publish", "scratch", "settings", "small_batches"]
 
 
 #: Deletes a finished query's shuffle files at once, rather than when the driver collects garbage.
@@ -45,7 +45,15 @@ def materialize(df: DataFrame, name: str, values: dict[str, str] | None = None)
     path = scratch(spark, name)
     with settings(spark, {CLEANUP: "true"} | (values or {})):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no later plan reads."""
+    for t in tables:
+        delete(t.sparkSession, t.stored_at)
 
 
 def small_batches(spark: SparkSession, records: int = 512) -> None:
