@@ -5,7 +5,15 @@ languages is nearly always confident, so other languages pass); line dedup remov
 lines of 25 characters and more that near-repeat earlier ones; MinHash keeps one document of each
 near-duplicate component; decontamination drops documents that share ten words
 in a row with the benchmark; packing cuts the rest into token windows.
-Each stage is written as Parquet and read again before the next.
+Each stage is written as Parquet and read again before the next.  The result has a
+row per piece with its token ids (little-endian unsigned 32-bit).
+
+Defined results for odd input: documents with null, empty or letterless text go in
+the first stage; a null doc_id is a document of its own kind, first in packing's
+order; rows that repeat a doc_id are judged together where a stage names documents
+(near copies, benchmark hits), else one by one; of ties the least doc_id stays;
+extra columns, whatever their names, pass through to packing; empty tables give no
+rows; an empty benchmark drops nothing; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -39,7 +47,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [
