@@ -371,7 +371,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
 
 
 def importances(parsed: DataFrame) -> DataFrame:
-    """node, importance (under 1) of the merged trees.
+    """node, importance of the merged trees; from 1 - DOUBTFUL, the highest bound, on it counts as 1.
 
     With m stories that have a node and c of them alike in a feature, presentation
     entropy is the mean of -log_m(c / m) over them, and a content's entropy is log_m(c).
@@ -390,7 +390,7 @@ def importances(parsed: DataFrame) -> DataFrame:
     inner = (m - F.col("c_log_c") / F.col("m")) / m
     leaf = 1 - F.col("log_c") / F.col("features") / m
     out = sums.filter(F.col("m") >= LEAST_STORIES).select("node", F.when(F.col("leaf") == 1, leaf).otherwise(inner).alias("importance"))
-    return out.filter(F.col("importance") < 1)
+    return out.filter(F.col("importance") < 1 - DOUBTFUL)
 
 
 def extract(pages: DataFrame) -> DataFrame:
