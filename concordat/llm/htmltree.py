@@ -4,7 +4,8 @@ Pages are parsed by a forgiving scanner into element trees, and the trees of a
 host are merged: two elements are one node of the style tree if all their
 ancestors' child sequences agree.  Over the host's stories, an inner node's
 importance is the entropy of its presentation styles, to the base of their number;
-a leaf's is 1 less the mean entropy of its contents.  A story is all pages of a
+a leaf's is 1 less the mean entropy of its contents; elements without text below, such as
+line breaks and images, take no part.  A story is all pages of a
 host with one headline, so that copies of an article do not make it look like a
 template; a node of fewer than ``LEAST_STORIES`` has importance 1.  A branch's
 composite importance weighs its node against its children (GAMMA per child).
@@ -278,16 +279,30 @@ def prior(node: Node, within: bool) -> float:
     return ARTICLE_TEXT if within and node.tag in TEXT_TAGS else PLAIN
 
 
+def _own_text(node: Node) -> str:
+    return " ".join("".join(p for p in node.parts if isinstance(p, str)).split())
+
+
+def _with_text(nodes: list[Node]) -> set[int]:
+    """The elements with text of their own or below, declared noise left out.  The others
+    (line breaks, images, spacers) say nothing of a branch and lose nothing with it."""
+    out: set[int] = set()
+    for node in reversed(nodes):  # children come after their parents
+        if node.noise != 1 and (any(id(x) in out for x in node.children) or _own_text(node)):
+            out.add(id(node))
+    return out
+
+
 def _low_branches(nodes: list[Node], low: dict[int, float], parts: list[Node] = ()) -> set[int]:
     """Elements whose composite importance is under 1 - prior and that hold none that stays."""
     if not low:
         return set()
-    within = _within(nodes, parts)
+    within, texted = _within(nodes, parts), _with_text(nodes)
     composite: dict[int, float] = {}
     gone: set[int] = set()
     for i in range(len(nodes) - 1, -1, -1):  # children come after their parents
         node = nodes[i]
-        c, below = low.get(i, 1.0), [x for x in node.children if x.noise != 1]
+        c, below = low.get(i, 1.0), [x for x in node.children if id(x) in texted]
         if below:
             weight = GAMMA ** len(below)
             c = (1 - weight) * c + weight * sum(composite[id(x)] for x in below) / len(below)
@@ -309,17 +324,28 @@ def story_of(nodes: list[Node]) -> str:
     return ""
 
 
-def style_nodes(page: str | None) -> list[tuple[int, str, str, int, str]]:
-    """(element number, path, feature, 1 for content, story) of the elements that are
-    not below declared noise.
+def style_nodes(page: str | None) -> list[tuple[int, str, str, int, str, float | None]]:
+    """(element number, path, feature, 1 for content, story, bound) of the elements with
+    text that are not below declared noise.
 
     The feature is the sequence of child labels, or for an element with text of
-    its own that text and its label.
+    its own that text and its label.  An element that ends a branch goes if its importance
+    is under the bound; other elements' bound is 0, as they go only with one that ends a
+    branch; elements outside of a page's main parts have none, as their texts are never
+    collected, whatever the tree says.
     """
     if not page:
         return []
     root, nodes = parse(page)
     story = story_of(nodes) or page
+    parts = _main_parts(nodes)
+    inside, texted = _within(nodes, parts), _with_text(nodes)
+
+    def bound(node: Node) -> float | None:
+        if parts and id(node) not in inside:
+            return None
+        return 0.0 if any(id(x) in texted for x in node.children) else 1 - prior(node, id(node) in inside)
+
     style = lambda node: "|".join(x.label for x in node.children)
     known = {id(root): ("", style(root), False)}  # path, style, whether within declared noise
     seen: dict[int, int] = {}
@@ -334,9 +360,11 @@ def style_nodes(page: str | None) -> list[tuple[int, str, str, int, str]]:
         key = xxhash.xxh3_128_hexdigest(f"{key}\0{styles}\0{place}")
         styles = style(node)
         known[id(node)] = (key, styles, False)
-        own = " ".join("".join(p for p in node.parts if isinstance(p, str)).split())
-        content = bool(own) or not node.children
-        out.append((i, key, f"{node.label}\0{own}" if content else styles, int(content), story))
+        if id(node) not in texted:
+            continue
+        own = _own_text(node)
+        content = bool(own)
+        out.append((i, key, f"{node.label}\0{own}" if content else styles, int(content), story, bound(node)))
     return out
 
 
@@ -350,24 +378,24 @@ def _hash(x: str) -> int:
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """page and id (of a page), number, node (of its host), feature, leaf, story."""
+    """page and id (of a page), number, node (of its host), feature, leaf, story, bound."""
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
         for batch in batches:
             at, rows = [], []
             for i, (url, page) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)):
                 host = host_of(url)
-                own = [(number, _hash(f"{host}\0{key}"), _hash(feature), leaf, _hash(story) >> 32) for number, key, feature, leaf, story in style_nodes(page)]
+                own = [(number, _hash(f"{host}\0{key}"), _hash(feature), leaf, _hash(story) >> 32, bound) for number, key, feature, leaf, story, bound in style_nodes(page)]
                 at += [i] * len(own)
                 rows += own
-            cols = list(zip(*rows, strict=True)) or [()] * 5
+            cols = list(zip(*rows, strict=True)) or [()] * 6
             at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page", "id", "number", "node", "feature", "leaf", "story"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page", "id", "number", "node", "feature", "leaf", "story", "bound"])
 
     rows = pages.select("_page", F.col("page_id").cast("string"), "url", "html")
-    return rows.mapInArrow(run, "page long, id string, number int, node long, feature long, leaf int, story int")
+    return rows.mapInArrow(run, "page long, id string, number int, node long, feature long, leaf int, story int, bound double")
 
 
 def importances(parsed: DataFrame) -> DataFrame:
@@ -398,9 +426,11 @@ def extract(pages: DataFrame) -> DataFrame:
     keyed = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("_page"))
     parsed = materialize(_parsed(keyed), "html-nodes")
     found = materialize(importances(parsed), "html-importances")
-    # A page's own elements, as often as its row comes; only one with content of low importance can lose a branch.
-    low = parsed.join(found, "node").groupBy("page", "id").agg(F.collect_set(F.struct("number", "importance")).alias("low"), F.min(F.when(F.col("leaf") == 1, F.col("importance"))).alias("least"))
-    low = materialize(low.filter(F.col("least") < 1 - DOUBTFUL).select("page", "id", "low"), "html-low")
+    # A page's own elements, as often as its row comes; a page none of whose branches ends
+    # under its bound loses nothing and needs none of them.
+    low = parsed.filter("bound is not null").join(found, "node").groupBy("page", "id")
+    low = low.agg(F.collect_set(F.struct("number", "importance")).alias("low"), F.max(F.col("importance") < F.col("bound")).alias("loses"))
+    low = materialize(low.filter("loses").select("page", "id", "low"), "html-low")
     rows = keyed.join(low, (F.col("_page") == F.col("page")) & F.col("page_id").cast("string").eqNullSafe(F.col("id")), "left")
     return text_of(rows.select("page_id", "url", "html", F.col("low.number").alias("number"), F.col("low.importance").alias("importance")))
 

@@ -197,3 +197,10 @@ def test_doubtful_words_do_not_decide_alone():
         assert htmltree.main_text(f"<article><p>a</p><div class={name}>kept</div></article>") == "a kept"
     for name in ("share-bar", "site-footer", "comment-list", "ad", "cookie-notice", "mainNav"):
         assert htmltree.main_text(f"<article><p>a</p><div class={name}>gone</div></article>") == "a"
+
+
+def test_line_breaks_and_images_do_not_take_text_with_them(spark):
+    rows = [(i, f"http://h.example/{i}", f"<body><div>Text {i} of its own<br><img src=a></div><div>Same here</div><div>More {i}<span></span><hr></div></body>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltree.extract(df).collect()}
+    assert got == {i: f"Text {i} of its own More {i}" for i in range(6)}
