@@ -1,6 +1,6 @@
 """The subpackage's registered queries, and the SQL of those that SQL can express."""
 
-from . import decontam, fingerprint, hardneg, htmltree, langid, linededup, neardup, packing, quality, warc, wavelet
+from . import decontam, fingerprint, hardneg, htmltree, langid, linededup, neardup, packing, pointintime, quality, warc, wavelet
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
     "op9_winnowing": decontam.op9_winnowing,
     "op10_site_style_tree": htmltree.op10_site_style_tree,
+    "op11_point_in_time": pointintime.op11_point_in_time,
     "op13_norm_bucketed_negatives": hardneg.op13_norm_bucketed_negatives,
 }
 
@@ -20,5 +21,6 @@ ORACLE_SQL = {
     "op1_warc_revisits": warc.ORACLE_SQL,
     "op8_minhash_near_dedup": neardup.ORACLE_SQL,
     "op9_winnowing": decontam.ORACLE_SQL,
+    "op11_point_in_time": pointintime.ORACLE_SQL,
     "op13_norm_bucketed_negatives": hardneg.ORACLE_SQL,
 }
