@@ -1,6 +1,6 @@
 """The subpackage's registered queries, and the SQL of those that SQL can express."""
 
-from . import decontam, fingerprint, hardneg, htmltree, langid, linededup, neardup, packing, pointintime, quality, warc, wavelet
+from . import decontam, fingerprint, hardneg, htmltree, katz, langid, linededup, neardup, packing, pointintime, quality, warc, wavelet
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_winnowing": decontam.op9_winnowing,
     "op10_site_style_tree": htmltree.op10_site_style_tree,
     "op11_point_in_time": pointintime.op11_point_in_time,
+    "op12_katz_backoff": katz.op12_katz_backoff,
     "op13_norm_bucketed_negatives": hardneg.op13_norm_bucketed_negatives,
 }
 
