@@ -10,6 +10,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +66,16 @@ def delete(spark: SparkSession, path: str) -> bool:
 def rename(spark: SparkSession, source: str, target: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path
     return path(source).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(source), path(target))
+
+
+@contextmanager
+def changed(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings changed for a while."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

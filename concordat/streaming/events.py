@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..storage import scratch
+from ..storage import changed, exists, scratch
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, per_trigger: int = 100) -> DataFrame:
@@ -16,16 +17,35 @@ def read_stream(spark: SparkSession, folder: str, table: str, per_trigger: int =
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
-def run_available(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a stream over what is there; its last result as a table in shared storage."""
-    spark = stream.sparkSession
-    out, marks = scratch(spark, name), scratch(spark, f"{name}-checkpoint")
+#: The state store that arbitrary state needs.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def run_available(stream: DataFrame, mode: str, name: str, keys: tuple[str, ...] = (), order: tuple[str, ...] = (), folder: str | None = None, settings: dict[str, str] | None = None) -> DataFrame:
+    """Run a stream over what is there; its result as a table in shared storage.
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(out)
+    A batch writes the folder of its own id, so one that is run again replaces what it wrote.
+    Update mode: the last row of each key, by batch and then ``order``.  ``folder`` keeps
+    rows and checkpoint for a later call, which goes on where this one ended.
+    """
+    spark = stream.sparkSession
+    folder = folder or scratch(spark, name)
+    out = f"{folder}/rows"
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else batch_id}")
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write)
+    with changed(spark, settings or {}):
+        query = writer.start()
+    query.awaitTermination()
+    if not exists(spark, out):
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    if not keys:
+        return rows.drop("batch")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), F.struct("batch", *order)).alias("r"))
+    return last.select("r.*")
 
 
 def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
