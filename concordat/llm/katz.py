@@ -36,11 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize, partitions
+from .shared import discard, materialize, partitions, scratch, settings
 from .texthash import NOT_SPACE, window_hash, words
 
 #: Tokens from which a block is full.
 BLOCK = 1 << 19
+#: Histories whose sums a task holds before it sends them.
+HELD = 1 << 21
 #: Counts up to which Turing's estimate is used, and counts of counts that are kept.
 TURING, KEPT = 5, 10
 #: Tokens that no word equals: hashes of no text, but for chance.
@@ -259,39 +261,55 @@ class Answered:
         return np.flatnonzero(self.block.held & (self.counts[n - 1] == 0) & (self.base[n - 1] > 0))
 
 
+def added(parts: list[tuple[np.ndarray, tuple[np.ndarray, ...]]]) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """The distinct keys, sorted, and the sums of their values."""
+    if not parts:
+        return np.zeros(0, np.uint64), (np.zeros(0), np.zeros(0))
+    keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, tuple(np.bincount(inverse, np.concatenate(v), len(keys)) for v in zip(*(p[1] for p in parts), strict=True))
+
+
 def weights(answered: DataFrame, order: int, numbers: tuple, parts: int) -> DataFrame:
     """n, bucket, block, weights: log10 alpha of the histories that a block asks for."""
 
     def ask(rows: Iterator[dict]) -> Iterator[dict]:
+        sums: dict[int, list] = {n: [] for n in range(2, order + 1)}
+
+        def send(n: int, block: int) -> Iterator[dict]:
+            keys, (used, lower) = added(sums[n])
+            ends = cuts(keys, parts)
+            for i in np.flatnonzero(np.diff(ends)).tolist():
+                some = slice(ends[i], ends[i + 1])
+                yield {"n": n, "bucket": i, "block": block, "keys": pack_keys(keys[some]), "used": used[some].tobytes(), "lower": lower[some].tobytes()}
+            sums[n] = []
+
+        last = 0
         for r in rows:
             a = Answered(r, order, numbers)
+            last = a.block.id
             for n in range(2, order + 1):
                 h = a.block.histories(n)
                 give = np.flatnonzero(~a.block.held & a.block.before(a.also_held[n - 2], True))
-                keys, inverse = np.unique(h[give], return_inverse=True)
-                used = np.bincount(inverse, a.d[n - 1](a.counts[n - 1][give]) / a.base[n - 1][give], len(keys))
-                lower = np.bincount(inverse, a.seen(n - 1, give) / a.counts[n - 1][give], len(keys))
+                sums[n] = [added([*sums[n], (h[give], (a.d[n - 1](a.counts[n - 1][give]) / a.base[n - 1][give], a.seen(n - 1, give) / a.counts[n - 1][give]))])]
+                if len(sums[n][0][0]) > HELD:
+                    yield from send(n, last)
                 asked = np.unique(h[a.asks(n)])
-                ends, wanted = cuts(keys, parts), cuts(asked, parts)
-                for i in range(parts):
-                    some = slice(ends[i], ends[i + 1])
-                    if ends[i] < ends[i + 1] or wanted[i] < wanted[i + 1]:
-                        yield {"n": n, "bucket": i, "block": a.block.id, "keys": pack_keys(keys[some]), "used": planes(used[some]), "lower": planes(lower[some]), "asked": pack_keys(asked[wanted[i] : wanted[i + 1]])}
+                ends = cuts(asked, parts)
+                for i in np.flatnonzero(np.diff(ends)).tolist():
+                    yield {"n": n, "bucket": i, "block": last, "asked": pack_keys(asked[ends[i] : ends[i + 1]])}
+        for n in sums:
+            if sums[n]:
+                yield from send(n, last)
 
     def answer(rows: Iterator[dict]) -> Iterator[dict]:
         sent = sorted(rows, key=lambda r: r["block"])
         for n in range(2, order + 1):
-            own = [r for r in sent if r["n"] == n]
-            if not own:
-                continue
-            keys, inverse = np.unique(np.concatenate([unpack_keys(r["keys"]) for r in own]), return_inverse=True)
-            used, lower = (np.bincount(inverse, np.concatenate([unplanes(r[c], "<f8") for r in own]), len(keys)) for c in ("used", "lower"))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                alpha = np.log10((1 - used) / (1 - lower))
-            for r in own:
-                asked = unpack_keys(r["asked"])
-                if len(asked):
-                    yield {"n": n, "bucket": r["bucket"], "block": r["block"], "weights": planes(alpha[np.searchsorted(keys, asked)])}
+            given = [r for r in sent if r["n"] == n and r["keys"]]
+            keys, (used, lower) = added([(unpack_keys(r["keys"]), tuple(np.frombuffer(r[c], "<f8") for c in ("used", "lower"))) for r in given])
+            alpha = np.log10((1 - used) / (1 - lower))
+            for r in sent:
+                if r["n"] == n and r["asked"]:
+                    yield {"n": n, "bucket": r["bucket"], "block": r["block"], "weights": alpha[np.searchsorted(keys, unpack_keys(r["asked"]))].tobytes()}
 
     sent = mapped(answered, ask, "n int, bucket int, block long, keys binary, used binary, lower binary, asked binary").repartitionById(parts, F.col("bucket"))
     return mapped(sent, answer, "n int, bucket int, block long, weights binary")
@@ -316,7 +334,7 @@ def scored(answered: DataFrame, order: int, numbers: tuple, kind) -> DataFrame:
                 for n in range(2, order + 1):
                     asks = a.asks(n)
                     if len(asks):
-                        alpha = np.concatenate([unplanes(w["weights"], "<f8") for w in given if w["n"] == n])
+                        alpha = np.concatenate([np.frombuffer(w["weights"], "<f8") for w in given if w["n"] == n])
                         p[asks] += alpha[np.unique(block.histories(n)[asks], return_inverse=True)[1]]
                     seen = np.flatnonzero(a.counts[n - 1])
                     p[seen] = np.log10(a.seen(n, seen))
@@ -327,11 +345,22 @@ def scored(answered: DataFrame, order: int, numbers: tuple, kind) -> DataFrame:
     return answered.mapInArrow(run, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df, written once in buckets of a key: joins by it do not send these rows again."""
+    spark = df.sparkSession
+    path, table = scratch(spark, name), name.replace("-", "_")
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "512"}):
+        df.write.bucketBy(partitions(spark), key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    out = spark.table(table)
+    out.stored_at, out.bucketed_as = path, table
+    return out
+
+
 def score(documents: DataFrame, held: Column, order: int = 3) -> DataFrame:
     """Every document's log10 probability under the model of those that are not held out."""
     spark, name = documents.sparkSession, "katz-" + uuid.uuid4().hex[:6]
     parts = partitions(spark)
-    tokens = materialize(token_blocks(documents, held), name + "-tokens", FEW | {"spark.sql.execution.arrow.maxRecordsPerBatch": "512"})
+    tokens = bucketed(token_blocks(documents, held), "block", name)
     train_docs = tokens.agg(F.sum("train_docs")).first()[0] or 0
     levels = [materialize(counted(tokens, n, parts), f"{name}-{n}", FEW) for n in range(1, order + 1)]
     model = Model([t.filter("kind = 1") for t in levels], train_docs)
@@ -343,7 +372,8 @@ def score(documents: DataFrame, held: Column, order: int = 3) -> DataFrame:
     found = materialize(weights(answered, order, model.numbers(), parts), name + "-weights", FEW)
     by_block = found.groupBy("block").agg(F.collect_list(F.struct("n", "bucket", "weights")).alias("weights"))
     out = materialize(scored(answered.join(by_block, "block", "left"), order, model.numbers(), documents.schema["doc_id"].dataType), name + "-scores", FEW)
-    discard(tokens, *levels, found)
+    spark.sql(f"DROP TABLE {tokens.bucketed_as}")
+    discard(tokens, found)
     return out.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
 
 
