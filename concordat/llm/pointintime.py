@@ -196,6 +196,7 @@ def point_in_time(probes: DataFrame, clicks: DataFrame, sales: DataFrame, lines:
     points[0][1].update({f"n_items_{d}": F.col(f"begins_{d}").cast("long") for d in days})
     points += [(F.col(f"before_{d}"), {f"n_items_{d}": F.lit(-1)}, F.col(f"begins_{d}") & F.col(f"before_{d}").isNotNull()) for d in days]
     changes = changes_of(rows, points, names).unionByName(changes_of(last, [(F.col(f"end_{d}"), {f"n_items_{d}": F.lit(-1)}, F.col(f"end_{d}").isNotNull()) for d in days], names))
+    changes = changes.groupBy("client", "t").agg(*(F.sum(n).alias(n) for n in names))  # the lines of one large sale all leave at once
     line_history = History(changes, bought.groupBy("client").agg((5 * F.count("*")).alias("n")), probes, names, None, "pit-line")
 
     found = line_history.at(sale_history.at(click_history.at(probes)))
