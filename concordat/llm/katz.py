@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from .texthash import NOT_SPACE, window_hash, words
 
 #: Tokens from which a block is full.
 BLOCK = 1 << 19
-#: Histories whose sums a task holds before it sends them.
+#: Tokens whose shares a task adds up before it sends them.
 HELD = 1 << 21
 #: Counts up to which Turing's estimate is used, and counts of counts that are kept.
 TURING, KEPT = 5, 10
@@ -269,49 +270,43 @@ def added(parts: list[tuple[np.ndarray, tuple[np.ndarray, ...]]]) -> tuple[np.nd
     return keys, tuple(np.bincount(inverse, np.concatenate(v), len(keys)) for v in zip(*(p[1] for p in parts), strict=True))
 
 
-def weights(answered: DataFrame, order: int, numbers: tuple, parts: int) -> DataFrame:
-    """n, bucket, block, weights: log10 alpha of the histories that a block asks for."""
+def weights(answered: DataFrame, n: int, numbers: tuple, parts: int) -> DataFrame:
+    """n, bucket, block, weights: log10 alpha of the histories of order n that a block asks for."""
 
     def ask(rows: Iterator[dict]) -> Iterator[dict]:
-        sums: dict[int, list] = {n: [] for n in range(2, order + 1)}
+        held: list[tuple] = []
 
-        def send(n: int, block: int) -> Iterator[dict]:
-            keys, (used, lower) = added(sums[n])
+        def send(block: int) -> Iterator[dict]:
+            keys, (used, lower) = added(held)
             ends = cuts(keys, parts)
             for i in np.flatnonzero(np.diff(ends)).tolist():
                 some = slice(ends[i], ends[i + 1])
-                yield {"n": n, "bucket": i, "block": block, "keys": pack_keys(keys[some]), "used": used[some].tobytes(), "lower": lower[some].tobytes()}
-            sums[n] = []
+                yield {"bucket": i, "block": block, "keys": pack_keys(keys[some]), "used": used[some].tobytes(), "lower": lower[some].tobytes()}
+            held.clear()
 
         last = 0
         for r in rows:
-            a = Answered(r, order, numbers)
-            last = a.block.id
-            for n in range(2, order + 1):
-                h = a.block.histories(n)
-                give = np.flatnonzero(~a.block.held & a.block.before(a.also_held[n - 2], True))
-                sums[n] = [added([*sums[n], (h[give], (a.d[n - 1](a.counts[n - 1][give]) / a.base[n - 1][give], a.seen(n - 1, give) / a.counts[n - 1][give]))])]
-                if len(sums[n][0][0]) > HELD:
-                    yield from send(n, last)
-                asked = np.unique(h[a.asks(n)])
-                ends = cuts(asked, parts)
-                for i in np.flatnonzero(np.diff(ends)).tolist():
-                    yield {"n": n, "bucket": i, "block": last, "asked": pack_keys(asked[ends[i] : ends[i + 1]])}
-        for n in sums:
-            if sums[n]:
-                yield from send(n, last)
+            a = Answered(r, n, numbers)
+            last, h = a.block.id, a.block.histories(n)
+            give = np.flatnonzero(~a.block.held & a.block.before(a.also_held[n - 2], True))
+            held.append((h[give], (a.d[n - 1](a.counts[n - 1][give]) / a.base[n - 1][give], a.seen(n - 1, give) / a.counts[n - 1][give])))
+            if sum(len(x[0]) for x in held) > HELD:
+                yield from send(last)
+            asked = np.unique(h[a.asks(n)])
+            ends = cuts(asked, parts)
+            for i in np.flatnonzero(np.diff(ends)).tolist():
+                yield {"bucket": i, "block": last, "asked": pack_keys(asked[ends[i] : ends[i + 1]])}
+        yield from send(last)
 
     def answer(rows: Iterator[dict]) -> Iterator[dict]:
         sent = sorted(rows, key=lambda r: r["block"])
-        for n in range(2, order + 1):
-            given = [r for r in sent if r["n"] == n and r["keys"]]
-            keys, (used, lower) = added([(unpack_keys(r["keys"]), tuple(np.frombuffer(r[c], "<f8") for c in ("used", "lower"))) for r in given])
-            alpha = np.log10((1 - used) / (1 - lower))
-            for r in sent:
-                if r["n"] == n and r["asked"]:
-                    yield {"n": n, "bucket": r["bucket"], "block": r["block"], "weights": alpha[np.searchsorted(keys, unpack_keys(r["asked"]))].tobytes()}
-
-    sent = mapped(answered, ask, "n int, bucket int, block long, keys binary, used binary, lower binary, asked binary").repartitionById(parts, F.col("bucket"))
+        keys, (used, lower) = added([(unpack_keys(r["keys"]), tuple(np.frombuffer(r[c], "<f8") for c in ("used", "lower"))) for r in sent if r["keys"]])
+        alpha = np.log10((1 - used) / (1 - lower))
+        for r in sent:
+            if r["asked"]:
+                yield {"n": n, "bucket": r["bucket"], "block": r["block"], "weights": alpha[np.searchsorted(keys, unpack_keys(r["asked"]))].tobytes()}
+
+    sent = mapped(answered, ask, "bucket int, block long, keys binary, used binary, lower binary, asked binary").repartitionById(parts, F.col("bucket"))
     return mapped(sent, answer, "n int, bucket int, block long, weights binary")
 
 
@@ -364,16 +359,21 @@ def score(documents: DataFrame, held: Column, order: int = 3) -> DataFrame:
     train_docs = tokens.agg(F.sum("train_docs")).first()[0] or 0
     levels = [materialize(counted(tokens, n, parts), f"{name}-{n}", FEW) for n in range(1, order + 1)]
     model = Model([t.filter("kind = 1") for t in levels], train_docs)
-    answers = levels[0].filter("kind = 0")
-    for t in levels[1:]:
-        answers = answers.unionAll(t.filter("kind = 0"))
-    by_block = answers.select("block", F.struct("n", "bucket", "counts").alias("a")).groupBy("block").agg(F.collect_list("a").alias("answers"))
-    answered = tokens.join(by_block, "block")  # a row a block on either side
-    found = materialize(weights(answered, order, model.numbers(), parts), name + "-weights", FEW)
-    by_block = found.groupBy("block").agg(F.collect_list(F.struct("n", "bucket", "weights")).alias("weights"))
-    out = materialize(scored(answered.join(by_block, "block", "left"), order, model.numbers(), documents.schema["doc_id"].dataType), name + "-scores", FEW)
+
+    def answered(n: int) -> DataFrame:
+        """The blocks with their answers up to order n: a row a block on either side."""
+        rows = reduce(DataFrame.unionAll, [t.filter("kind = 0") for t in levels[:n]])
+        by_block = rows.select("block", F.struct("n", "bucket", "counts").alias("a")).groupBy("block").agg(F.collect_list("a").alias("answers"))
+        return tokens.join(by_block, "block")
+
+    found = [materialize(weights(answered(n), n, model.numbers(), parts), f"{name}-weights-{n}", FEW) for n in range(2, order + 1)]
+    given = answered(order).withColumn("weights", F.lit(None).cast("array<struct<n:int,bucket:int,weights:binary>>"))
+    if found:
+        by_block = reduce(DataFrame.unionAll, found).groupBy("block").agg(F.collect_list(F.struct("n", "bucket", "weights")).alias("weights"))
+        given = given.drop("weights").join(by_block, "block", "left")
+    out = materialize(scored(given, order, model.numbers(), documents.schema["doc_id"].dataType), name + "-scores", FEW)
     spark.sql(f"DROP TABLE {tokens.bucketed_as}")
-    discard(tokens, found)
+    discard(tokens, *found)
     return out.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
 
 
