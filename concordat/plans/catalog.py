@@ -798,3 +798,6 @@ def snapshot_import(spark, d):
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The three-way reconciliation: what each path's fate is, and who wins."""
     return _decided(spark, d)
+
+
+from . import catalog_runs  # noqa: E402, F401  (registers its queries here)

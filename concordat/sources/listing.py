@@ -11,7 +11,7 @@ ROW = "typ string, pth string, mod long, uid long, gid long, ct long, mt long, s
 
 
 def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, seq, value; seq orders the lines of a file (splits are contiguous)."""
+    """file, seq, value; seq is the split's start and a number that grows within the split."""
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("seq"), "value")
     return rows
 
@@ -21,10 +21,20 @@ def parse_listing(lines: DataFrame) -> DataFrame:
 
     A chunk row belongs to the last entry row before it; rows of unknown type
     or without JSON are skipped; S and L are symlinks; missing numbers are 0.
+
+    With the seq of ``ordered_lines`` the last entry row is looked for within the split, and
+    rows before a split's first entry take it from the splits before: of these there is
+    one row each, so a file of any size is as many tasks as it has splits.
     """
     rows = lines.withColumn("r", F.from_json("value", ROW)).filter(F.col("r.typ").isin("F", "D", "S", "L", "C"))
-    w = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("entry", F.sum((F.col("r.typ") != "C").cast("int")).over(w)).filter("entry > 0")
+    split = "block" in getattr(lines.schema["seq"].dataType, "names", ())
+    rows = rows.withColumn("block", F.col("seq.block") if split else F.lit(0).cast("long"))
+    head = F.when(F.col("r.typ") != "C", F.col("seq"))
+    within = Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("file", "block").agg(F.max(head).alias("last")).select("file", "block", F.max("last").over(earlier).alias("carried"))
+    rows = rows.withColumn("entry", F.max(head).over(within)).join(carried, ["file", "block"], "left")
+    rows = rows.withColumn("entry", F.coalesce("entry", "carried")).filter("entry IS NOT NULL")
     zero = lambda c: F.coalesce(F.col(f"e.{c}"), F.lit(0).cast("long"))
     grouped = rows.groupBy("file", "entry").agg(
         F.max(F.when(F.col("r.typ") != "C", F.col("r"))).alias("e"),

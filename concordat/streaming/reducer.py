@@ -178,7 +178,7 @@ class NodeReducer(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("node", _NODE + ", phase string, last_ms long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timers: Any) -> Iterator[Row]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         old = self.state.get() if self.state.exists() else None
         x = dict(zip([*NODE_FIELDS, "phase", "last_ms"], old, strict=True)) if old else dict.fromkeys([*NODE_FIELDS, "phase", "last_ms"])
         if not old:
@@ -206,7 +206,7 @@ class NodeReducer(StatefulProcessor):
         self.state.update(tuple(x.values()))
         yield self._row(key, x, False)
 
-    def handleExpiredTimer(self, key: Any, timers: Any, expired: Any) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         x = dict(zip([*NODE_FIELDS, "phase", "last_ms"], self.state.get(), strict=True))
         yield self._row(key, x, True)
 
@@ -227,7 +227,7 @@ class FileReducer(StatefulProcessor):
         self.statuses = handle.getMapState("statuses", "node_idx int", "status string")
         self.flags = handle.getValueState("flags", "known boolean, is_conflict boolean, n_active long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timers: Any) -> Iterator[Row]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         known, is_conflict, n_active = self.flags.get() if self.flags.exists() else (False, False, 0)
         changed = {}
         for r in sorted(rows, key=lambda r: (r.seq, r.turn)):

@@ -189,7 +189,7 @@ class Thinner(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("last", "last long, number long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timers: Any) -> Iterator[Row]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         last, number = self.state.get() if self.state.exists() else (NEVER if self.begun is None else self.begun, 0)
         for r in sorted((r for r in rows if r[self.time] is not None), key=lambda r: (r[self.time], r[self.seq])):
             number += 1
