@@ -1,9 +1,7 @@
-"""Scan cache, locks, protocol versions, and configuration checks."""
+"""Scan cache, stale locks (``locks`` has the table that takes them), protocol versions, and configuration checks."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,20 +45,6 @@ def lock_conflicts(requested: DataFrame, locks: DataFrame) -> DataFrame:
     return requested.select("path").join(locks, "path", "left_semi")
 
 
-def acquire(locks: DataFrame, requested: DataFrame, pid: int, started: int, nodes: Sequence[str]) -> DataFrame:
-    """locks with the requested paths; an error if any is held."""
-    held = lock_conflicts(requested, locks).limit(1).collect()
-    if held:
-        raise RuntimeError(f"path is locked: {held[0]['path']}")
-    paths = requested.agg(F.collect_list("path").alias("paths"))  # one process's own paths
-    new = requested.select("path", F.lit(pid).cast("long").alias("pid"), F.lit(started).cast("long").alias("started")).join(F.broadcast(paths)).withColumn("nodes", F.array(*map(F.lit, nodes)))
-    return locks.unionByName(new)
-
-
-def release(locks: DataFrame, pid: int) -> DataFrame:
-    return locks.filter(F.col("pid") != pid)
-
-
 def common_version(versions: DataFrame) -> DataFrame:
     """version: the greatest that every node speaks; null if there is none. versions: node_idx, version."""
     n = versions.agg(F.countDistinct("node_idx").alias("n"))

@@ -4,17 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diff, filters, plan, resolve, state
+from ..operators.locks import LockTable
 from ..schemas import INVENTORY, PREV_STATE
 from ..sources import snapshot
-from ..storage import stored
+from ..storage import delete, stored
 
 OnEvent = Callable[[str, dict], None]
 
 
+def _observed(phase: str) -> list[Column]:
+    """What is counted while a phase's table is written, without a job of its own: progress, and
+    number and first of what the phase could not use."""
+    is_file, n = F.col("tp") == "F", F.count(F.lit(1))
+    if phase == "inventory":
+        lost = F.col("path").isNull()
+        return [F.count_if(is_file).alias("files"), F.coalesce(F.sum(F.when(is_file, F.col("size"))), F.lit(0)).alias("bytes"), n.alias("entries"), F.count_if(lost).alias("n_invalid"), F.min(F.when(lost, F.col("node_idx"))).alias("first_invalid")]
+    if phase == "decided":
+        open_ = (F.col("status") == "conflict") & F.col("winner_node").isNull()
+        return [n.alias("paths"), F.count_if(F.col("status") == "conflict").alias("conflicts"), F.count_if(open_).alias("n_unresolved"), F.min(F.when(open_, F.col("path"))).alias("first_unresolved")]
+    if phase == "transfers":
+        return [n.alias("files"), F.count_if("trans_data").alias("with_data")]
+    lost = F.col("src_node").isNull()
+    return [n.alias("chunks"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count_if(lost).alias("n_unserved"), F.min(F.when(lost, F.col("hash"))).alias("first_unserved")]
+
+
 class Reconciliation:
     """Reconcile inventories of N nodes.
 
@@ -41,6 +58,7 @@ class Reconciliation:
         self._dry_run = False
         self._delete_mode, self._limits = "sync", {}
         self._locks: DataFrame | None = None
+        self._table: LockTable | None = None
         self._held: dict[str, DataFrame] | None = None
 
     # Inputs
@@ -93,9 +111,28 @@ class Reconciliation:
         return self
 
     def on_event(self, listener: OnEvent) -> Reconciliation:
+        """listener(event, facts): started, phase_started, phase_completed (with what was counted
+        while the phase ran), verified, saved, finished, failed."""
         self._on_event.append(listener)
         return self
 
+    def on_progress(self, listener: Callable[[str, dict], None]) -> Reconciliation:
+        """listener(phase, counters) when a phase's table has been written."""
+        return self.on_event(lambda event, facts: listener(facts["phase"], {k: v for k, v in facts.items() if k != "phase" and not k.startswith(("first_", "n_"))}) if event == "phase_completed" else None)
+
+    def on_error(self, listener: Callable[[str, int, object], None]) -> Reconciliation:
+        """listener(phase, number, first) for what a phase could not use (entries without a path, chunks
+        that no node has), and for the error that ends a run."""
+
+        def heard(event: str, facts: dict) -> None:
+            if event == "failed":
+                listener("run", 1, facts["error"])
+            for k, n in facts.items():
+                if event == "phase_completed" and k.startswith("n_") and n:
+                    listener(facts["phase"], n, facts["first_" + k[2:]])
+
+        return self.on_event(heard)
+
     def compat(self, on: bool = True) -> Reconciliation:
         self._compat = on
         return self
@@ -112,6 +149,11 @@ class Reconciliation:
         self._locks = locks
         return self
 
+    def locking(self, table: LockTable, pid: int, started: int) -> Reconciliation:
+        """Hold the inventories' paths in a lock table while a run lasts."""
+        self._table, self._holder = table, (pid, started)
+        return self
+
     # Tables
 
     @property
@@ -127,7 +169,7 @@ class Reconciliation:
         return out
 
     def inventory(self) -> DataFrame:
-        return filters.retain(self.raw_inventory(), **self._rules)
+        return self._once("inventory", lambda: filters.retain(self.raw_inventory(), **self._rules))
 
     def prev(self) -> DataFrame:
         old = self._prev if self._prev is not None else self.spark.createDataFrame([], PREV_STATE)
@@ -145,7 +187,10 @@ class Reconciliation:
         if self._held is None:
             return make()
         if name not in self._held:
-            self._held[name] = stored(make(), name)
+            self._emit("phase_started", phase=name)
+            seen = Observation(name)
+            self._held[name] = stored(make().observe(seen, *_observed(name)), name)
+            self._emit("phase_completed", phase=name, **seen.get)
         return self._held[name]
 
     def decided(self) -> DataFrame:
@@ -162,7 +207,7 @@ class Reconciliation:
             auto = resolve.resolve(open_, name, node_names=self._names, **self._strategy_args)
         picked = auto.select("path", "winner_node")
         if self._on_conflict is not None:
-            choose = F.udf(_caller(self._on_conflict), "int")
+            choose = F.udf(_caller(self._on_conflict), "int", useArrow=True)
             own = open_.withColumn("_p", choose("versions")).select("path", F.get("versions", F.col("_p"))["node_idx"].alias("own"))
             picked = picked.join(own, "path").select("path", F.coalesce("own", "winner_node").alias("winner_node"))
         if self._choices is not None:
@@ -225,10 +270,19 @@ class Reconciliation:
 
     def run(self, snapshot_path: str | None = None) -> dict:
         """Check locks and gates, then save the next snapshot last; the counters."""
-        self._held = {}
+        self._held, token = {}, None
         try:
+            if self._table is not None:
+                token = self._table.acquire(self.inventory().select("path"), *self._holder, self._names)
             return self._run(snapshot_path)
+        except Exception as e:
+            self._emit("failed", error=str(e))
+            raise
         finally:
+            if token:
+                self._table.release(token)
+            for table in self._held.values():
+                delete(self.spark, table.stored_at)
             self._held = None
 
     def _run(self, snapshot_path: str | None) -> dict:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.locks import Locked, LockTable
 from ..sources import derived, listing
 from ..storage import changed, scratch, stored
 from ..streaming import events as ev
-from ..streaming import reducer, throttle
+from ..streaming import reducer, throttle, watch
 from ..streaming.reducer import KINDS, PHASES
 from .catalog import _EVENTS, _events, _table, query
 
@@ -184,3 +185,31 @@ def listing_in_splits(spark, d):
         back = stored(listing.parse_listing(listing.ordered_lines(spark, folder)), "listing-back")
     last = F.coalesce(F.try_element_at("chunks", F.lit(-1))["hash"], F.lit(""))
     return back.select(F.regexp_extract("file", "node=([0-9]+)", 1).alias("node"), "path", "tp", "mode", "size", "target", F.size("chunks").cast("long").alias("n_chunks"), last.alias("last_hash"))
+
+
+# Locks and watching
+
+
+@query("SELECT 'lock/' || c_custkey AS path, 2::BIGINT AS pid FROM customer WHERE c_custkey % 3 = 1 UNION ALL SELECT 'lock/' || c_custkey, 4 FROM customer WHERE c_custkey % 3 = 2", tables=False)
+def lock_table(spark, d):
+    """Four processes in turn: two get their paths, one finds some held, one has released."""
+    table = LockTable(spark, scratch(spark, "lock-table"))
+    third = lambda i: _table(spark, d, "customer").filter(F.col("c_custkey") % 3 == i).select(F.concat(F.lit("lock/"), F.col("c_custkey").cast("string")).alias("path"))
+    first = table.acquire(third(2), 1, 0)
+    table.acquire(third(1), 2, 0)
+    try:
+        table.acquire(third(0).union(third(1)), 3, 0)
+    except Locked:
+        table.release(first)
+        table.acquire(third(2), 4, 0)
+    return table.held().select("path", "pid")
+
+
+@query("SELECT path, status, CASE WHEN status = 'winner' THEN candidate END AS winner_node, n_present FROM diff")
+def stream_diff_resumed(spark, d):
+    """A watch that ends after each node's inventory and begins again on its state folder."""
+    drop, out, state = (scratch(spark, f"watch-{x}") for x in ("drops", "diffs", "state"))
+    for node in range(N_NODES):
+        derived.inventory(spark, d).filter(F.col("node_idx") == node).write.parquet(f"{drop}/{node}")
+        watch.watch(spark, drop, derived.prev_state(spark, d), N_NODES, out, True, state).awaitTermination()
+    return watch.latest(spark, out).select("path", "status", "winner_node", "n_present")

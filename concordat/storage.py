@@ -52,7 +52,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once to shared storage and read back."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def exists(spark: SparkSession, path: str) -> bool:

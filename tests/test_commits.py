@@ -119,3 +119,25 @@ def test_listing_cut_anywhere(spark, tmp_path):
         assert lines.rdd.getNumPartitions() > 20
         back = stored(listing.parse_listing(lines), "cut")
     assert sorted((r.path, [c.hash for c in r.chunks]) for r in back.collect()) == sorted((p, [f"c{j}" for j in range(i % 9 + 1)]) for _, p, i, _ in rows)
+
+
+def test_counters_and_errors_reach_listeners(spark, tmp_path):
+    from concordat.plans.builder import reconcile
+
+    a = inventory(spark, [(0, "p", 1, "xx"), (0, "q", 1, "y"), (0, "r", 1, "z")])
+    b = inventory(spark, [(1, "p", 2, "ww"), (1, "q", 1, "y")])
+    events, progress, errors = [], {}, []
+    table = LockTable(spark, f"{tmp_path}/locks")
+    r = reconcile(spark, [a, b], "skip").on_event(lambda e, f: events.append(e)).on_progress(lambda phase, c: progress.update({phase: c})).on_error(lambda *e: errors.append(e)).locking(table, 1, 1)
+    with pytest.raises(RuntimeError):
+        other = table.acquire(want(spark, "q"), 2, 1)
+        r.run()
+    assert errors[-1][:2] == ("run", 1) and "locked: q" in errors[-1][2]
+    table.release(other)
+    r.run()
+    assert progress["inventory"] == {"files": 5, "bytes": 7, "entries": 5} and progress["decided"] == {"paths": 3, "conflicts": 1}
+    assert progress["transfers"]["files"] == 1 and progress["moves"] == {"chunks": 1, "bytes": 1}
+    assert ("decided", 1, "p") in errors and events[-1] == "finished"
+    assert table.held().count() == 0
+    r = reconcile(spark, [a, b]).on_conflict(lambda versions: 1)
+    assert {x.path: x.winner_node for x in r.decided().collect()}["p"] == 1

@@ -199,11 +199,6 @@ def test_locks_cache_and_versions(spark):
     live = spark.createDataFrame([(2,)], "pid long")
     left, removed = state.cleaned_locks(locks, live, 100_010)
     assert [r.path for r in left.collect()] == ["b"] and removed.first().n_removed == 1
-    want = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
-    with pytest.raises(RuntimeError, match="locked: b"):
-        state.acquire(locks, want("b", "c"), 3, 1, ["n"])
-    got = state.acquire(locks, want("c"), 3, 1, ["n"])
-    assert got.count() == 3 and state.release(got, 3).count() == 2
     versions = lambda rows: state.common_version(spark.createDataFrame(rows, "node_idx int, version int")).first().version
     assert versions([(0, 2), (0, 3), (1, 3), (1, 2)]) == 3
     assert versions([(0, 2), (1, 3)]) is None
