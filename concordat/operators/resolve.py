@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.globs import to_regex
 from ..storage import stored
+from .rules import strategies
 
 
 def winner_position(versions: Column, strategy: str, index: int | None = None, locations: Column | None = None, name: str | None = None) -> Column:
@@ -61,10 +62,8 @@ def strategy_for(path: Column, rules: Sequence[tuple[str, str]], default: str) -
 
 
 def strategy_by_table(paths: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same for a rules table (priority, regex, strategy) that is data."""
-    met = paths.join(rules, F.expr("path rlike regex"), "left")
-    first = met.groupBy("path").agg(F.min(F.when(F.col("priority").isNotNull(), F.struct("priority", "strategy"))).alias("r"))
-    return first.select("path", F.coalesce("r.strategy", F.lit(default)).alias("strategy"))
+    """The same for a rules table (priority, pattern, strategy) that is data, of any size."""
+    return strategies(paths, rules, default)
 
 
 def resolve_by_rules(conflicts: DataFrame, rules: Sequence[tuple[str, str]], default: str) -> DataFrame:

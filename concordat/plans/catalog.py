@@ -307,7 +307,7 @@ def resolve_by_rules(spark, d):
 
 @query(f"SELECT d.path, {_RULE} AS strategy FROM (SELECT DISTINCT path FROM inv) d")
 def strategy_by_rule_table(spark, d):
-    rules = spark.createDataFrame([(i, to_regex(p), s) for i, (p, s) in enumerate(RULES)], "priority int, regex string, strategy string")
+    rules = spark.createDataFrame([(i, p, s) for i, (p, s) in enumerate(RULES)], "priority int, pattern string, strategy string")
     return resolve.strategy_by_table(_inv(spark, d).select("path").distinct(), rules, "prefer-first")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import resolve
 from ..operators.locks import Locked, LockTable
 from ..sources import derived, listing
 from ..storage import changed, scratch, stored
@@ -213,3 +214,30 @@ def stream_diff_resumed(spark, d):
         derived.inventory(spark, d).filter(F.col("node_idx") == node).write.parquet(f"{drop}/{node}")
         watch.watch(spark, drop, derived.prev_state(spark, d), N_NODES, out, True, state).awaitTermination()
     return watch.latest(spark, out).select("path", "status", "winner_node", "n_present")
+
+
+# Rules
+
+
+@query(
+    """
+WITH d AS (SELECT source, doc_id, doc_id::VARCHAR AS name, source || '/' || lang || '/' || doc_id || '.txt' AS path FROM documents),
+k AS (SELECT o_orderkey AS k, o_orderkey % 3 AS form, ['prefer-first', 'prefer-last', 'prefer-newest'][o_orderkey % 3 + 1] AS strategy FROM orders),
+m AS (
+  SELECT path, k, strategy FROM d JOIN k ON form = 0 AND doc_id = k AND source = 'src' || k % 10
+  UNION ALL SELECT path, k, strategy FROM d JOIN k ON form = 1 AND name[:-2] = (k // 10)::VARCHAR
+  UNION ALL SELECT path, k, strategy FROM (SELECT path, name[:n] AS head, name[n + 1] AS more FROM d, (VALUES (1), (2), (3), (4), (5), (6)) AS x(n)) JOIN k ON form = 2 AND head = (k // 7)::VARCHAR AND more BETWEEN '0' AND '4')
+SELECT d.path, coalesce(min_by(strategy, k), 'skip') AS strategy FROM d LEFT JOIN m ON m.path = d.path GROUP BY d.path
+""",
+    tables=False,
+)
+def strategy_by_many_rules(spark, d):
+    """As many rules as there are orders, of three forms, over all documents' paths."""
+    k = F.col("o_orderkey")
+    number = lambda c: c.cast("long").cast("string")
+    pattern = F.when(k % 3 == 0, F.concat(F.lit("src"), number(k % 10), F.lit("/*/"), number(k), F.lit(".txt"))).when(k % 3 == 1, F.concat(F.lit("**/"), number(F.floor(k / 10)), F.lit("?.txt")))
+    pattern = pattern.otherwise(F.concat(F.lit("*/"), number(F.floor(k / 7)), F.lit("[0-4]*")))
+    strategy = F.element_at(F.array(F.lit("prefer-first"), F.lit("prefer-last"), F.lit("prefer-newest")), (k % 3 + 1).cast("int"))
+    rules = _table(spark, d, "orders").select(k.alias("priority"), pattern.alias("pattern"), strategy.alias("strategy"))
+    paths = _table(spark, d, "documents").select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    return resolve.strategy_by_table(paths, rules, "skip")
