@@ -13,8 +13,8 @@ Documents become blocks of tokens, written once.  For each order a block sends i
 distinct n-grams, as sorted 64-bit hashes with their training counts, to partitions of the
 hash range; a partition adds them up, keeps its part of the model's table and answers each
 block in the order asked.  Weights go the same way: a block sends, for the histories that
-scoring can meet, its share of the two sums above (over occurrences, each with its
-type's part), and asks for those at which its held-out tokens back off.  Each token is
+scoring can meet, its share of c(h) and of the two sums above (over occurrences, each with
+its type's part), and asks for those at which its held-out tokens back off.  Each token is
 then scored from the answers, order by order.  A word as frequent as any is one row a
 block, whatever its partition.
 
@@ -80,7 +80,8 @@ class Block:
 
     def __init__(self, row: dict):
         self.id, self.lengths = row["block"], np.array(row["lengths"], np.int64)
-        self.hashes = unpack_keys(row["vocabulary"])[unplanes(row["places"], "<u4")]
+        self.vocabulary, self.places = unpack_keys(row["vocabulary"]), unplanes(row["places"], "<u4")
+        self.hashes = self.vocabulary[self.places]
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.held = np.array(row["held"], bool)[self.doc]
         self.first = np.cumsum(self.lengths) - self.lengths
@@ -96,6 +97,10 @@ class Block:
         """The key of the n-gram that ends at each token."""
         return self.hashes if n == 1 else window_hash(*self._padded(n), n)
 
+    def distinct(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct n-grams in order, and each token's place among them."""
+        return (self.vocabulary, self.places) if n == 1 else np.unique(self.grams(n), return_inverse=True)
+
     def histories(self, n: int) -> np.ndarray:
         """The key of the n - 1 words before each token."""
         padded, at = self._padded(n)
@@ -171,7 +176,7 @@ def counted(tokens: DataFrame, n: int, parts: int) -> DataFrame:
 
     def ask(rows: Iterator[dict]) -> Iterator[dict]:
         for block in map(Block, rows):
-            keys, inverse = np.unique(block.grams(n), return_inverse=True)
+            keys, inverse = block.distinct(n)
             marks = np.bincount(inverse, ~block.held).astype(np.uint64) * np.uint64(2) + (np.bincount(inverse, block.held) > 0)
             ends = cuts(keys, parts)
             for i in range(parts):
@@ -246,7 +251,7 @@ class Answered:
         answers = sorted(row["answers"], key=lambda a: (a["n"], a["bucket"]))
         self.counts, self.also_held, self.base = [], [], []
         for n in range(1, order + 1):
-            marks = np.concatenate([unplanes(a["counts"], "<u8") for a in answers if a["n"] == n])[np.unique(b.grams(n), return_inverse=True)[1]]
+            marks = np.concatenate([unplanes(a["counts"], "<u8") for a in answers if a["n"] == n])[b.distinct(n)[1]]
             c = (marks >> np.uint64(1)).astype(float)
             self.base.append(np.full(len(c), float(self.tokens)) if n == 1 else b.before(self.counts[-1], float(self.train_docs)))
             self.also_held.append((marks & np.uint64(1)).astype(bool))
@@ -265,7 +270,7 @@ class Answered:
 def added(parts: list[tuple[np.ndarray, tuple[np.ndarray, ...]]]) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
     """The distinct keys, sorted, and the sums of their values."""
     if not parts:
-        return np.zeros(0, np.uint64), (np.zeros(0), np.zeros(0))
+        return np.zeros(0, np.uint64), (np.zeros(0),) * 3
     keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     return keys, tuple(np.bincount(inverse, np.concatenate(v), len(keys)) for v in zip(*(p[1] for p in parts), strict=True))
 
@@ -277,11 +282,11 @@ def weights(answered: DataFrame, n: int, numbers: tuple, parts: int) -> DataFram
         held: list[tuple] = []
 
         def send(block: int) -> Iterator[dict]:
-            keys, (used, lower) = added(held)
+            keys, (times, used, lower) = added(held)
             ends = cuts(keys, parts)
             for i in np.flatnonzero(np.diff(ends)).tolist():
                 some = slice(ends[i], ends[i + 1])
-                yield {"bucket": i, "block": block, "keys": pack_keys(keys[some]), "used": used[some].tobytes(), "lower": lower[some].tobytes()}
+                yield {"bucket": i, "block": block, "keys": pack_keys(keys[some]), "times": planes(times[some].astype("<u8")), "used": used[some].tobytes(), "lower": lower[some].tobytes()}
             held.clear()
 
         last = 0
@@ -289,7 +294,7 @@ def weights(answered: DataFrame, n: int, numbers: tuple, parts: int) -> DataFram
             a = Answered(r, n, numbers)
             last, h = a.block.id, a.block.histories(n)
             give = np.flatnonzero(~a.block.held & a.block.before(a.also_held[n - 2], True))
-            held.append((h[give], (a.d[n - 1](a.counts[n - 1][give]) / a.base[n - 1][give], a.seen(n - 1, give) / a.counts[n - 1][give])))
+            held.append((h[give], (np.ones(len(give)), a.d[n - 1](a.counts[n - 1][give]), a.seen(n - 1, give) / a.counts[n - 1][give])))
             if sum(len(x[0]) for x in held) > HELD:
                 yield from send(last)
             asked = np.unique(h[a.asks(n)])
@@ -300,13 +305,13 @@ def weights(answered: DataFrame, n: int, numbers: tuple, parts: int) -> DataFram
 
     def answer(rows: Iterator[dict]) -> Iterator[dict]:
         sent = sorted(rows, key=lambda r: r["block"])
-        keys, (used, lower) = added([(unpack_keys(r["keys"]), tuple(np.frombuffer(r[c], "<f8") for c in ("used", "lower"))) for r in sent if r["keys"]])
-        alpha = np.log10((1 - used) / (1 - lower))
+        keys, (times, used, lower) = added([(unpack_keys(r["keys"]), (unplanes(r["times"], "<u8"), *(np.frombuffer(r[c], "<f8") for c in ("used", "lower")))) for r in sent if r["keys"]])
+        alpha = np.log10((1 - used / times) / (1 - lower))
         for r in sent:
             if r["asked"]:
                 yield {"n": n, "bucket": r["bucket"], "block": r["block"], "weights": alpha[np.searchsorted(keys, unpack_keys(r["asked"]))].tobytes()}
 
-    sent = mapped(answered, ask, "bucket int, block long, keys binary, used binary, lower binary, asked binary").repartitionById(parts, F.col("bucket"))
+    sent = mapped(answered, ask, "bucket int, block long, keys binary, times binary, used binary, lower binary, asked binary").repartitionById(parts, F.col("bucket"))
     return mapped(sent, answer, "n int, bucket int, block long, weights binary")
 
 
