@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions import blake3
+
 WINDOW, OFFSET = 64, 31
 
 
@@ -65,20 +67,27 @@ def chunk_sizes(data: bytes, config: ChunkConfig = ChunkConfig()) -> list[int]:
     return out
 
 
-def cdc_chunks(files: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+#: Digests of a list of contents, by name.
+DIGESTS = {"sha256": lambda contents: [hashlib.sha256(c).digest() for c in contents], "blake3": blake3.digests}
+
+
+def cdc_chunks(files: DataFrame, config: ChunkConfig = ChunkConfig(), digest: str = "sha256") -> DataFrame:
     """node_idx, path, chunks of files (node_idx, path, content: binary or string)."""
+    if digest not in DIGESTS:
+        raise ValueError(f"unknown digest: {digest}")
+    digests = DIGESTS[digest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("hash", pa.string()), ("offset", pa.int64()), ("size", pa.int64())]))
         for batch in batches:
             rows = []
-            for content in batch.column(2).to_pylist():
+            for at in range(batch.num_rows):  # one file's content at a time
+                content = batch.column(2)[at].as_py()
                 data = content.encode() if isinstance(content, str) else content or b""
-                offset, chunks = 0, []
-                for size in chunk_sizes(data, config):
-                    chunks.append({"hash": hashlib.sha256(data[offset : offset + size]).hexdigest(), "offset": offset, "size": size})
-                    offset += size
-                rows.append(chunks)
-            kind = pa.list_(pa.struct([("hash", pa.string()), ("offset", pa.int64()), ("size", pa.int64())]))
+                sizes = chunk_sizes(data, config)
+                ends = np.cumsum([0, *sizes]).tolist()
+                hashes = digests([data[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+                rows.append([{"hash": h.hex(), "offset": o, "size": n} for h, o, n in zip(hashes, ends, sizes, strict=False)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind)], names=["node_idx", "path", "chunks"])
 
     return files.select("node_idx", "path", "content").mapInArrow(run, "node_idx int, path string, chunks array<struct<hash:string,offset:long,size:long>>")
