@@ -54,6 +54,7 @@ class Reconciliation:
         self._choices: DataFrame | None = None
         self._on_conflict: Callable[[list[dict]], int | None] | None = None
         self._on_event: list[OnEvent] = []
+        self._on_phase: list[OnEvent] = []
         self._compat = False
         self._dry_run = False
         self._delete_mode, self._limits = "sync", {}
@@ -111,14 +112,18 @@ class Reconciliation:
         return self
 
     def on_event(self, listener: OnEvent) -> Reconciliation:
-        """listener(event, facts): started, phase_started, phase_completed (with what was counted
-        while the phase ran), verified, saved, finished, failed."""
+        """listener(event, facts): started, verified, saved, finished, failed."""
         self._on_event.append(listener)
         return self
 
+    def on_phase(self, listener: OnEvent) -> Reconciliation:
+        """listener(event, facts): phase_started, phase_completed with what was counted while it ran, failed."""
+        self._on_phase.append(listener)
+        return self
+
     def on_progress(self, listener: Callable[[str, dict], None]) -> Reconciliation:
         """listener(phase, counters) when a phase's table has been written."""
-        return self.on_event(lambda event, facts: listener(facts["phase"], {k: v for k, v in facts.items() if k != "phase" and not k.startswith(("first_", "n_"))}) if event == "phase_completed" else None)
+        return self.on_phase(lambda event, facts: listener(facts["phase"], {k: v for k, v in facts.items() if k != "phase" and not k.startswith(("first_", "n_"))}) if event == "phase_completed" else None)
 
     def on_error(self, listener: Callable[[str, int, object], None]) -> Reconciliation:
         """listener(phase, number, first) for what a phase could not use (entries without a path, chunks
@@ -131,7 +136,7 @@ class Reconciliation:
                 if event == "phase_completed" and k.startswith("n_") and n:
                     listener(facts["phase"], n, facts["first_" + k[2:]])
 
-        return self.on_event(heard)
+        return self.on_phase(heard)
 
     def compat(self, on: bool = True) -> Reconciliation:
         self._compat = on
@@ -255,7 +260,8 @@ class Reconciliation:
     # Running
 
     def _emit(self, event: str, **facts) -> None:
-        for listener in self._on_event:
+        heard = {"phase_started": self._on_phase, "phase_completed": self._on_phase, "failed": self._on_event + self._on_phase}
+        for listener in heard.get(event, self._on_event):
             listener(event, facts)
 
     def verify(self) -> None:

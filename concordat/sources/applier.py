@@ -7,26 +7,27 @@ deleting what is not there is no error; nothing is touched in a dry run.
 from __future__ import annotations
 
 import os
-import stat
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tree import scan_tree
+
 #: Suffix of staged files.
 STAGED = ".concordat-tmp"
 RESULT = "op string, path string, ok boolean, error string"
 
 
-def _safe(root: str, path: str) -> str:
+def safe_path(root: str, path: str) -> str:
     if ".." in path.split("/") or path.startswith("/"):
         raise ValueError("unsafe path")
     return os.path.join(root, path)
 
 
 def _perform(root: str, op: str, path: str, target, mode, mtime, content) -> None:
-    full = _safe(root, path)
+    full = safe_path(root, path)
     if op == "delete":
         if os.path.isdir(full) and not os.path.islink(full):
             os.rmdir(full)
@@ -80,13 +81,13 @@ def apply(actions: DataFrame, root: str, contents: DataFrame | None = None, dry_
     return rows.mapInArrow(run, RESULT)
 
 
-def staged(root: str) -> list[str]:
-    return sorted(os.path.relpath(os.path.join(d, f), root) for d, _, files in os.walk(root) for f in files if f.endswith(STAGED))
+def staged(spark, root: str) -> DataFrame:
+    """path of the files staged beside their targets; the tree is walked by the executors."""
+    return scan_tree(spark, root).filter(F.col("path").endswith(STAGED)).select("path", "tp")
 
 
 def commit(spark, root: str) -> DataFrame:
     """renamed, failed: move all staged files into place, in parallel."""
-    rows = spark.createDataFrame([(p,) for p in staged(root)], "path string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,12 +101,17 @@ def commit(spark, root: str) -> DataFrame:
                     ok.append(False)
             yield pa.RecordBatch.from_arrays([pa.array(ok, pa.bool_())], names=["ok"])
 
-    return rows.mapInArrow(run, "ok boolean").agg(F.count_if("ok").alias("renamed"), F.count_if(~F.col("ok")).alias("failed"))
+    return staged(spark, root).filter("tp <> 'D'").select("path").mapInArrow(run, "ok boolean").agg(F.count_if("ok").alias("renamed"), F.count_if(~F.col("ok")).alias("failed"))
 
 
-def clean(root: str) -> int:
+def clean(spark, root: str) -> int:
     """Delete staged left-overs, files or empty directories; their number."""
-    found = [os.path.join(d, x) for d, dirs, files in os.walk(root) for x in [*files, *dirs] if x.endswith(STAGED)]
-    for path in found:
-        os.rmdir(path) if stat.S_ISDIR(os.lstat(path).st_mode) else os.unlink(path)
-    return len(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, tp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                full = os.path.join(root, path)
+                os.rmdir(full) if tp == "D" else os.unlink(full)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return staged(spark, root).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

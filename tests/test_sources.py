@@ -172,7 +172,7 @@ def test_applier_is_safe_and_idempotent(spark, tmp_path):
     got = applier.apply(spark.createDataFrame(rows, kind), str(tmp_path)).collect()
     assert {(r.path, r.ok) for r in got} == {("absent", True), ("d", True), ("../x", False), ("s", True)}
     build(tmp_path, {"left.concordat-tmp": b""})
-    assert applier.clean(str(tmp_path)) == 1
+    assert applier.clean(spark, str(tmp_path)) == 1
 
 
 def small(spark, rows):
