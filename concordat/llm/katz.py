@@ -33,6 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,14 +54,16 @@ FEW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "32"}
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers byte by byte, all first bytes first, without the last bytes that none fills."""
+    """Numbers byte by byte, all first bytes first, without the last bytes that none fills; compressed
+    by Zstandard, as shuffles code no entropy and small counts have little."""
     m = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
     filled = int(np.flatnonzero(m.any(axis=1)).max(initial=0)) + 1
-    return bytes([filled]) + np.ascontiguousarray(m[:filled]).tobytes()
+    return bytes([filled]) + zstandard.compress(np.ascontiguousarray(m[:filled]).tobytes(), 1)
 
 
 def unplanes(b: bytes, kind: str) -> np.ndarray:
-    m = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], (len(b) - 1) // b[0])
+    m = np.frombuffer(zstandard.decompress(b[1:]), np.uint8)
+    m = m.reshape(b[0], len(m) // b[0])
     out = np.zeros((m.shape[1], np.dtype(kind).itemsize), np.uint8)
     out[:, : b[0]] = m.T
     return out.view(kind).reshape(-1)
@@ -286,7 +289,7 @@ def weights(answered: DataFrame, n: int, numbers: tuple, parts: int) -> DataFram
             ends = cuts(keys, parts)
             for i in np.flatnonzero(np.diff(ends)).tolist():
                 some = slice(ends[i], ends[i + 1])
-                yield {"bucket": i, "block": block, "keys": pack_keys(keys[some]), "times": planes(times[some].astype("<u8")), "used": used[some].tobytes(), "lower": lower[some].tobytes()}
+                yield {"bucket": i, "block": block, "keys": pack_keys(keys[some]), "times": planes(times[some].astype("<u8")), "used": planes(used[some]), "lower": planes(lower[some])}
             held.clear()
 
         last = 0
@@ -305,11 +308,11 @@ def weights(answered: DataFrame, n: int, numbers: tuple, parts: int) -> DataFram
 
     def answer(rows: Iterator[dict]) -> Iterator[dict]:
         sent = sorted(rows, key=lambda r: r["block"])
-        keys, (times, used, lower) = added([(unpack_keys(r["keys"]), (unplanes(r["times"], "<u8"), *(np.frombuffer(r[c], "<f8") for c in ("used", "lower")))) for r in sent if r["keys"]])
+        keys, (times, used, lower) = added([(unpack_keys(r["keys"]), (unplanes(r["times"], "<u8"), *(unplanes(r[c], "<f8") for c in ("used", "lower")))) for r in sent if r["keys"]])
         alpha = np.log10((1 - used / times) / (1 - lower))
         for r in sent:
             if r["asked"]:
-                yield {"n": n, "bucket": r["bucket"], "block": r["block"], "weights": alpha[np.searchsorted(keys, unpack_keys(r["asked"]))].tobytes()}
+                yield {"n": n, "bucket": r["bucket"], "block": r["block"], "weights": planes(alpha[np.searchsorted(keys, unpack_keys(r["asked"]))])}
 
     sent = mapped(answered, ask, "bucket int, block long, keys binary, times binary, used binary, lower binary, asked binary").repartitionById(parts, F.col("bucket"))
     return mapped(sent, answer, "n int, bucket int, block long, weights binary")
@@ -334,7 +337,7 @@ def scored(answered: DataFrame, order: int, numbers: tuple, kind) -> DataFrame:
                 for n in range(2, order + 1):
                     asks = a.asks(n)
                     if len(asks):
-                        alpha = np.concatenate([np.frombuffer(w["weights"], "<f8") for w in given if w["n"] == n])
+                        alpha = np.concatenate([unplanes(w["weights"], "<f8") for w in given if w["n"] == n])
                         p[asks] += alpha[np.unique(block.histories(n)[asks], return_inverse=True)[1]]
                     seen = np.flatnonzero(a.counts[n - 1])
                     p[seen] = np.log10(a.seen(n, seen))
