@@ -147,3 +147,14 @@ def version_letters(inventory: DataFrame) -> DataFrame:
     ranked = inventory.select("path", "node_idx", F.dense_rank().over(w).alias("rank"))
     top = F.max("rank").over(Window.partitionBy("path"))
     return ranked.select("path", "node_idx", F.chr(F.lit(64) + F.col("rank")).alias("letter"), (F.col("rank") == top).alias("newest"))
+
+
+def version_row(inventory: DataFrame, n_nodes: int) -> DataFrame:
+    """path, letters: each node's version letter, "-" where the node lacks the path.
+
+    Letters go by distinct mtime, oldest A; past Z they are the code points that follow."""
+    at = [F.max(F.when(F.col("node_idx") == i, F.col("mtime"))) for i in range(n_nodes)]
+    rows = inventory.groupBy("path").agg(F.array(*at).alias("m"))
+    times = F.array_sort(F.array_distinct(F.array_compact("m")))
+    letter = lambda t: F.when(t.isNull(), "-").otherwise(F.decode(F.unhex(F.lpad(F.hex(F.lit(64) + F.array_position(times, t)), 4, "0")), "UTF-16BE"))
+    return rows.select("path", F.transform("m", letter).alias("letters"))

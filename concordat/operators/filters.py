@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.globs import ALWAYS_EXCLUDED, any_of, to_regex
+from ..storage import names, read_text
 
 IGNORE_FILES = (".syncignore", ".gitignore", ".dockerignore", ".npmignore", ".rgignore")
 
@@ -103,11 +104,18 @@ def is_ignored(path: Column, is_dir: Column, patterns: Sequence[str]) -> Column:
 
 def ignore_patterns(spark, files: Sequence[str]) -> list[str]:
     """The patterns of ignore files in order; later files override earlier ones."""
-    out: list[str] = []
-    for f in files:
-        for row in spark.read.text(f, wholetext=True).collect():  # a configuration file
-            out += parse_ignore(row[0])
-    return out
+    return [p for f in files for p in parse_ignore(read_text(spark, f))]  # Spark's own readers skip names that begin with a dot
+
+
+def find_ignore_files(spark, root: str, kinds: Sequence[str] = IGNORE_FILES) -> list[str]:
+    """The ignore files that lie in a root folder, in the order of their kinds: the last one overrides."""
+    there = set(names(spark, root))
+    return [f"{root.rstrip('/')}/{k}" for k in kinds if k in there]
+
+
+def is_ignored_below(spark, root: str, path: Column, is_dir: Column, kinds: Sequence[str] = IGNORE_FILES) -> Column:
+    """Whether the ignore files of the root ignore a path."""
+    return is_ignored(path, is_dir, ignore_patterns(spark, find_ignore_files(spark, root, kinds)))
 
 
 def should_exclude(exclude=(), include=(), ignore=(), properties: PropertyFilter | None = None) -> Column:

@@ -23,21 +23,21 @@ def _policy(owner: Column, rights: Column, xattrs: Column, sensitive: Column, em
     return [F.when(some, v).otherwise(d[c]).alias(c) for c, v in zip(POLICY, values, strict=True)]
 
 
-def least_common(caps: DataFrame) -> DataFrame:
-    """Compare only what all nodes can keep; no node: content only."""
-    return caps.agg(*_policy(F.bool_and("can_chown"), F.bool_and("can_chmod"), F.bool_and("can_set_xattrs"), F.bool_and("case_sensitive"), "content-only"))
+def least_common(caps: DataFrame, *by: str) -> DataFrame:
+    """Compare only what all nodes (of each group) can keep; no node: content only."""
+    return caps.groupBy(*by).agg(*_policy(F.bool_and("can_chown"), F.bool_and("can_chmod"), F.bool_and("can_set_xattrs"), F.bool_and("case_sensitive"), "content-only"))
 
 
-def best_effort(caps: DataFrame) -> DataFrame:
-    """Compare what any node can keep; no node: smart."""
-    return caps.agg(*_policy(F.bool_or("can_chown"), F.bool_or("can_chmod"), F.bool_or("can_set_xattrs"), F.bool_and("case_sensitive"), "smart"))
+def best_effort(caps: DataFrame, *by: str) -> DataFrame:
+    """Compare what any node (of each group) can keep; no node: smart."""
+    return caps.groupBy(*by).agg(*_policy(F.bool_or("can_chown"), F.bool_or("can_chmod"), F.bool_or("can_set_xattrs"), F.bool_and("case_sensitive"), "smart"))
 
 
-def source_wins(caps: DataFrame, node_idx: int) -> DataFrame:
+def source_wins(caps: DataFrame, node_idx: int, *by: str) -> DataFrame:
     """Compare what one node can keep; an unknown node: least common."""
     own = lambda c: F.bool_or(F.when(F.col("node_idx") == node_idx, F.col(c)))
     pick = lambda c: F.coalesce(own(c), F.bool_and(c))
-    return caps.agg(*_policy(pick("can_chown"), pick("can_chmod"), pick("can_set_xattrs"), pick("case_sensitive"), "content-only"))
+    return caps.groupBy(*by).agg(*_policy(pick("can_chown"), pick("can_chmod"), pick("can_set_xattrs"), pick("case_sensitive"), "content-only"))
 
 
 def differs(a: str, b: str, policy: dict[str, Column]) -> Column:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import resolve
+from ..functions import labels
+from ..functions.blake3 import blake3
+from ..operators import chunking, dedup, diff, plan, reconcile, resolve
 from ..operators.locks import Locked, LockTable
-from ..sources import derived, listing
+from ..sources import derived, listing, staged, tree
 from ..storage import changed, scratch, stored
 from ..streaming import events as ev
 from ..streaming import reducer, throttle, watch
 from ..streaming.reducer import KINDS, PHASES
-from .catalog import _EVENTS, _events, _table, query
+from .catalog import _EVENTS, _decided, _events, _missing, _moves, _table, query
 
 N_NODES = derived.N_NODES
 HOUR = 3_600_000_000
@@ -241,3 +244,126 @@ def strategy_by_many_rules(spark, d):
     rules = _table(spark, d, "orders").select(k.alias("priority"), pattern.alias("pattern"), strategy.alias("strategy"))
     paths = _table(spark, d, "documents").select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
     return resolve.strategy_by_table(paths, rules, "skip")
+
+
+# Versions, gates and policies on rows that have something to find
+
+
+@query("SELECT path, [coalesce(max(letter) FILTER (node_idx = 0), '-'), coalesce(max(letter) FILTER (node_idx = 1), '-'), coalesce(max(letter) FILTER (node_idx = 2), '-')] AS letters FROM (SELECT path, node_idx, chr(64 + dense_rank() OVER (PARTITION BY path ORDER BY mtime)::INT) AS letter FROM inv) GROUP BY path")
+def version_rows(spark, d):
+    return diff.version_row(derived.inventory(spark, d), N_NODES)
+
+
+@query("SELECT node_idx, path, pos FROM (SELECT node_idx, path, pos, moved, coalesce(lag(moved + len) OVER (PARTITION BY node_idx, path ORDER BY pos), 0) AS expected FROM (SELECT *, start + CASE WHEN pos % 3 = 1 AND len % 5 = 0 THEN 1 ELSE 0 END AS moved FROM chunks)) WHERE moved <> expected")
+def chunk_gaps(spark, d):
+    """Every third chunk of a length in fives begins a byte late."""
+    late = (F.col("pos") % 3 == 1) & (F.col("size") % 5 == 0)
+    rows = diff.chunk_rows(derived.inventory(spark, d)).withColumn("offset", F.col("offset") + late.cast("int"))
+    return diff.contiguity_violations(rows).select("node_idx", "path", "pos")
+
+
+@query("SELECT hash, dst_node FROM moves WHERE right(hash, 1) IN ('0', '7') AND dst_node <> 1")
+def unserved_chunks(spark, d):
+    """The moves of some hashes to two of the nodes are lost."""
+    moves = _moves(spark, d)
+    return plan.unserved(_missing(spark, d), moves.filter("NOT (right(hash, 1) IN ('0', '7') AND dst_node <> 1)"))
+
+
+@query("SELECT path, size FROM winners WHERE tp = 'F' AND size > 0 AND doc_id % 3 = 0")
+def files_without_chunks(spark, d):
+    """Winners of every third document have lost their chunks."""
+    winners = plan.winners(derived.inventory(spark, d), _decided(spark, d))
+    lost = F.regexp_extract("path", "([0-9]+)[.]txt$", 1).cast("long") % 3 == 0
+    return plan.empty_files(winners.withColumn("chunks", F.when(~lost, F.col("chunks"))))
+
+
+_CAPS = "SELECT c_nationkey AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS node_idx, c_acctbal > -900 AS chown, c_custkey % 11 <> 0 AS chmod, c_acctbal > 9000 AS xattrs, c_custkey % 13 <> 0 OR c_nationkey % 2 = 0 AS sensitive FROM customer"
+
+
+def _capabilities(spark, d):
+    """Customers as the nodes of their nation's run."""
+    first = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    return _table(spark, d, "customer").select(
+        F.col("c_nationkey").alias("nation"), (F.row_number().over(first) - 1).alias("node_idx"), (F.col("c_acctbal") > -900).alias("can_chown"), (F.col("c_custkey") % 11 != 0).alias("can_chmod"), (F.col("c_acctbal") > 9000).alias("can_set_xattrs"),
+        ((F.col("c_custkey") % 13 != 0) | (F.col("c_nationkey") % 2 == 0)).alias("case_sensitive"),
+    )
+
+
+def _policies(how: str) -> str:
+    pick = {"all": "bool_and({0})", "any": "bool_or({0})", "one": "coalesce(bool_or({0}) FILTER (node_idx = 3), bool_and({0}))"}[how]
+    sensitive = pick if how == "one" else "bool_and({0})"
+    columns = [f"{pick.format(c)} AS {name}" for c, name in (("chown", "compare_owner"), ("chmod", "compare_permissions"), ("xattrs", "compare_xattrs"))]
+    return f"SELECT nation, {', '.join(columns)}, true AS compare_timestamps, CASE WHEN {sensitive.format('sensitive')} THEN 1 ELSE 2 END AS tolerance FROM ({_CAPS}) GROUP BY nation"
+
+
+@query(_policies("all"), tables=False)
+def caps_lcd_by_nation(spark, d):
+    return reconcile.least_common(_capabilities(spark, d), "nation")
+
+
+@query(_policies("any"), tables=False)
+def caps_best_effort_by_nation(spark, d):
+    return reconcile.best_effort(_capabilities(spark, d), "nation")
+
+
+@query(_policies("one"), tables=False)
+def caps_source_wins_by_nation(spark, d):
+    return reconcile.source_wins(_capabilities(spark, d), 3, "nation")
+
+
+_HOSTS = "SELECT s_nationkey AS nation, s_suppkey AS k, 'host' || s_suppkey || '.' || lower(replace(n_name, ' ', '-')) || '.example.org' AS host, lower(replace(n_name, ' ', '-')) || '.example.org' AS domain FROM supplier JOIN nation ON n_nationkey = s_nationkey"
+
+
+@query(f"SELECT k, host, CASE WHEN count(*) OVER (PARTITION BY nation) >= 2 THEN domain END AS domain, CASE WHEN count(*) OVER (PARTITION BY nation) >= 2 THEN 'host' || k ELSE host END AS short FROM ({_HOSTS})", tables=False)
+def short_hosts(spark, d):
+    """Suppliers as hosts of their nation's domain."""
+    rows = _table(spark, d, "supplier").join(_table(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    rows = rows.select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("k"), F.concat(F.lit("host"), F.col("s_suppkey").cast("string"), F.lit("."), F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))), F.lit(".example.org")).alias("host"))
+    domains = rows.groupBy("nation").agg(F.array_sort(F.collect_list("host")).alias("hosts")).select("nation", labels.common_domain(F.col("hosts")).alias("domain"))  # a run's hosts
+    rows = rows.join(domains, "nation")
+    return rows.select("k", "host", "domain", F.coalesce(labels.short_host(F.col("host"), F.col("domain")), F.col("host")).alias("short"))
+
+
+@query("SELECT c_custkey AS k, CASE WHEN octet_length(encode(name)) <= 14 THEN name ELSE left(name, 6) || '…' || right(name, 5) END AS label FROM (SELECT c_custkey, repeat(c_mktsegment, (c_custkey % 3)::INT) || c_custkey AS name FROM customer)", tables=False)
+def truncated_names(spark, d):
+    name = F.concat(F.repeat("c_mktsegment", (F.col("c_custkey") % 3).cast("int")), F.col("c_custkey").cast("string"))
+    return _table(spark, d, "customer").select(F.col("c_custkey").alias("k"), labels.truncate_middle(name).alias("label"))
+
+
+# Files
+
+
+@query()
+def cdc_edges(spark, d):
+    """Every file's chunks: where they begin, how long they are and their BLAKE3 digests."""
+    files = derived.contents(spark, d).filter("tp = 'F'").select("node_idx", "path", F.col("body").alias("content"))
+    c = chunking.cdc_chunks(files, chunking.ChunkConfig(bits=8, most=4), "blake3")
+    return c.select("node_idx", "path", F.posexplode("chunks").alias("pos", "c")).select("node_idx", "path", "pos", "c.offset", "c.size", "c.hash")
+
+
+@query("SELECT node_idx, path, md5(body) AS digest FROM content WHERE body <> ''")
+def blake3_verified_reassembly(spark, d):
+    """Chunks named by BLAKE3, one replica of each damaged, read back by digest and put together."""
+    files = derived.contents(spark, d).filter("tp = 'F'").select("node_idx", "path", F.col("body").cast("binary").alias("content"))
+    c = chunking.cdc_chunks(files, chunking.ChunkConfig(bits=8, most=4), "blake3").select("node_idx", "path", F.explode("chunks").alias("c"))
+    cut = F.expr("substring(content, cast(c.offset + 1 as int), cast(c.size as int))")
+    places = stored(files.join(c, ["node_idx", "path"]).select("node_idx", "path", F.col("c.hash").alias("hash"), F.col("c.offset").alias("offset"), cut.alias("data")), "blake3-payloads")
+    torn = places.select("hash", F.lit(-1).alias("position"), F.lit(-1).alias("node_idx"), F.concat("data", F.lit("?").cast("binary")).alias("data"))
+    replicas = places.select("hash", F.col("node_idx").alias("position"), "node_idx", "data").union(torn)
+    read = dedup.verified_read(places.select("hash"), replicas, blake3)
+    return dedup.reassemble(places, read).select("node_idx", "path", F.md5("content").alias("digest"))
+
+
+@query("SELECT node_idx, path, octet_length(encode(body)) AS size, md5(body) AS digest FROM content WHERE tp = 'F'")
+def staged_and_scanned(spark, d):
+    """Each node's files staged, committed, moved into place, scanned and read again."""
+    rows = derived.contents(spark, d).filter("tp = 'F'").select("node_idx", "path", F.col("body").cast("binary").alias("content"), F.lit(0o640).alias("mode"), "mtime")
+    found = None
+    for node in range(N_NODES):
+        root = scratch(spark, f"tree-{node}").removeprefix("file://")
+        staged.finish(spark, root, staged.stage(rows.filter(F.col("node_idx") == node), root))
+        scan = tree.scan_tree(spark, root, node, (".concordat", ".concordat/**"))
+        got = scan.filter("tp = 'F'").select("node_idx", "path", "size").join(tree.read_contents(scan, root), ["node_idx", "path"])
+        got = got.select("node_idx", "path", "size", F.md5("content").alias("digest"))
+        found = got if found is None else found.unionAll(got)
+    return found

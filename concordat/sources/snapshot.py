@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
@@ -40,11 +40,22 @@ def clear(spark: SparkSession, path: str) -> bool:
     return storage.delete(spark, path)
 
 
+#: A string or a comment of JSON5, or a comma before a closing bracket.
+_TOKENS = r"""("(?:[^"\\]|\\.)*")|('(?:[^'\\]|\\.)*')|//[^\n]*|/\*(?s:.*?)\*/|,(?=(?:\s|//[^\n]*|/\*(?s:.*?)\*/)*[}\]])"""
+_JSON5 = {"allowComments": "true", "allowUnquotedFieldNames": "true", "allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true", "allowNumericLeadingZeros": "true"}
+
+
+def json5(text: Column) -> Column:
+    """JSON5 as what Spark's parser takes with ``_JSON5``: no comments, no commas before closing brackets."""
+    return F.regexp_replace(text, _TOKENS, "$1$2")
+
+
 def from_json_text(rows: DataFrame) -> DataFrame:
-    """Entries of JSON states (value): a map path -> entry, or {files, timestamp} around it."""
-    wrapped = F.from_json("value", f"struct<files:map<string,{ENTRY}>,timestamp:long>")
-    flat = F.from_json("value", f"map<string,{ENTRY}>")
-    files = F.when(F.get_json_object("value", "$.files").isNotNull(), wrapped["files"]).otherwise(flat)
+    """Entries of JSON or JSON5 states (value): a map path -> entry, or {files, timestamp} around it."""
+    text = json5(F.col("value"))
+    wrapped = F.from_json(text, f"struct<files:map<string,{ENTRY}>,timestamp:long>", _JSON5)
+    flat = F.from_json(text, f"map<string,{ENTRY}>", _JSON5)
+    files = F.coalesce(wrapped["files"], flat)
     e = rows.select(F.explode(files).alias("key", "e"))
     aliases = F.create_map(*(F.lit(x) for kv in TYPE_ALIASES.items() for x in kv))
     return e.select(

@@ -217,3 +217,35 @@ def test_small_helpers(spark, monkeypatch):
     monkeypatch.delenv("XDG_DATA_HOME", raising=False)
     assert paths.expand("~/x") == "/h/x" and paths.expand("/a") == "/a" and paths.default_trash() == "/h/.local/share/Trash/files"
     assert one(spark, paths.unique_hosts(F.array(*map(F.lit, ("b:/x", "/a:b", "me@a:/y", "b:/z"))))) == ["b", "me@a"]
+
+
+def test_version_rows_past_z_and_absent_nodes(spark):
+    from concordat.operators import diff
+
+    rows = [(n, "many", 100 + n // 2) for n in range(60)] + [(1, "one", 5)]
+    got = {r.path: r.letters for r in diff.version_row(spark.createDataFrame(rows, "node_idx int, path string, mtime long"), 60).collect()}
+    assert got["one"] == ["-", "A"] + ["-"] * 58
+    assert got["many"] == [chr(65 + n // 2) for n in range(60)]
+
+
+def test_json5_states(spark):
+    from concordat.sources import snapshot
+
+    text = """// saved state
+    {"a,}": {tp: 'F', md: 420, mt: 7, sz: 3, /* a // comment */ ch: [{h: "x//y", of: 0, sz: 3,},],},
+     'b': {"tp": "D", "md": 493,}, // last
+    }"""
+    got = {r.path: (r.tp, r.mode, r.size, [c.hash for c in r.chunks or ()]) for r in snapshot.from_json_text(spark.createDataFrame([(text,)], "value string")).collect()}
+    assert got == {"a,}": ("F", 420, 3, ["x//y"]), "b": ("D", 493, None, [])}
+    wrapped = snapshot.from_json_text(spark.createDataFrame([('{files: {"p": {tp: "F", md: 1}}, timestamp: 5}',)], "value string")).collect()
+    assert [(r.path, r.mode) for r in wrapped] == [("p", 1)]
+
+
+def test_ignore_files_of_a_root(spark, tmp_path):
+    (tmp_path / ".gitignore").write_text("*.log\n!keep.log\n")
+    (tmp_path / ".npmignore").write_text("# none\nbuild/\n")
+    (tmp_path / "other").write_text("*")
+    assert [f.rsplit("/", 1)[1] for f in filters.find_ignore_files(spark, str(tmp_path))] == [".gitignore", ".npmignore"]
+    rows = spark.createDataFrame([("a.log", False), ("keep.log", False), ("build", True), ("build/x", False), ("b", False)], "path string, d boolean")
+    got = {r.path for r in rows.filter(filters.is_ignored_below(spark, str(tmp_path), F.col("path"), F.col("d"))).collect()}
+    assert got == {"a.log", "build", "build/x"}
