@@ -30,6 +30,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -278,8 +279,13 @@ def added(parts: list[tuple[np.ndarray, tuple[np.ndarray, ...]]]) -> tuple[np.nd
     return keys, tuple(np.bincount(inverse, np.concatenate(v), len(keys)) for v in zip(*(p[1] for p in parts), strict=True))
 
 
-def weights(answered: DataFrame, n: int, numbers: tuple, parts: int) -> DataFrame:
-    """n, bucket, block, weights: log10 alpha of the histories of order n that a block asks for."""
+def weights(answered: DataFrame, n: int, numbers: tuple, parts: int, some: range) -> DataFrame:
+    """n, bucket, block, weights: log10 alpha of the histories of order n, of some of the partitions, that
+    a block asks for."""
+    low, high = (-(-(i << 64) // parts) for i in (some.start, some.stop))
+
+    def own(keys: np.ndarray) -> np.ndarray:
+        return (keys >= np.uint64(low)) & (keys <= np.uint64(high - 1))
 
     def ask(rows: Iterator[dict]) -> Iterator[dict]:
         held: list[tuple] = []
@@ -288,19 +294,20 @@ def weights(answered: DataFrame, n: int, numbers: tuple, parts: int) -> DataFram
             keys, (times, used, lower) = added(held)
             ends = cuts(keys, parts)
             for i in np.flatnonzero(np.diff(ends)).tolist():
-                some = slice(ends[i], ends[i + 1])
-                yield {"bucket": i, "block": block, "keys": pack_keys(keys[some]), "times": planes(times[some].astype("<u8")), "used": planes(used[some]), "lower": planes(lower[some])}
+                at = slice(ends[i], ends[i + 1])
+                yield {"bucket": i, "block": block, "keys": pack_keys(keys[at]), "times": planes(times[at].astype("<u8")), "used": planes(used[at]), "lower": planes(lower[at])}
             held.clear()
 
         last = 0
         for r in rows:
             a = Answered(r, n, numbers)
             last, h = a.block.id, a.block.histories(n)
-            give = np.flatnonzero(~a.block.held & a.block.before(a.also_held[n - 2], True))
+            give = np.flatnonzero(~a.block.held & a.block.before(a.also_held[n - 2], True) & own(h))
             held.append((h[give], (np.ones(len(give)), a.d[n - 1](a.counts[n - 1][give]), a.seen(n - 1, give) / a.counts[n - 1][give])))
             if sum(len(x[0]) for x in held) > HELD:
                 yield from send(last)
             asked = np.unique(h[a.asks(n)])
+            asked = asked[own(asked)]
             ends = cuts(asked, parts)
             for i in np.flatnonzero(np.diff(ends)).tolist():
                 yield {"bucket": i, "block": last, "asked": pack_keys(asked[ends[i] : ends[i + 1]])}
@@ -374,7 +381,10 @@ def score(documents: DataFrame, held: Column, order: int = 3) -> DataFrame:
         by_block = rows.select("block", F.struct("n", "bucket", "counts").alias("a")).groupBy("block").agg(F.collect_list("a").alias("answers"))
         return tokens.join(by_block, "block")
 
-    found = [materialize(weights(answered(n), n, model.numbers(), parts), f"{name}-weights-{n}", FEW) for n in range(2, order + 1)]
+    # Orders over two go in two rounds, so that half of their sums lie in shuffle files at once.
+    cut = lambda n: (0, parts) if n < 3 else (0, parts // 2, parts)
+    rounds = [(n, range(a, b)) for n in range(2, order + 1) for a, b in pairwise(cut(n))]
+    found = [materialize(weights(answered(n), n, model.numbers(), parts, some), f"{name}-weights-{n}", FEW) for n, some in rounds if some]
     given = answered(order).withColumn("weights", F.lit(None).cast("array<struct<n:int,bucket:int,weights:binary>>"))
     if found:
         by_block = reduce(DataFrame.unionAll, found).groupBy("block").agg(F.collect_list(F.struct("n", "bucket", "weights")).alias("weights"))
