@@ -10,8 +10,10 @@ out of the likeness.
 
 Defined results for odd input: null, empty or word-less texts have the empty
 fingerprint, which is alike (1) to itself and unlike (0) to all others; fewer
-words than a shingle are one shingle; equal texts have equal fingerprints;
-extra columns are ignored.
+words than a shingle are one shingle; equal texts have equal fingerprints; texts of
+any length are read whole; of rows with one doc_id the next is the one whose text's
+hash follows, and rows that repeat both follow each other in any order, with
+the same results; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ totals' prefix sums then give every document its global offset, and pass two
 cuts at each multiple of the window.  Only the last window is short.
 
 Defined results for odd input: a null or empty text is the end id alone;
-repeated rows are documents of their own; an empty table has no pieces; extra
-columns are ignored.
+repeated rows are documents of their own; rows of one doc_id follow each other in
+any order; an empty table has no pieces; a text of over half a billion tokens fails
+(2 GB a value), shorter ones are cut whole; extra columns are ignored.
 """
 
 from __future__ import annotations

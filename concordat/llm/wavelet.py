@@ -11,8 +11,10 @@ sections that the header lists: document ids, document lengths, and per plane
 its bits and its rank samples.
 
 Defined results for odd input: a null text is the end id alone; repeated rows
-are documents of their own; an empty table writes no file; null doc_ids come
-first; extra columns are ignored.
+are documents of their own; rows of one doc_id follow each other in any order; an
+empty table writes no file; null doc_ids come first; a doc_id that is no whole number
+of 64 bits fails; a text of over half a billion tokens fails (2 GB a value); extra
+columns are ignored.
 """
 
 from __future__ import annotations
