@@ -67,7 +67,8 @@ def unreadable(requested: DataFrame, read: DataFrame) -> DataFrame:
 
 
 def reassemble(chunks: DataFrame, payloads: DataFrame) -> DataFrame:
-    """node_idx, path, content (binary): chunk payloads in offset order; a file is one row by nature."""
+    """node_idx, path, content (binary): chunk payloads in offset order; a file is one value, joined as
+    hexadecimal text in linear work, so of 1 GB at most."""
     rows = chunks.select("node_idx", "path", "hash", "offset").join(payloads.select("hash", "data"), "hash")
     parts = F.array_sort(F.collect_list(F.struct("offset", "data")))
     return rows.groupBy("node_idx", "path").agg(parts.alias("parts")).select("node_idx", "path", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["data"].cast("binary"))), "")).alias("content"))

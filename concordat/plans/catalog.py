@@ -209,10 +209,10 @@ def ancestor_dirs(spark, d):
 _CLIMB = "CASE doc_id % 4 WHEN 0 THEN '../' || path WHEN 1 THEN '/' || path WHEN 2 THEN 'src1/../' || path ELSE path END"
 
 
-@query(f"SELECT p AS path, NOT list_contains(string_split(p, '/'), '..') AS safe, p = 'src1' OR starts_with(p, 'src1/') AS within, NOT starts_with(p, '/') AS relative FROM (SELECT {_CLIMB} AS p FROM inv WHERE node_idx = 0)")
+@query(f"SELECT node_idx, p AS path, NOT list_contains(string_split(p, '/'), '..') AS safe, p = 'src1' OR starts_with(p, 'src1/') AS within, NOT starts_with(p, '/') AS relative FROM (SELECT node_idx, {_CLIMB} AS p FROM inv)")
 def path_safety(spark, d):
-    p = derived.contents(spark, d).filter("node_idx = 0").select(F.expr(_CLIMB).alias("path"))
-    return p.select("path", paths.is_safe(F.col("path")).alias("safe"), paths.is_within(F.col("path"), "src1").alias("within"), paths.is_relative(F.col("path")).alias("relative"))
+    p = derived.contents(spark, d).select("node_idx", F.expr(_CLIMB).alias("path"))
+    return p.select("node_idx", "path", paths.is_safe(F.col("path")).alias("safe"), paths.is_within(F.col("path"), "src1").alias("within"), paths.is_relative(F.col("path")).alias("relative"))
 
 
 # The diff
@@ -312,10 +312,10 @@ def strategy_by_rule_table(spark, d):
 
 
 @query(
-    "SELECT c.path, v.node_idx AS winner_node FROM (SELECT path FROM diff WHERE status = 'conflict') c LEFT JOIN (SELECT path, seq, chosen, row_number() OVER (PARTITION BY path ORDER BY seq) AS k FROM (SELECT r.path, r.seq, r.chosen FROM (SELECT path, doc_id * 10 + j AS seq, (doc_id + j) % 4 AS chosen FROM (SELECT DISTINCT path, doc_id FROM inv WHERE doc_id % 2 = 1), unnest([0, 1, 2]) AS u(j)) r JOIN (SELECT path, count(*) AS n FROM inv GROUP BY path) n ON n.path = r.path WHERE r.chosen < n.n)) f ON f.path = c.path AND f.k = 1 LEFT JOIN (SELECT path, node_idx, row_number() OVER (PARTITION BY path ORDER BY node_idx) - 1 AS pos FROM inv) v ON v.path = c.path AND v.pos = f.chosen"
+    "SELECT c.path, v.node_idx AS winner_node FROM (SELECT path FROM diff WHERE status = 'conflict') c LEFT JOIN (SELECT path, seq, chosen, row_number() OVER (PARTITION BY path ORDER BY seq) AS k FROM (SELECT r.path, r.seq, r.chosen FROM (SELECT path, doc_id * 10 + j AS seq, (doc_id + j) % 4 AS chosen FROM (SELECT DISTINCT path, doc_id FROM inv), unnest([0, 1, 2]) AS u(j)) r JOIN (SELECT path, count(*) AS n FROM inv GROUP BY path) n ON n.path = r.path WHERE r.chosen < n.n)) f ON f.path = c.path AND f.k = 1 LEFT JOIN (SELECT path, node_idx, row_number() OVER (PARTITION BY path ORDER BY node_idx) - 1 AS pos FROM inv) v ON v.path = c.path AND v.pos = f.chosen"
 )
 def manual_resolutions(spark, d):
-    rows = derived.contents(spark, d).filter("doc_id % 2 = 1").select("path", "doc_id").distinct().withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    rows = derived.contents(spark, d).select("path", "doc_id").distinct().withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     choices = rows.select((F.col("doc_id") * 10 + F.col("j")).alias("seq"), "path", ((F.col("doc_id") + F.col("j")) % 4).cast("int").alias("chosen_node"))
     return resolve.manual(_conflicts(spark, d), choices)
 
@@ -520,21 +520,21 @@ def tracker_stats(spark, d):
     return dedup.tracker_stats(dedup.transfer_states(_chunk_events(spark, d)))
 
 
-@query("SELECT i.path, i.mtime, p.path IS NOT NULL AND p.mt = i.mtime AS hit FROM inv i LEFT JOIN (SELECT path, 1700000000 + doc_id * 60 AS mt FROM prev) p ON p.path = i.path WHERE i.node_idx = 2")
+@query("SELECT i.node_idx, i.path, i.mtime, p.path IS NOT NULL AND p.mt = i.mtime AS hit FROM inv i LEFT JOIN (SELECT path, 1700000000 + doc_id * 60 AS mt FROM prev) p ON p.path = i.path")
 def cache_hits(spark, d):
-    return state.cache_hits(_inv(spark, d).filter("node_idx = 2"), derived.prev_state(spark, d)).select("path", "mtime", "hit")
+    return state.cache_hits(_inv(spark, d), derived.prev_state(spark, d)).select("node_idx", "path", "mtime", "hit")
 
 
-@query("SELECT path, max_by(mtime, k) AS mtime FROM (SELECT path, 1700000000 + doc_id * 60 AS mtime, 0 AS k FROM prev UNION ALL SELECT path, mtime, 1 FROM inv WHERE node_idx = 2) GROUP BY path")
+@query("SELECT path, max_by(mtime, k * 10000000000 + mtime) AS mtime FROM (SELECT path, 1700000000 + doc_id * 60 AS mtime, 0 AS k FROM prev UNION ALL SELECT path, mtime, 1 FROM inv) GROUP BY path")
 def cache_put(spark, d):
     cols = ["path", "mtime", "chunks"]
-    return state.cache_put(derived.prev_state(spark, d).select(cols), _inv(spark, d).filter("node_idx = 2").select(cols)).select("path", "mtime")
+    return state.cache_put(derived.prev_state(spark, d).select(cols), _inv(spark, d).select(cols)).select("path", "mtime")
 
 
-@query(f"SELECT path, {NOW} < mtime + 3600 AS valid, {NOW} < mtime + 3600 AND mtime = 1700000000 + doc_id * 60 AS file_valid FROM inv WHERE node_idx = 1")
+@query(f"SELECT node_idx, path, {NOW} < mtime + 3600 AS valid, {NOW} < mtime + 3600 AND mtime = 1700000000 + doc_id * 60 AS file_valid FROM inv")
 def cache_ttl_valid(spark, d):
-    rows = derived.contents(spark, d).filter("node_idx = 1").select("path", F.col("mtime").alias("created"), "mtime", (derived.EPOCH + F.col("doc_id") * 60).alias("current_mtime"))
-    return state.cache_valid(rows, NOW, 3600).select("path", "valid", "file_valid")
+    rows = derived.contents(spark, d).select("node_idx", "path", F.col("mtime").alias("created"), "mtime", (derived.EPOCH + F.col("doc_id") * 60).alias("current_mtime"))
+    return state.cache_valid(rows, NOW, 3600).select("node_idx", "path", "valid", "file_valid")
 
 
 def _locks(spark, d):
@@ -653,10 +653,10 @@ def component_order(spark, d):
     return _inv(spark, d).select("path").distinct().select("path", paths.sort_key(F.col("path")).alias("sort_key"))
 
 
-@query("SELECT path || repeat('x', (doc_id % 50)::INT) AS path, CASE WHEN length(path) + doc_id % 50 > 45 THEN left(path || repeat('x', (doc_id % 50)::INT), 42) || '...' ELSE rpad(path || repeat('x', (doc_id % 50)::INT), 45, ' ') END AS shown, printf('%.1f', size / 1e6) AS megabytes FROM inv WHERE node_idx = 0")
+@query("SELECT node_idx, path || repeat('x', (doc_id % 50)::INT) AS path, CASE WHEN length(path) + doc_id % 50 > 45 THEN left(path || repeat('x', (doc_id % 50)::INT), 42) || '...' ELSE rpad(path || repeat('x', (doc_id % 50)::INT), 45, ' ') END AS shown, printf('%.1f', size / 1e6) AS megabytes FROM inv")
 def display_formats(spark, d):
-    rows = derived.contents(spark, d).filter("node_idx = 0").select(F.concat("path", F.repeat(F.lit("x"), (F.col("doc_id") % 50).cast("int"))).alias("path"), "size")
-    return rows.select("path", literals.display_path(F.col("path")).alias("shown"), literals.megabytes(F.col("size")).alias("megabytes"))
+    rows = derived.contents(spark, d).select("node_idx", F.concat("path", F.repeat(F.lit("x"), (F.col("doc_id") % 50).cast("int"))).alias("path"), "size")
+    return rows.select("node_idx", "path", literals.display_path(F.col("path")).alias("shown"), literals.megabytes(F.col("size")).alias("megabytes"))
 
 
 # Events
@@ -735,11 +735,11 @@ def stream_diff(spark, d):
 
 
 @query(
-    "SELECT path, node_idx AS winner_node FROM (SELECT r.path, v.node_idx, row_number() OVER (PARTITION BY r.path ORDER BY r.seq) AS k FROM (SELECT path, doc_id * 10 + j AS seq, (doc_id + j) % 4 AS chosen FROM (SELECT DISTINCT path, doc_id FROM inv WHERE doc_id % 2 = 1), unnest([0, 1, 2]) AS u(j)) r JOIN diff d ON d.path = r.path AND d.status = 'conflict' JOIN (SELECT path, node_idx, row_number() OVER (PARTITION BY path ORDER BY node_idx) - 1 AS pos FROM inv) v ON v.path = r.path AND v.pos = r.chosen) WHERE k = 1"
+    "SELECT path, node_idx AS winner_node FROM (SELECT r.path, v.node_idx, row_number() OVER (PARTITION BY r.path ORDER BY r.seq) AS k FROM (SELECT path, doc_id * 10 + j AS seq, (doc_id + j) % 4 AS chosen FROM (SELECT DISTINCT path, doc_id FROM inv), unnest([0, 1, 2]) AS u(j)) r JOIN diff d ON d.path = r.path AND d.status = 'conflict' JOIN (SELECT path, node_idx, row_number() OVER (PARTITION BY path ORDER BY node_idx) - 1 AS pos FROM inv) v ON v.path = r.path AND v.pos = r.chosen) WHERE k = 1"
 )
 def stream_resolutions(spark, d):
     folder = scratch(spark, "choices")
-    rows = derived.contents(spark, d).filter("doc_id % 2 = 1").select("path", "doc_id").distinct().withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    rows = derived.contents(spark, d).select("path", "doc_id").distinct().withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     rows.select((F.col("doc_id") * 10 + F.col("j")).alias("seq"), "path", ((F.col("doc_id") + F.col("j")) % 4).cast("int").alias("chosen_node")).write.parquet(folder)
     stream = spark.readStream.schema("seq long, path string, chosen_node int").parquet(folder)
     return ev.run_available(ev.resolutions(stream, _conflicts(spark, d)), "complete", "stream-resolutions")

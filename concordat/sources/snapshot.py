@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,5 +68,4 @@ def profiles(names: DataFrame) -> DataFrame:
 
 
 def list_profiles(spark: SparkSession, folder: str) -> DataFrame:
-    rows = [(n,) for n in sorted(os.listdir(folder))] if os.path.isdir(folder) else []
-    return profiles(spark.createDataFrame(rows, "name string"))
+    return profiles(spark.createDataFrame([(n,) for n in storage.names(spark, folder)], "name string"))
