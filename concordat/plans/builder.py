@@ -220,6 +220,16 @@ class Reconciliation:
             picked = picked.join(hand, "path").select("path", F.coalesce("hand", "winner_node").alias("winner_node"))
         return plan.with_resolution(d, picked)
 
+    def resolutions(self) -> DataFrame:
+        """path, resolved: the conflicts, and whether they have a winner."""
+        return self.decided().filter("status = 'conflict'").select("path", F.col("winner_node").isNotNull().alias("resolved"))
+
+    def resolution_counts(self) -> DataFrame:
+        return resolve.resolution_counts(self.resolutions())
+
+    def next_unresolved(self) -> DataFrame:
+        return resolve.next_unresolved(self.resolutions())
+
     def transfers(self) -> DataFrame:
         return self._once("transfers", self._transfer)
 

@@ -139,5 +139,7 @@ def test_counters_and_errors_reach_listeners(spark, tmp_path):
     assert progress["transfers"]["files"] == 1 and progress["moves"] == {"chunks": 1, "bytes": 1}
     assert ("decided", 1, "p") in errors and events[-1] == "finished"
     assert table.held().count() == 0
+    assert r.resolution_counts().first().asDict() == {"n_conflicts": 1, "n_resolved": 0, "n_unresolved": 1, "ready": False}
+    assert [(x.path, x.next_path) for x in r.next_unresolved().collect()] == [("p", None)]
     r = reconcile(spark, [a, b]).on_conflict(lambda versions: 1)
     assert {x.path: x.winner_node for x in r.decided().collect()}["p"] == 1
