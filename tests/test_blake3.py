@@ -41,3 +41,22 @@ def test_column_and_chunks(spark):
     assert [c.hash for c in whole] == [digests([made(102400)[c.offset : c.offset + c.size]])[0].hex() for c in whole]
     with pytest.raises(ValueError):
         chunking.cdc_chunks(df, digest="md4")
+
+
+def test_small_files_are_chunked_and_digested_together(spark):
+    import random
+
+    import pyarrow as pa
+
+    g = random.Random(6)
+    files = [bytes(g.choices(range(97, 123), k=g.choice([0, 1, 63, 64, 65, 900]))) for _ in range(400)] + [b"a" * 5000, b""]
+    config = chunking.ChunkConfig(bits=6, most=4)
+    assert chunking.chunks_of(files, config) == [chunking.chunk_sizes(f, config) for f in files]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(files)), pa.array(["x"] * len(files)), pa.array(files)], names=["node_idx", "path", "content"])
+    assert [(first, len(held)) for first, held in chunking._groups(batch)] == [(0, len(files))]
+    df = spark.createDataFrame([(0, str(i), f) for i, f in enumerate(files)], "node_idx int, path string, content binary")
+    for r in chunking.cdc_chunks(df, config, "blake3", payloads=True).collect():
+        whole = files[int(r.path)]
+        assert b"".join(bytes(c.data) for c in r.chunks) == whole
+        assert [c.offset for c in r.chunks] == [sum(c.size for c in r.chunks[:i]) for i in range(len(r.chunks))]
+        assert [c.hash for c in r.chunks] == [d.hex() for d in digests([whole[c.offset : c.offset + c.size] for c in r.chunks])]
