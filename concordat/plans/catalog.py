@@ -759,9 +759,8 @@ def cdc_chunks(spark, d):
 def cdc_verified_reassembly(spark, d):
     """Chunk, damage a replica, read the first whole one, and put the files together again."""
     files = derived.contents(spark, d).filter("tp = 'F'").select("node_idx", "path", F.col("body").cast("binary").alias("content"))
-    c = chunking.cdc_chunks(files, chunking.ChunkConfig(bits=8, most=4)).select("node_idx", "path", F.explode("chunks").alias("c"))
-    cut = F.expr("substring(content, cast(c.offset + 1 as int), cast(c.size as int))")
-    places = stored(files.join(c, ["node_idx", "path"]).select("node_idx", "path", F.col("c.hash").alias("hash"), F.col("c.offset").alias("offset"), cut.alias("data")), "cdc-payloads")
+    c = chunking.cdc_chunks(files, chunking.ChunkConfig(bits=8, most=4), payloads=True).select("node_idx", "path", F.explode("chunks").alias("c"))
+    places = stored(c.select("node_idx", "path", "c.hash", "c.offset", "c.data"), "cdc-payloads")
     torn = places.select("hash", F.lit(-1).alias("position"), F.lit(-1).alias("node_idx"), F.concat("data", F.lit("?").cast("binary")).alias("data"))
     replicas = places.select("hash", F.col("node_idx").alias("position"), "node_idx", "data").union(torn)
     read = dedup.verified_read(places.select("hash"), replicas)
