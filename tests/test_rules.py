@@ -43,3 +43,12 @@ def test_a_hundred_thousand_rules_join_by_equality(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert out.filter("strategy = 'none'").count() == 0 and out.count() == 2000
+
+
+def test_rules_that_differ_in_a_long_literal_do_not_share_it(spark):
+    rules = spark.range(100_000, 130_000).selectExpr("id AS priority", "concat('*/', id, '[0-4]*') AS pattern", "'s' AS strategy")
+    shared = R.filed(rules).groupBy("kind", "length", "h").count()
+    assert shared.agg({"count": "max"}).first()[0] <= 100
+    paths = spark.createDataFrame([("a/1000004.txt",), ("a/1299990",), ("a/1299997",), ("b/129999",)], "path string")
+    got = {r.path: r.strategy for r in R.strategies(paths, rules, "none").collect()}
+    assert got == {"a/1000004.txt": "s", "a/1299990": "s", "a/1299997": "none", "b/129999": "none"}
