@@ -164,7 +164,7 @@ def thinned_by_gap_or_count(spark, d):
 @query(_chain("least(coalesce(f.k, 1000000000000), (e.k // 10 + 1) * 10)"), tables=False)
 def stream_thinned(spark, d):
     stream = ev.translate(ev.read_stream(spark, d, "events")).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
-    return ev.run_available(throttle.thin_stream(stream, "node_idx", "t", "seq", HOUR, 10), "append", "stream-thinned", settings=ev.ROCKSDB).select("node_idx", "seq")
+    return ev.run_available(stream, "append", "stream-thinned", each=throttle.thin_batch("node_idx", "t", "seq", HOUR, 10)).select("node_idx", "seq")
 
 
 #: Ten days into the driver's events.

@@ -21,19 +21,21 @@ def read_stream(spark: SparkSession, folder: str, table: str, per_trigger: int =
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-def run_available(stream: DataFrame, mode: str, name: str, keys: tuple[str, ...] = (), order: tuple[str, ...] = (), folder: str | None = None, settings: dict[str, str] | None = None) -> DataFrame:
+def run_available(stream: DataFrame, mode: str, name: str, keys: tuple[str, ...] = (), order: tuple[str, ...] = (), folder: str | None = None, settings: dict[str, str] | None = None, each: Callable[[DataFrame, int, str], DataFrame] | None = None) -> DataFrame:
     """Run a stream over what is there; its result as a table in shared storage.
 
     A batch writes the folder of its own id, so one that is run again replaces what it wrote.
     Update mode: the last row of each key, by batch and then ``order``.  ``folder`` keeps
-    rows and checkpoint for a later call, which goes on where this one ended.
+    rows and checkpoint for a later call, which goes on where this one ended.  ``each`` (batch,
+    id, folder) gives the rows to write of a batch, with the stream's columns.
     """
     spark = stream.sparkSession
     folder = folder or scratch(spark, name)
     out = f"{folder}/rows"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else batch_id}")
+        rows = each(batch, batch_id, folder) if each else batch
+        rows.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else batch_id}")
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write)
     with changed(spark, settings or {}):

@@ -8,7 +8,9 @@ points to the next that would be kept after it.  Doubling these pointers gives,
 event a range may begin with, the last event kept in it: a step function of the time
 carried in.  A key's functions, of which there is one a range, are then applied one
 after the other, and each range marks its own events from the time carried into it.
-In streams the last time kept and the number of events are a key's state.
+In streams the last time kept and the number of events are a key's state: ``thin_batch``
+solves each batch as above from that state, a table of a row a key; ``thin_stream`` walks a key's rows of a
+batch in one Python worker, for streams of many keys and small batches.
 
 Times are microseconds.  Ties of time go by ``seq``.  Null keys and times take no part.  The first
 event is kept, or with ``begun`` (the time the count starts from) waits for its gap as well.
@@ -26,9 +28,11 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..storage import stored
+from ..storage import delete, stored
 
 NEVER = np.iinfo(np.int64).min // 2
+#: Rows of a range, about: what a task holds at a time.
+RANGE_ROWS = 1 << 18
 
 
 def pointers(t: np.ndarray, gap: int, forced: np.ndarray) -> np.ndarray:
@@ -91,8 +95,8 @@ def steps(t: np.ndarray, gap: int, forced: np.ndarray) -> tuple[list[int], list[
 
 def _ranges(events: DataFrame, key: str, time: str, seq: str) -> DataFrame:
     """The events by (key, time, seq), with their range and their number in it."""
-    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     rows = events.filter(F.col(key).isNotNull() & F.col(time).isNotNull())
+    n = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows.count() // RANGE_ROWS))
     rows = rows.repartitionByRange(n, key, time, seq).sortWithinPartitions(key, time, seq).withColumn("_range", F.spark_partition_id())
     return stored(rows, "throttle")
 
@@ -121,15 +125,20 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 def thin(events: DataFrame, key: str, time: str, seq: str, gap: int, every: int | None = None, begun: Column | None = None) -> DataFrame:
     """The events kept, with all their columns; time: microseconds, gap: at least 1."""
-    spark = events.sparkSession
-    columns = events.columns
-    rows = _ranges(events, key, time, seq)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return _thin(_ranges(events, key, time, seq), key, time, seq, gap, every, begun)
+
+
+def _thin(rows: DataFrame, key: str, time: str, seq: str, gap: int, every: int | None, begun: Column | None, state: DataFrame | None = None) -> DataFrame:
+    """The events kept of ranges; state (key, _last, _number): where keys go on."""
+    columns = [c for c in rows.columns if c != "_range"]
+    n = (rows.agg(F.max("_range")).first()[0] or 0) + 1
     kind = rows.schema[key].dataType.simpleString()
     sizes = rows.groupBy("_range", key).agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     start = F.coalesce(begun.cast("long"), F.lit(NEVER)) if begun is not None else F.lit(NEVER)
+    if state is not None:
+        sizes = sizes.join(state, key, "left").withColumn("_before", F.col("_before") + F.coalesce("_number", F.lit(0)))
     numbered = rows.join(sizes.select("_range", key, "_before"), ["_range", key])  # a row for each key and range that meet
 
     def by_range(df: DataFrame) -> DataFrame:
@@ -155,7 +164,9 @@ def thin(events: DataFrame, key: str, time: str, seq: str, gap: int, every: int
         return pd.DataFrame({"_range": group["_range"].to_numpy(), key: group[key].to_numpy(), "_carried": np.array(out, np.int64)})
 
     maps = by_range(numbered.select("_range", key, time, seq, "_before")).mapInArrow(functions, f"_range int, {key} {kind}, bounds array<long>, results array<long>")
-    carried = maps.withColumn("start", start).groupBy(key).applyInPandas(carry, f"_range int, {key} {kind}, _carried long")
+    if state is not None:
+        maps, start = maps.join(state, key, "left"), F.coalesce("_last", start)
+    carried = maps.select("_range", key, "bounds", "results", start.alias("start")).groupBy(key).applyInPandas(carry, f"_range int, {key} {kind}, _carried long")
     asked = by_range(numbered.join(carried, ["_range", key]))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +175,33 @@ def thin(events: DataFrame, key: str, time: str, seq: str, gap: int, every: int
             kept = chain(pointers(t, gap, f), entry(t, g.column("_carried")[0].as_py(), gap, f))
             yield from g.select(columns).filter(pa.array(kept)).to_batches()
 
-    return asked.mapInArrow(mark, events.schema)
+    return asked.mapInArrow(mark, rows.select(columns).schema)
+
+
+def thin_batch(key: str, time: str, seq: str, gap: int, every: int | None = None, begun: int | None = None):
+    """``thin`` of a stream whose batches follow each other in time, for ``run_available``'s ``each``.
+
+    A batch begins with the state that the one before has left in the stream's folder and
+    leaves its own, so one that is run again gives the same rows and state.
+    """
+
+    def each(batch: DataFrame, batch_id: int, folder: str) -> DataFrame:
+        spark = batch.sparkSession
+        path = lambda i: f"{folder}/state/batch={i}"
+        kind = batch.schema[key].dataType.simpleString()
+        schema = f"{key} {kind}, _last long, _number long"
+        old = spark.read.schema(schema).parquet(path(batch_id - 1)) if batch_id else spark.createDataFrame([], schema)
+        rows = _ranges(batch, key, time, seq)
+        kept = stored(_thin(rows, key, time, seq, gap, every, None if begun is None else F.lit(begun), old), "thinned")
+        # Sums and maxima by key of a few rows a key: the state, the batch's numbers and its last time kept.
+        null = F.lit(None).cast("long")
+        now = old.unionAll(rows.select(key, null, F.lit(1).cast("long"))).unionAll(kept.select(key, F.col(time).cast("long"), F.lit(0).cast("long")))
+        now.groupBy(key).agg(F.max("_last").alias("_last"), F.sum("_number").alias("_number")).write.mode("overwrite").parquet(path(batch_id))
+        delete(spark, path(batch_id - 2))
+        delete(spark, rows.stored_at)
+        return kept
+
+    return each
 
 
 def every_or_after(events: DataFrame, key: str, time: str, seq: str, every: int, after: int, begun: Column) -> DataFrame:

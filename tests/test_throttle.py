@@ -87,3 +87,26 @@ def test_stream_goes_on_after_a_stop(spark, tmp_path):
 
 def test_empty(spark):
     assert thin(spark.createDataFrame([], SCHEMA), "node", "t", "seq", 5).count() == 0
+
+
+@pytest.mark.parametrize("begun", [None, 12])
+def test_batches_of_a_stream_go_on_in_ranges(spark, tmp_path, begun, monkeypatch):
+    monkeypatch.setattr(throttle, "RANGE_ROWS", 9)
+    rows = sorted((r for r in made(250, 9, 500) if r[2] is not None), key=lambda r: (r[2], r[0]))
+    drop, folder = f"{tmp_path}/drop", f"{tmp_path}/state"
+    for at in range(0, len(rows), 90):
+        spark.createDataFrame(rows[at : at + 90], SCHEMA).coalesce(1).write.mode("append").parquet(drop)
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(drop)
+        got = ev.run_available(stream, "append", "thin", folder=folder, each=throttle.thin_batch("node", "t", "seq", 25, 20, begun))
+    assert sorted(tuple(r) for r in got.collect()) == walk(rows, 25, 20, begun)
+    # A batch that is run again begins with the state of the one before.
+    last = spark.createDataFrame(rows[180:], SCHEMA)
+    again = throttle.thin_batch("node", "t", "seq", 25, 20, begun)(last, 2, folder)
+    assert sorted(tuple(r) for r in again.collect()) == [r for r in walk(rows, 25, 20, begun) if r in rows[180:]]
+
+
+def test_no_task_holds_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(throttle, "RANGE_ROWS", 100)
+    rows = spark.range(4000).select(F.col("id").alias("seq"), F.lit("hot").alias("node"), (F.col("id") * 3).alias("t"), F.lit("x").alias("note"))
+    parts = throttle._ranges(rows, "node", "t", "seq").groupBy("_range").count().collect()
+    assert len(parts) >= 30 and max(p["count"] for p in parts) < 400
