@@ -188,3 +188,20 @@ def test_extra_columns_never_clash(spark):
     df = documents(spark, [(1, "one two three"), (2, None)]).selectExpr("*", "1 as id", "2 as d", "3 as gone", "4 as _id", "5 as _hash", "6 as doc_hash", "7 as whole", "8 as `a.b`")
     out = ld.drop_repeated_lines(df)
     assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_many_near_copies_take_few_links(spark, monkeypatch):
+    """Of n texts that are all linked, the classes need about n links, not n * n / 2."""
+    base, n = [f"w{i}" for i in range(30)], 60
+    rows = [(k, " ".join([*base[: k % 30], f"x{k}", *base[k % 30 + 1 :]])) for k in range(n)]
+    given, components = [], ld.components
+    monkeypatch.setattr(ld, "components", lambda edges, name: given.append(edges.count()) or components(edges, name))
+    assert {r.doc_id for r in ld.drop_repeated_lines(documents(spark, rows)).collect()} == {0}
+    assert max(given) < 4 * n
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_classes_without_counts_are_the_same(spark, seed):
+    df = documents(spark, [r for r in corpus(seed) if len(r[1] or "") < 5000])
+    of = lambda counted: sorted(map(tuple, ld.line_classes(df, counted).drop("n_links").collect()), key=repr)
+    assert of(False) == of(True)
