@@ -205,3 +205,36 @@ def test_classes_without_counts_are_the_same(spark, seed):
     df = documents(spark, [r for r in corpus(seed) if len(r[1] or "") < 5000])
     of = lambda counted: sorted(map(tuple, ld.line_classes(df, counted).drop("n_links").collect()), key=repr)
     assert of(False) == of(True)
+
+
+def test_copies_beyond_the_threshold_are_not_all_tried(spark, monkeypatch):
+    """Texts that share most keys and parities, but no link, are told apart before their lines are sent."""
+    n, rows = 30, []
+    for k in range(n):
+        new = [f"x{k}y{i // 2}" for i in range(10)]
+        rows.append((k, " ".join([*(f"w{i}" for i in range(70)), *(["p"] * 10 + new)])))
+    tried, confirm = [], ld._confirm
+    monkeypatch.setattr(ld, "_confirm", lambda pairs, texts: tried.append(pairs.count()) or confirm(pairs, texts))
+    assert not any(near(a, b) for (_, a), (_, b) in combinations(rows, 2))
+    for counted in (True, False):
+        assert all(r.kept for r in ld.line_classes(documents(spark, rows), counted).collect())
+    assert max(tried) < n * (n - 1) / 4
+
+
+def test_counts_of_words_rule_out_no_link(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    pairs = []
+    for _ in range(300):
+        a = rng.choices(words, k=rng.choice([9, 10, 20, 35, 90, 200]))
+        b = list(a)
+        for _ in range(len(a) // 10):
+            i = rng.randrange(len(b))
+            b[i : i + 1] = rng.choice([[], [rng.choice(words)], [b[i], rng.choice(words)]])
+        pairs.append((" ".join(a), " ".join(b)))
+    texts = ld.texts_of(ld.lines_of(documents(spark, list(enumerate(dict.fromkeys(x for p in pairs for x in p))))))
+    few = ld._counted(texts, texts)
+    ids = {r.line: r.t for r in texts.collect()}
+    linked = spark.createDataFrame([(ids[a], ids[b]) for a, b in pairs if near(a, b)], "a long, b long")
+    near_, far = (p.join(ld._named(few, "a", "w", *ld.COUNTS), "a").join(ld._named(few, "b", "w", *ld.COUNTS), "b").filter(ld._counts_near()).count() for p in (linked, spark.createDataFrame([(ids[a], ids[d]) for (a, _), (_, d) in combinations(pairs, 2) if len(a) > 700 and len(d) > 700], "a long, b long")))
+    assert near_ == linked.count() > 250 and far < 200
