@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, small_batches
+from .shared import discard, few_tasks, materialize, small_batches
 from .texthash import mix, shingle_sets
 
 _U = np.uint64
@@ -184,34 +184,40 @@ def links(buckets: DataFrame, sets: DataFrame, threshold: Fraction, pivots: int
     the bounds on sizes and overlap; those are all tried.
     """
     found, roots, tried, open_ = None, None, None, buckets.withColumn("root", F.col("node"))
+    rows, passed = buckets.count(), []  # rows: of buckets, thus at most of what is made of them a bucket or node
     for turn in range(pivots + 1):
         named = lambda s: open_.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "size", "common", "parity")))  # noqa: B023, E731
         if turn < pivots:
             order = (F.col("size_b") - F.col("common_b") if turn == 0 else F.xxhash64(F.lit(turn), "node_b")).cast("long")
             pivot = named("b").withColumn("order", order)
             pivot = pivot.groupBy("key").agg(F.min(F.struct("order", *(c for c in pivot.columns if c not in ("key", "order")))).alias("v")).select("key", "v.*")
-            pivot = materialize(pivot, "neardup-pivots")
+            passed.append(pivot := materialize(few_tasks(pivot, rows), "neardup-pivots"))
             new = named("a").join(pivot, "key").filter(F.expr("root_a <> root_b") & _possible(threshold, "a", "b"))
         else:
-            rare = rare_shingles(open_.drop("key").distinct(), sets, threshold)
+            passed.append(rare := rare_shingles(open_.drop("key").distinct(), sets, threshold))
             x, y = (rare.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "size", "common", "parity"))) for s in "ab")
             new = x.join(y, (x.key == y.key) & F.expr("node_a < node_b and root_a <> root_b") & _possible(threshold, "a", "b"))
         new = new.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         new = _pairs(new)
         if tried is not None:
             new = new.join(tried, ["a", "b"], "left_anti")
-        new = materialize(new, "neardup-pairs")
+        new = materialize(few_tasks(new, rows) if turn < pivots else new, "neardup-pairs")
+        passed.append(new)
         tried = new if tried is None else tried.union(new)
         good = materialize(_confirm(new, sets, threshold), "neardup-links")
         found = good if found is None else found.union(good)
-        if not good.isEmpty() or roots is None:
-            roots = materialize(components(found), "neardup-roots")
-        if turn < pivots:
+        joined = not good.isEmpty()
+        if joined or roots is None:
+            was, roots = roots, components(good if roots is None else good.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            if was is not None:
+                discard(was)
+        if turn < pivots and (joined or not turn):
             now = open_.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-            open_ = materialize(now.join(mixed, "key", "left_semi"), "neardup-open")
+            passed.append(open_ := materialize(few_tasks(now.join(mixed, "key", "left_semi"), rows), "neardup-open"))
             if open_.isEmpty():
                 break
+    discard(*passed)
     return found, roots
 
 
@@ -221,28 +227,34 @@ def near_duplicates(documents: DataFrame, k: int, threshold: Fraction, bands: in
     small_batches(spark)
     all_ = materialize(_sketched(documents, k, bands, rows), "neardup-sketches")
     full = all_.filter("n_shingles > 0")
-    nodes = materialize(full.groupBy("digest").agg(F.min("uid").alias("node")), "neardup-nodes")  # a plain input: its join's skew can be split
-    members = materialize(all_.select("uid", "doc_id", "n_shingles", "digest").join(nodes, "digest", "left").select("uid", "doc_id", "n_shingles", F.coalesce("node", "uid").alias("node")), "neardup-members")
+    n = all_.count()
+    nodes = materialize(few_tasks(full.groupBy("digest").agg(F.min("uid").alias("node")), n), "neardup-nodes")  # a plain input: its join's skew can be split
+    members = all_.select("uid", "doc_id", "n_shingles", "digest").join(nodes, "digest", "left").select("uid", "doc_id", "n_shingles", F.coalesce("node", "uid").alias("node"))
+    members = materialize(few_tasks(members, n), "neardup-members")
     banded = full.join(members.filter("uid = node").select("uid"), "uid", "left_semi").select(F.col("uid").alias("node"), F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
     buckets = materialize(banded.join(shared, "key", "left_semi"), "neardup-buckets")
     wanted = buckets.select("node").distinct().join(all_.select(F.col("uid").alias("node"), "doc_id", "digest"), "node")
-    wanted = materialize(wanted, "neardup-wanted")
+    wanted = materialize(few_tasks(wanted, n), "neardup-wanted")
     ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
     texts = documents.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = materialize(_full_sets(texts, k).join(wanted.select("node", "digest"), "digest").dropDuplicates(["node"]).select("node", "shingles", "parity"), "neardup-sets")
+    discard(all_, nodes, wanted)
     # An upper bound of any overlap: shingles that another candidate has too.
     each = sets.select("node", F.explode("shingles").alias("s"))
     common = each.groupBy("s").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("s")
     enough = each.join(common, "s", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     enough = enough.withColumnRenamed("n", "common").join(sets.select("node", "parity"), "node")
-    buckets = materialize(buckets.join(enough, "node").filter(f"common * {threshold.denominator}L >= size * {threshold.numerator}L"), "neardup-buckets")
+    banded, buckets = buckets, materialize(buckets.join(enough, "node").filter(f"common * {threshold.denominator}L >= size * {threshold.numerator}L"), "neardup-buckets")
+    discard(banded)
     _, roots = links(buckets, sets, threshold)
+    discard(sets, buckets)
     # Names go to nodes first, so that the last join has plain inputs, whose skew is split.
     heads = members.groupBy("node").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).join(roots, "node", "left").filter("n > 1 or root is not null")
-    heads = materialize(heads.select("node", "head", F.coalesce("root", "node").alias("root")), "neardup-heads")
+    heads = materialize(few_tasks(heads.select("node", "head", F.coalesce("root", "node").alias("root")), n), "neardup-heads")
     names = heads.groupBy("root").agg(F.min("head").alias("component_id"))
     named = materialize(heads.join(names, "root").select("node", F.struct("component_id").alias("name")), "neardup-names")
+    discard(heads, roots)
     out = members.join(named, "node", "left")
     component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("name.component_id"))
     out = out.select("uid", "doc_id", "n_shingles", component.alias("component_id"))

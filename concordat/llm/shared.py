@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import delete, scratch
 
-__all__ = ["discard", "materialize", "open_fs", "partitions", "publish", "scratch", "settings", "small_batches"]
+__all__ = ["discard", "few_tasks", "materialize", "open_fs", "partitions", "publish", "scratch", "settings", "small_batches"]
 
 
 #: Deletes a finished query's shuffle files at once, rather than when the driver collects garbage.
@@ -56,6 +56,15 @@ def discard(*tables: DataFrame) -> None:
         delete(t.sparkSession, t.stored_at)
 
 
+#: Rows of a few numbers that one task writes with ease.
+TASK_ROWS = 50_000
+
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """df, whose rows are short and at most ``rows``, in so few partitions that a task has TASK_ROWS or two are left."""
+    return df.coalesce(2 + rows // TASK_ROWS)
+
+
 def small_batches(spark: SparkSession, records: int = 512) -> None:
     """Bound Arrow batches, as one text may be long: at most ``records`` rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -1,5 +1,6 @@
 import random
 import re
+import uuid
 from fractions import Fraction
 from itertools import combinations
 
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from fixtures import documents
 
-from concordat.llm import components, neardup, texthash
+from concordat.llm import components, neardup, shared, texthash
 
 
 def shingles(text, k):
@@ -118,6 +119,16 @@ def test_word_hashes_follow_the_words():
         assert len(set(seen.values())) == len(seen)
 
 
+def test_few_edges_take_few_tasks_and_leave_one_table(spark, tmp_path, monkeypatch):
+    """Many shuffle partitions, which nothing merges, are no reason for as many files a pass."""
+    monkeypatch.setattr(shared, "scratch", lambda _, name: f"file://{tmp_path}/{name}-{uuid.uuid4().hex}")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    with shared.settings(spark, {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        out = components.components(edges)
+    assert len(out.inputFiles()) <= 2 and len(list(tmp_path.iterdir())) == 1
+    assert {tuple(r) for r in out.collect()} == {(i, 0) for i in range(21)}
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)], [(5, 4), (4, 5), (9, 8), (8, 7), (1, 2)]])
 def test_components(spark, edges):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
