@@ -6,6 +6,7 @@ from fixtures import documents
 from pyspark.sql import functions as F
 
 from concordat.llm import linededup as ld
+from concordat.llm import shared
 
 
 def distance(a, b):
@@ -239,3 +240,20 @@ def test_counts_of_words_rule_out_no_link(spark):
     linked = spark.createDataFrame([(ids[a], ids[b]) for a, b in pairs if near(a, b)], "a long, b long")
     near_, far = (p.join(ld._named(few, "a", "w", *ld.COUNTS), "a").join(ld._named(few, "b", "w", *ld.COUNTS), "b").filter(ld._counts_near()).count() for p in (linked, spark.createDataFrame([(ids[a], ids[d]) for (a, _), (_, d) in combinations(pairs, 2) if len(a) > 700 and len(d) > 700], "a long, b long")))
     assert near_ == linked.count() > 250 and far < 200
+
+
+def test_lines_of_unwanted_texts_are_sifted_before_the_shuffle(spark, monkeypatch):
+    texts = ld.texts_of(ld.lines_of(documents(spark, [(k, f"line {k} of the many that are here") for k in range(2000)])))
+    wanted = texts.select("t").orderBy("line").limit(20)
+    kept = {r.t for r in wanted.collect()}
+    plans, real = {}, ld.materialize
+
+    def planned(df, name, values=None):
+        with shared.settings(spark, values or {}):
+            plans[name] = df.select("*")._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name, values)
+
+    monkeypatch.setattr(ld, "materialize", planned)
+    with shared.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        got = ld._only(texts, wanted, "some", lambda own: own.select("t", "line"))
+    assert "might_contain" in plans["some"] and {r.t for r in got.collect()} == kept
