@@ -208,6 +208,26 @@ def test_classes_without_counts_are_the_same(spark, seed):
     assert of(False) == of(True)
 
 
+def test_links_of_near_copies_are_counted_not_made(spark, monkeypatch):
+    """Of n texts near a frequent one nearly all pairs are linked; most are counted without a pair."""
+    rng, n = random.Random(12), 120
+    base = [f"w{i}" for i in range(50)]
+    texts = [" ".join(base)] * 9
+    for k in range(n):
+        copy = list(base)
+        for _ in range(rng.choice([1, 1, 2, 2, 2, 3, 4, 7])):
+            i = rng.randrange(len(copy))
+            copy[i : i + 1] = rng.choice([[], [f"x{rng.randrange(30)}"], [copy[i], f"y{k}"]])
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    tried, confirm = [], ld._confirm
+    monkeypatch.setattr(ld, "_confirm", lambda pairs, texts: tried.append(pairs.count()) or confirm(pairs, texts))
+    got = ld.line_classes(documents(spark, rows)).drop("doc_hash").collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+    links = sum(near(a, b) for a, b in combinations(dict.fromkeys(texts), 2))
+    assert links > n * n / 4 and sum(tried) < links / 4
+
+
 def test_copies_beyond_the_threshold_are_not_all_tried(spark, monkeypatch):
     """Texts that share most keys and parities, but no link, are told apart before their lines are sent."""
     n, rows = 30, []
